@@ -8,6 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .circulant_minhash import near_duplicates
 from .common import table
+from .mixing import MIX_SQL, mix
+from .packing import pack
+
+
+def _vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in sequences of 1024 tokens."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +36,12 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_circulant_minhash": op9_circulant_minhash}
+    return {
+        "op1_mixing": op1_mixing,
+        "op4_packing": op4_packing,
+        "op9_circulant_minhash": op9_circulant_minhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": MIX_SQL}
