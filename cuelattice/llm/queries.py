@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .chat import CHAT_SQL, TRICKY, format_chats, read_back
 from .circulant_minhash import near_duplicates
 from .common import table
 from .mixing import MIX_SQL, mix
@@ -24,6 +26,14 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and the tricky one, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = F.array(*[F.struct(F.lit(c).cast("long").alias("conv_id"), F.lit(n).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(text).alias("text")) for c, n, role, text in TRICKY])
+    tricky = spark.range(1).select(F.inline(rows))
+    return read_back(format_chats(turns.unionByName(tricky)))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 1024 tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -38,10 +48,11 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op3_chat": op3_chat,
         "op4_packing": op4_packing,
         "op9_circulant_minhash": op9_circulant_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIX_SQL}
+    return {"op1_mixing": MIX_SQL, "op3_chat": CHAT_SQL}
