@@ -77,19 +77,37 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(text: str | None) -> np.ndarray:
-    """64-bit hashes of the words of the text, A-Z lower-cased, in order."""
-    if not text:
-        return np.empty(0, np.uint64)
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
-    gap = (raw == 32) | ((raw >= 9) & (raw <= 13))
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+#: Bytes between terms: ASCII characters other than letters and digits.
+_PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def run_hashes(raw: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes, starts and ends of the runs of raw's bytes that are not in gaps."""
+    gap = gaps[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
     start, end = edge[0::2], edge[1::2]
     if not len(start):
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.uint64), start, end
     up, down = _power(len(raw) + 1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * up[:-1], dtype=np.uint64)))
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start, end
+
+
+def lowered(text: str) -> np.ndarray:
+    """The text's UTF-8 bytes, A-Z lower-cased."""
+    return np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of the text, A-Z lower-cased, in order."""
+    return run_hashes(lowered(text))[0] if text else np.empty(0, np.uint64)
+
+
+def term_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, byte starts and byte ends of the runs of letters and digits of the text, A-Z lower-cased."""
+    return run_hashes(lowered(text), _PUNCTUATION)
 
 
 def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:

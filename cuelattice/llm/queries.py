@@ -12,6 +12,7 @@ from .circulant_minhash import near_duplicates
 from .common import table
 from .mixing import MIX_SQL, mix
 from .packing import pack
+from .pii import KINDS, sanitise, spelled
 
 
 def _vocabulary(name: str) -> str:
@@ -45,12 +46,21 @@ def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data of every document, and the terms that reveal it."""
+    found = sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
+    base = F.filter("pii_spans", lambda s: s["kind"] < 4)
+    counts = [F.size(F.filter("pii_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(5)]
+    return found.select("doc_id", *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("pii_spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
         "op3_chat": op3_chat,
         "op4_packing": op4_packing,
         "op9_circulant_minhash": op9_circulant_minhash,
+        "op10_pii": op10_pii,
     }
 
 
