@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import CHAT_SQL, TRICKY, format_chats, read_back
 from .circulant_minhash import near_duplicates
 from .common import table
+from .html_paths import extract
 from .mixing import MIX_SQL, mix
 from .packing import pack
 from .pii import KINDS, sanitise, spelled
@@ -41,6 +42,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(docs, _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host", "path")
+
+
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -59,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op3_chat": op3_chat,
         "op4_packing": op4_packing,
+        "op5_html": op5_html,
         "op9_circulant_minhash": op9_circulant_minhash,
         "op10_pii": op10_pii,
     }
