@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from .chat import CHAT_SQL, TRICKY, format_chats, read_back
 from .circulant_minhash import near_duplicates
-from .common import table
+from .common import Scratch, table
 from .html_paths import extract
+from .media import illustrated, interleave, media_facts, resolve, store_texts
 from .mixing import MIX_SQL, mix
 from .packing import pack
 from .pii import KINDS, sanitise, spelled
@@ -48,6 +49,14 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host", "path")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored picture of every document, met from the reference in the document's page."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    facts = media_facts(store_texts(docs, Scratch(spark, "media")))
+    found = resolve(interleave(illustrated(docs)), facts)
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items")
+
+
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -67,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat": op3_chat,
         "op4_packing": op4_packing,
         "op5_html": op5_html,
+        "op7_media": op7_media,
         "op9_circulant_minhash": op9_circulant_minhash,
         "op10_pii": op10_pii,
     }
