@@ -11,6 +11,7 @@ from .chat import CHAT_SQL, TRICKY, format_chats, read_back
 from .circulant_minhash import near_duplicates
 from .common import Scratch, table
 from .html_paths import extract
+from .language import fit, identify
 from .media import illustrated, interleave, media_facts, resolve, store_texts
 from .mixing import MIX_SQL, mix
 from .packing import pack
@@ -49,6 +50,32 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "host", "path")
 
 
+#: Languages that the corpus is labelled with.
+LANGUAGES = ("de", "en", "es", "fr")
+
+
+def identify_documents(docs: DataFrame, labelled: DataFrame) -> DataFrame:
+    """docs with language, confidence and accepted: the source is the host, lang the declared language."""
+    return identify(docs, fit(labelled, LANGUAGES), F.col("text"), host=F.col("source"), declared=F.col("lang"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; kept says whether it is accepted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return identify_documents(docs, docs).select("doc_id", "language", "confidence", F.col("lang").alias("declared"), F.col("source").alias("host"), F.col("accepted").alias("kept"))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page, with all four kinds of evidence; the model is fitted on the documents."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    declared = F.regexp_extract("html", r"(?i)<html[^>]*?\slang\s*=\s*[\"']?([a-z-]+)", 1)
+    found = extract(pages.withColumn("declared", declared))
+    parts = F.split("host", r"\.")
+    domain = F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), F.lit(2)), ".")
+    got = identify(found, fit(table(spark, sf_dir, "documents"), LANGUAGES), F.col("text"), host=F.col("host"), declared=F.col("declared"), suffix=F.element_at(parts, -1), domain=domain)
+    return got.select("page_id", "host", "declared", "language", "confidence", "accepted")
+
+
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored picture of every document, met from the reference in the document's page."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -76,6 +103,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat": op3_chat,
         "op4_packing": op4_packing,
         "op5_html": op5_html,
+        "op6_language": op6_language,
+        "language_of_pages": language_of_pages,
         "op7_media": op7_media,
         "op9_circulant_minhash": op9_circulant_minhash,
         "op10_pii": op10_pii,
