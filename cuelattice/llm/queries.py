@@ -18,7 +18,7 @@ from .packing import pack
 from .pii import KINDS, sanitise, spelled
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file."""
     import public_tokenizers
 
@@ -41,7 +41,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 1024 tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack(docs, _vocabulary("byte_bpe_50k.json"), _vocabulary("byte_bpe_50k.tiktoken"))
+    return pack(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
