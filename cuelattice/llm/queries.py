@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import CHAT_SQL, TRICKY, format_chats, read_back
 from .circulant_minhash import near_duplicates
 from .common import Scratch, table
+from .cover_tree import close_vectors
 from .html_paths import extract
 from .language import fit, identify
 from .media import illustrated, interleave, media_facts, resolve, store_texts
@@ -84,6 +85,11 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items")
 
 
+def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors."""
+    return close_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents."""
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -106,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_language": op6_language,
         "language_of_pages": language_of_pages,
         "op7_media": op7_media,
+        "op8_cover_tree": op8_cover_tree,
         "op9_circulant_minhash": op9_circulant_minhash,
         "op10_pii": op10_pii,
     }
