@@ -9,10 +9,13 @@ How the work stays in proportion to the input:
 * documents with equal sets become one class before any banding;
 * in a bucket, each class is first compared with the bucket's least class only, and components are
   built from those links;
-* classes of one bucket that are then still in different components are compared with each other by the
-  signature's bits inside the join, and only pairs that pass go on to the exact comparison.
+* a few rounds more compare the classes of other components with one class of the bucket chosen at random,
+  another one in each bucket and round;
+* classes of one bucket that are then still in different components are compared with each other inside the
+  join, by the signature's bits and then by a larger sketch that only these classes have; each pair is met
+  in its first common bucket only, and only pairs that pass go on to the exact comparison.
 
-So no link between components is lost to the star, and a group of thousands of copies costs thousands
+So no link between components is lost to the stars, and a group of thousands of copies costs thousands
 of comparisons.
 """
 
@@ -26,15 +29,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, digest128, shingle_set, small
+from .common import Scratch, digest128, mix64, shingle_set, small
 from .components import connected_components
 
 #: 38 bands of 5: a pair of similarity 0.75 shares none with probability 3e-5, one of 0.8 with 3e-7.
 BANDS, ROWS = 38, 5
 #: Coordinates of the signature; the lowest bit of each is kept for a quick estimate.
 COORDINATES = 192
-#: Bits that agree at least. A pair of similarity 0.75 agrees in 168 of 192, with a deviation of 4.6.
-AGREE = 140
+#: Bits that agree at least. A pair of similarity 0.75 agrees in 168 of 192, with a deviation of 4.6:
+#: fewer have one in a million.
+AGREE = 146
+#: Rounds of stars around random classes at most.
+ROUNDS = 2
+#: Lanes of four bits of the larger sketch, and the deviations from similarity 0.75 that it lets pass.
+LANES, DEVIATIONS = 1024, 5.0
 _BLOCK = 512
 
 
@@ -133,6 +141,48 @@ def _close(a: str, b: str) -> F.Column:
     return (4 * F.least(f"{a}.n", f"{b}.n") >= 3 * F.greatest(f"{a}.n", f"{b}.n")) & (agree <= COORDINATES - AGREE)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """1024 lanes, 16 in a number: 0 for a lane that no shingle falls in, else 1 to 15 from the least that does."""
+    x = mix64(shingles ^ np.uint64(0x5851F42D4C957F2D))
+    lane = (x & np.uint64(LANES - 1)).astype(np.int64)
+    least = np.full(LANES, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(least, lane, x >> np.uint64(10))
+    value = np.where(np.bincount(lane, minlength=LANES) > 0, mix64(least) % np.uint64(15) + np.uint64(1), np.uint64(0))
+    return (value.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        got = [sketch(shingle_set(t.as_py())) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in got], pa.list_(pa.int64()))], names=["cid", "sketch"])
+
+
+def _filled(x: F.Column) -> F.Column:
+    """How many of a number's 16 lanes are not 0."""
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+    x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
+    return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
+
+
+def _alike(a: str, b: str) -> F.Column:
+    """Whether the sketches allow the similarity.
+
+    Of the E lanes filled in either, those that differ are at most a quarter, up to some deviations. Lanes are
+    a sample without replacement of the union, which has (n + m) / 1.75 shingles at similarity 0.75.
+    """
+
+    union = (F.col(f"{a}.n") + F.col(f"{b}.n")) / 1.75
+
+    def allowed(counts: F.Column) -> F.Column:
+        either, differ = F.shiftright(counts, 16), counts.bitwiseAND(F.lit(65535))
+        left = F.greatest(1 - either / union, F.lit(0.0)) + 0.02
+        return differ <= 0.25 * either + DEVIATIONS * F.sqrt(0.1875 * either * left) + 3
+
+    # both counts in one number, so that the sketches are read once
+    both = F.zip_with(f"{a}.sketch", f"{b}.sketch", lambda x, y: 65536 * _filled(x.bitwiseOR(y)) + _filled(x.bitwiseXOR(y)))
+    return F.aggregate(both, F.lit(0), lambda s, v: s + v, allowed)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs.
 
@@ -155,22 +205,42 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = scratch.write(shared.select("bucket", "head"), "buckets")
     members = scratch.write(placed.join(shared, "bucket").select("bucket", "cid", "head"), "members")
 
-    # the star of each bucket
-    star = members.where("cid <> head").select(F.col("cid").alias("src"), F.col("head").alias("dst")).distinct()
-    a, b = traits.alias("a"), traits.alias("b")
-    star = star.join(a, F.col("src") == F.col("a.cid")).join(b, F.col("dst") == F.col("b.cid")).where(_close("a", "b")).select("src", "dst")
-    star = scratch.write(star, "star")
-    links = _verified(docs, star, scratch, "star")
-    roots = connected_components(links, scratch)
-
-    # what the star may have missed: pairs of one bucket in different components
-    rooted = scratch.write(members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("root", "cid").alias("root")), "rooted")
-    split = scratch.write(rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket"), "split")
-    open_ = scratch.write(rooted.join(split, "bucket").join(traits, "cid"), "open")
+    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        a, b = traits.alias("a"), traits.alias("b")
+        pairs = pairs.join(a, F.col("src") == F.col("a.cid")).join(b, F.col("dst") == F.col("b.cid")).where(_close("a", "b")).select("src", "dst")
+        return _verified(docs, scratch.write(pairs, name), scratch, name)
+
+    # the star of each bucket around its least class
+    links = confirmed(members.where("cid <> head").select(F.col("cid").alias("src"), F.col("head").alias("dst")).distinct(), "star")
+    members = members.select("bucket", "cid")
+    for k in range(ROUNDS + 1):
+        roots = connected_components(links, scratch)
+        rooted = scratch.write(members.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("bucket", "cid", F.coalesce("root", "cid").alias("root")), "rooted")
+        # buckets with more than one component, and a class of each by chance
+        chosen = F.min_by(F.struct("cid", "root"), F.xxhash64("cid", "bucket", F.lit(k)))
+        split = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), chosen.alias("c")).where("lo <> hi")
+        split = scratch.write(split.select("bucket", F.col("c.cid").alias("head"), F.col("c.root").alias("head_root")), "split")
+        members = scratch.write(rooted.join(split, "bucket"), "open")
+        if k == ROUNDS:
+            break
+        star = members.where("root <> head_root").select(F.greatest("cid", "head").alias("src"), F.least("cid", "head").alias("dst")).distinct()
+        found = confirmed(star, "chance")
+        if found.isEmpty():
+            break
+        links = scratch.write(links.unionByName(found), "links")
+        members = members.select("bucket", "cid")
+
+    # what the stars have missed: pairs of one bucket in different components
+    ids = scratch.write(members.select(F.col("cid").alias("doc_id")).distinct(), "open-ids")
+    texts = docs.join(small(ids, 16), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text", ignorenulls=True).alias("text"))
+    sketches = scratch.write(texts.mapInArrow(_sketches, "cid long, sketch array<long>"), "sketches")
+    more_traits = scratch.write(classes.select("cid", "n", "bands", "s0", "s1", "s2").join(sketches, "cid"), "traits")
+    open_ = scratch.write(members.select("bucket", "cid", "root").join(more_traits, "cid"), "traits")
     a, b = open_.alias("a"), open_.alias("b")
-    pairs = a.join(b, (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.cid") < F.col("b.cid")) & (F.col("a.root") != F.col("b.root")) & _close("a", "b"))
-    pairs = pairs.select(F.col("b.cid").alias("src"), F.col("a.cid").alias("dst")).distinct().join(star, ["src", "dst"], "left_anti")
-    pairs = scratch.write(pairs, "rest")
+    first = F.element_at(F.array_intersect("a.bands", "b.bands"), 1) == F.col("a.bucket")
+    same = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.cid") < F.col("b.cid")) & (F.col("a.root") != F.col("b.root")) & _close("a", "b")
+    pairs = a.join(b, same & first & _alike("a", "b"))
+    pairs = scratch.write(pairs.select(F.col("b.cid").alias("src"), F.col("a.cid").alias("dst")), "rest")
     more = _verified(docs, pairs, scratch, "rest")
     roots = connected_components(links.unionByName(more), scratch)
 
