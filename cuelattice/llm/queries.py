@@ -13,6 +13,7 @@ from .common import Scratch, table
 from .cover_tree import close_vectors
 from .html_paths import extract
 from .language import fit, identify
+from .licenses import scan_licenses
 from .media import illustrated, interleave, media_facts, resolve, store_texts
 from .mixing import MIX_SQL, mix
 from .packing import pack
@@ -31,6 +32,11 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The license templates that every document holds."""
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and the tricky one, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -106,6 +112,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
+        "op2_licenses": op2_licenses,
         "op3_chat": op3_chat,
         "op4_packing": op4_packing,
         "op5_html": op5_html,
