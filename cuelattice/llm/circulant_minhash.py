@@ -125,7 +125,8 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Those of the written pairs (src, dst) that the full texts confirm."""
-    ids = scratch.write(pairs.select(F.explode(F.array("src", "dst")).alias("doc_id")).distinct(), f"{name}-ids")
+    ids = pairs.select(F.col("src").alias("doc_id")).distinct().unionByName(pairs.select(F.col("dst").alias("doc_id")).distinct())
+    ids = scratch.write(ids.distinct(), f"{name}-ids")
     # one text for each id: a class's least document may come in repeated rows
     texts = docs.join(small(ids, 16), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text", ignorenulls=True).alias("text"))
     texts = scratch.write(texts, f"{name}-texts")
