@@ -45,9 +45,11 @@ def joined_words(parts: Column) -> Column:
 
 def grams(toks: Column, size: int) -> Column:
     """The distinct runs of size tokens, each joined by spaces."""
-    n = F.size(toks) - size + 1
-    each = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(toks, i, size), " "))
-    return F.when(n > 0, F.array_distinct(each)).otherwise(F.array().cast("array<string>"))
+    # shifted copies side by side, so that toks is not evaluated for each place
+    got = toks
+    for k in range(1, size):
+        got = F.zip_with(got, F.slice(toks, k + 1, 2**31 - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.filter(got, lambda g: g.isNotNull()))
 
 
 def letters(text: Column) -> Column:
@@ -119,7 +121,7 @@ def ends_clause(text: Column) -> Column:
 
 def clipped(text: Column, most: int) -> Column:
     """At most so many characters, cut behind a word."""
-    head = F.regexp_replace(F.left(text, F.lit(most)), r"\s+\S*$", "")
+    head = F.regexp_replace(F.left(text, F.lit(most)), r"\s+\S*\z", "")
     return F.when(F.length(text) <= most, text).otherwise(head)
 
 

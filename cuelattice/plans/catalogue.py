@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import timeline
+from . import dialogue, timeline
 
-_MODULES = (timeline,)
+_MODULES = (timeline, dialogue)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
