@@ -48,7 +48,7 @@ def grams(toks: Column, size: int) -> Column:
     # shifted copies side by side, so that toks is not evaluated for each place
     got = toks
     for k in range(1, size):
-        got = F.zip_with(got, F.slice(toks, k + 1, 2**31 - 1), lambda a, b: F.concat(a, F.lit(" "), b))
+        got = F.zip_with(got, F.slice(toks, k + 1, 1_000_000_000), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.array_distinct(F.filter(got, lambda g: g.isNotNull()))
 
 
