@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dialogue, timeline
+from . import dialogue, scores, timeline
 
-_MODULES = (timeline, dialogue)
+_MODULES = (timeline, dialogue, scores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
