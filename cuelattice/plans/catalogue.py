@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dialogue, scores, timeline
+from . import dialogue, scores, solvers, timeline
 
-_MODULES = (timeline, dialogue, scores)
+_MODULES = (timeline, dialogue, scores, solvers)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
