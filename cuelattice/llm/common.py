@@ -16,6 +16,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_BYTES = 32 * 1024 * 1024
 
 
+#: Rows of an Arrow batch at most: texts can be long, and a batch is held by the JVM and by Python at once.
+ARROW_ROWS = 500
+_ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batches to ARROW_ROWS; a smaller setting stays."""
+    if not 0 < int(spark.conf.get(_ARROW_SETTING, "10000")) <= ARROW_ROWS:
+        spark.conf.set(_ARROW_SETTING, ARROW_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,6 +40,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        bounded_batches(spark)
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
             base = tempfile.mkdtemp(prefix="spark-checkpoints-")

@@ -148,7 +148,7 @@ def fused(own: np.ndarray, mine: np.ndarray, levels: list[np.ndarray], has_text:
     return posterior(own + np.log(prior))
 
 
-def _judge(model_of, total: np.ndarray):
+def _judge(model_of, total: list[int], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of.value
         names = [*model.languages, UNKNOWN]
@@ -157,7 +157,7 @@ def _judge(model_of, total: np.ndarray):
             at = {n: i for i, n in enumerate(batch.schema.names)}
             rows = []
             small_columns = [batch.column(at[c]).to_pylist() for c in ("__declared", "__suffix", "__host_counts", "__domain_counts")]
-            for text, declared, suffix, host, domain in zip(batch.column(at["__text"]), *small_columns, strict=True):
+            for text, declared, suffix, host, domain in zip(batch.column(at[text_col]), *small_columns, strict=True):
                 own, n = _own(model, text.as_py(), declared, suffix)
                 mine = np.rint(1000 * posterior(own + flat)) / 1000
                 levels = [np.array(c) / 1000 if c else np.zeros(len(names)) for c in (total, domain, host)]
@@ -175,23 +175,21 @@ def _judge(model_of, total: np.ndarray):
     return run
 
 
-def identify(rows: DataFrame, model: Model, text: Column | None = None, host: Column | None = None, declared: Column | None = None, suffix: Column | None = None, domain: Column | None = None) -> DataFrame:
+def identify(rows: DataFrame, model: Model, text_col: str = "text", host: Column | None = None, declared: Column | None = None, suffix: Column | None = None, domain: Column | None = None) -> DataFrame:
     """rows with language, confidence and accepted.
 
-    text, host, declared, suffix and domain say where the evidence is; of those left out there is none. Null
-    or empty evidence says nothing. A text without letters is of the unknown language, and not accepted.
+    host, declared, suffix and domain say where the evidence is; of those left out there is none. Null or empty evidence says nothing. A text without letters is of the unknown language, and not accepted.
     Rows may repeat; all columns stay, but those with the names of results are replaced.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "language")
     rows = rows.drop("language", "confidence", "accepted")
     nothing = F.lit(None).cast("string")
-    text = F.col("text") if text is None else text
-    evidence = [text.alias("__text"), F.coalesce(nothing if host is None else host, F.lit("")).alias("__host"), F.coalesce(nothing if domain is None else domain, F.lit("")).alias("__domain"), (nothing if declared is None else declared).alias("__declared"), (nothing if suffix is None else suffix).alias("__suffix")]
+    evidence = [F.coalesce(nothing if host is None else host, F.lit("")).alias("__host"), F.coalesce(nothing if domain is None else domain, F.lit("")).alias("__domain"), (nothing if declared is None else declared).alias("__declared"), (nothing if suffix is None else suffix).alias("__suffix")]
     width = len(model.languages) + 1
     columns = [f"c{i}" for i in range(width)]
     sent = spark.sparkContext.broadcast(model)
-    counts = rows.select(*evidence).mapInArrow(_host_counts(sent), ", ".join(["domain string", "host string", *(f"{c} long" for c in columns)]))
+    counts = rows.select(F.col(text_col).alias("__text"), *evidence).mapInArrow(_host_counts(sent), ", ".join(["domain string", "host string", *(f"{c} long" for c in columns)]))
     hosts = scratch.write(counts.groupBy("domain", "host").agg(*[F.sum(c).alias(c) for c in columns]), "hosts")
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns]
     total = np.array(hosts.agg(*sums).first(), np.int64)
@@ -200,6 +198,6 @@ def identify(rows: DataFrame, model: Model, text: Column | None = None, host: Co
     hosts = hosts.select(F.col("domain").alias("__domain"), F.col("host").alias("__host"), F.array(*columns).alias("__host_counts")).where("host <> ''")
     e = rows.select("*", *evidence)
     e = e.join(small(hosts, 64 + 8 * width), ["__domain", "__host"], "left").join(small(domains, 64 + 8 * width), "__domain", "left")
-    e = e.select(*rows.columns, "__text", "__declared", "__suffix", "__host_counts", "__domain_counts")
+    e = e.select(*rows.columns, "__declared", "__suffix", "__host_counts", "__domain_counts")
     ddl = ", ".join([rows.schema.toDDL(), "language string, confidence double, accepted boolean"])
-    return e.mapInArrow(_judge(sent, total.tolist()), ddl)
+    return e.mapInArrow(_judge(sent, total.tolist(), text_col), ddl)

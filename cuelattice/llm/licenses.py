@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, word_hashes
+from .common import bounded_batches, shingle_hashes, word_hashes
 
 #: Share of a template's shingles that a text must hold.
 CONTAINMENT = 0.75
@@ -165,6 +165,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     shingle holds; a template of fewer than five words is held only by a text of just these words. Rows and
     templates may repeat, each is reported; null ids stay null. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for base in range(0, max(1, len(templates)), CHUNK):

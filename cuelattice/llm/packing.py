@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Documents of a shard on average. Fewer lose more at the ends; more take longer in one task.
 SHARD_DOCS = 12_000
 #: What is not safe to split before each space and around each line end: other characters than printable
@@ -152,6 +154,7 @@ def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, en
     documents; a shard holds a few numbers a row. ranks_path names the tokenizer's vocabulary as ranks, if
     there is such a file. Other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     shards = max(1, -(-docs.count() // shard_docs))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     shard = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)).cast("long")

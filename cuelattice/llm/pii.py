@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -254,12 +255,14 @@ def sanitise(docs: DataFrame, support: int = SUPPORT, least: float = GENERALISE,
     docs = docs.drop("pii_spans")
     terms = revealing_terms(docs, scratch, support, least, chunk)
     schema = ", ".join([docs.schema.toDDL(), "pii_spans array<struct<start: long, kind: int, end: long>>", "__removed array<long>"])
-    out = docs.mapInArrow(_base, schema)
     context = docs.sparkSession.sparkContext
+    steps = [_base]
     for known, share in _chunks(terms, ["term", "share"], chunk):
-        out = out.mapInArrow(_terms(context.broadcast(known), context.broadcast(share)), schema)
+        steps.append(_terms(context.broadcast(known), context.broadcast(share)))
     if with_text:
-        out = out.mapInArrow(_rewrite, schema)
+        steps.append(_rewrite)
+    # one Python step, whatever it consists of
+    out = docs.mapInArrow(lambda batches: reduce(lambda b, step: step(b), steps, batches), schema)
     return out.drop("__removed").withColumn("pii_spans", F.sort_array("pii_spans"))
 
 

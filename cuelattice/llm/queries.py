@@ -63,7 +63,7 @@ LANGUAGES = ("de", "en", "es", "fr")
 
 def identify_documents(docs: DataFrame, labelled: DataFrame) -> DataFrame:
     """docs with language, confidence and accepted: the source is the host, lang the declared language."""
-    return identify(docs, fit(labelled, LANGUAGES), F.col("text"), host=F.col("source"), declared=F.col("lang"))
+    return identify(docs, fit(labelled, LANGUAGES), host=F.col("source"), declared=F.col("lang"))
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +79,7 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract(pages.withColumn("declared", declared))
     parts = F.split("host", r"\.")
     domain = F.array_join(F.slice(parts, F.greatest(F.lit(1), F.size(parts) - 1), F.lit(2)), ".")
-    got = identify(found, fit(table(spark, sf_dir, "documents"), LANGUAGES), F.col("text"), host=F.col("host"), declared=F.col("declared"), suffix=F.element_at(parts, -1), domain=domain)
+    got = identify(found, fit(table(spark, sf_dir, "documents"), LANGUAGES), host=F.col("host"), declared=F.col("declared"), suffix=F.element_at(parts, -1), domain=domain)
     return got.select("page_id", "host", "declared", "language", "confidence", "accepted")
 
 
