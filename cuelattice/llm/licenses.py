@@ -3,7 +3,7 @@
 Templates are sorted into classes by their number of five-word shingles, each class up to twice the one
 before. The windows of a class are three blocks of half its largest size, one block apart, so that some window
 holds any run as long as a template of the class whole, and a template that is contained to 0.75 has a
-Jaccard similarity of at least 0.25 with it (2/3 in the class of two, 1 in that of one). Bands have one row;
+Jaccard similarity of at least 0.23 with it (2/3 in the class of two, 1 in that of one). Bands have one row;
 their number makes a miss rarer than one in ten thousand at that similarity. Block minima are shared by
 the windows over them and by the next class, so the text is hashed once for all classes.
 
