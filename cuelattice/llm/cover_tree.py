@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import BROADCAST_BYTES, Scratch, small
 from .components import connected_components
 
 #: Vectors of a leaf; children of a node at most.
@@ -35,6 +35,12 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1))[:, None]
 
 
+def _vectors(column) -> np.ndarray:
+    """An Arrow column of equally long lists as unit rows; no rows give none."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return unit(column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)) if len(column) else np.empty((0, 0))
+
+
 def _distance(dots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * dots, 0.0))
 
@@ -51,12 +57,16 @@ class CoverTree:
         node = np.zeros(n, np.int64)
         self.levels = [(np.zeros(1, np.int64), np.zeros(1, np.int64), np.array([between[0].max()]))]
         for radius in radii:
-            made, parents, centres = np.full(n, -1), [], []
             old = self.levels[-1][1]
+            # nodes of one row stay as they are
+            alone = np.flatnonzero(np.bincount(node, minlength=len(old))[node] == 1)
+            made, parents, centres = np.full(n, -1), list(node[alone]), list(alone)
+            made[alone] = np.arange(len(alone))
+            rest = np.flatnonzero(made < 0)
             # a node's centre stays the centre of its first child
-            for at in [*old, *np.setdiff1d(np.arange(n), old)]:
+            for at in [*old[np.bincount(node, minlength=len(old)) > 1], *rest]:
                 if made[at] < 0:
-                    near = (between[at] <= radius) & (made < 0) & (node == node[at])
+                    near = rest[(made[rest] < 0) & (between[at, rest] <= radius) & (node[rest] == node[at])]
                     made[near] = len(centres)
                     parents.append(node[at])
                     centres.append(at)
@@ -73,6 +83,8 @@ def dual(a: CoverTree, b: CoverTree, cosine: float) -> tuple[np.ndarray, np.ndar
     alive = np.ones((1, 1), bool)
     for (pa_, ca, ra), (pb, cb, rb) in zip(a.levels[:-1], b.levels[:-1], strict=True):
         alive = alive[np.ix_(pa_, pb)]
+        if 2 * len(ca) * len(cb) > len(a.x) * len(b.x):
+            continue  # hardly fewer pairs than those of the rows themselves
         alive &= _distance(a.x[ca] @ b.x[cb].T) <= ra[:, None] + rb[None, :] + most
         if not alive.any():
             return np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 0), bool)
@@ -111,7 +123,7 @@ def _compare(cosine: float):
         # equal rows in equal order, so that reruns agree
         t = t.sort_by([("side", "ascending"), ("cid", "ascending")])
         cid, weight, side = (t.column(c).to_numpy() for c in ("cid", "m", "side"))
-        x = unit(np.array(t.column("vec").to_pylist(), np.float64))
+        x = _vectors(t.column("vec"))
         first = side == 0
         one = CoverTree(x[first])
         alone = bool(first.all())
@@ -156,28 +168,28 @@ def _net(radius: float):
     return run
 
 
-def _assign(batches):
-    """The nearest centre of each vector, and its distance."""
-    for batch in batches:
-        node, vec = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-        centres: dict = {}
-        name, far = [], []
-        for i, c in enumerate(batch.column(4)):
-            if not c.is_valid:
-                name.append(node[i])
-                far.append(None)
-                continue
-            if node[i] not in centres:
-                centres = {node[i]: unit(np.array(c.as_py(), np.float64))}
-            dots = centres[node[i]] @ unit(np.array([vec[i]], np.float64))[0]
-            k = int(dots.argmax())
-            name.append(f"{node[i]}/{k}")
-            far.append(float(_distance(dots[k])))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), batch.column(2), batch.column(3), pa.array(node, pa.string()), pa.array(far, pa.float64())], names=["cid", "node", "vec", "m", "parent", "far"])
+def _assign(sent):
+    """The nearest centre of each vector, and its distance. sent holds the centres of nodes, or None: they come with the rows."""
 
+    def run(batches):
+        for batch in batches:
+            node, vec = np.array(batch.column(1).to_pylist(), object), batch.column(2)
+            name, far = node.copy(), np.full(len(node), np.nan)
+            for own in np.unique(node.astype(str)):
+                rows = np.flatnonzero(node == own)
+                if sent is None:
+                    given = batch.column(4)[int(rows[0])].as_py()
+                    centres = unit(np.array(given, np.float64)) if given else None
+                else:
+                    centres = sent.value.get(own)
+                if centres is not None:
+                    dots = _vectors(vec.take(pa.array(rows))) @ centres.T
+                    k = dots.argmax(1)
+                    name[rows] = [f"{own}/{i}" for i in k]
+                    far[rows] = _distance(dots[np.arange(len(rows)), k])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), vec, batch.column(3), pa.array(node, pa.string()), pa.array(far, pa.float64(), mask=np.isnan(far))], names=["cid", "node", "vec", "m", "parent", "far"])
 
-def _dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    return run
 
 
 def _upper(classes: DataFrame, scratch: Scratch, cosine: float, leaf: int) -> tuple[DataFrame, DataFrame]:
@@ -196,8 +208,14 @@ def _upper(classes: DataFrame, scratch: Scratch, cosine: float, leaf: int) -> tu
         picked = members.join(small(large.select("node", "fan"), 64, count), "node").groupBy("node", slot.alias("slot"), "fan").agg(F.min_by("vec", F.xxhash64("cid")).alias("vec"))
         picked = picked.groupBy("node", "fan").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "vec"))), lambda s: s["vec"].cast("array<double>")).alias("vecs"))
         centres = scratch.write(picked.select("node", "vecs", "fan").mapInArrow(_net(2.0**-level), "node string, centres array<array<double>>"), "centres")
-        held = members.join(small(centres, FAN * 8 * dim + 64, count), "node", "left").select("cid", "node", "vec", "m", "centres")
-        moved = scratch.write(held.mapInArrow(_assign, f"{members.schema.toDDL()}, parent string, far double"), "members")
+        ddl = f"{members.schema.toDDL()}, parent string, far double"
+        if count * (FAN * 8 * dim + 64) <= BROADCAST_BYTES:
+            of = {r["node"]: unit(np.array(r["centres"], np.float64)) for r in centres.collect()}
+            moved = members.mapInArrow(_assign(members.sparkSession.sparkContext.broadcast(of)), ddl)
+        else:
+            held = members.join(centres, "node", "left").select("cid", "node", "vec", "m", "centres")
+            moved = held.mapInArrow(_assign(None), ddl)
+        moved = scratch.write(moved, "members")
         # a node that was not split has neither centre nor radius; its pairs stay as they are
         nodes = moved.groupBy("node", "parent").agg(F.max("far").alias("radius"))
         placed = centres.select("node", F.posexplode("centres").alias("k", "v"))
