@@ -12,14 +12,14 @@ from .runs import blocks
 
 
 def split_long(words: DataFrame, keys: Sequence[str], block: str = "block", most_us: int = 6_000_000, chars: int = 84, rounds: int = 8) -> DataFrame:
-    """words with piece: blocks halved at their best place until each is short enough, or one word.
+    """words with part: blocks halved at their best place until each is short enough, or one word.
 
     The best place has a sentence's or a clause's end before it, a long pause behind it and lies near the middle.
     All blocks of all clips are halved in the same round; every round at least takes one word off.
     """
-    d = words.withColumn("piece", F.array(F.col(block).cast("int")))
+    d = words.withColumn("part", F.lit(1).cast("long"))  # the halves of part k are 2k and 2k + 1
     for _ in range(rounds):
-        part = Window.partitionBy(*keys, "piece")
+        part = Window.partitionBy(*keys, block, "part")
         w = part.orderBy("s", "e", "id")
         n = F.count("*").over(part)
         long = (F.max("e").over(part) - F.min("s").over(part) > most_us) | (F.sum(F.length("text") + 1).over(part) - 1 > chars)
@@ -27,9 +27,9 @@ def split_long(words: DataFrame, keys: Sequence[str], block: str = "block", most
         pause = (F.lead("s").over(w) - F.col("e")) / 1e6
         score = F.when(text.ends_sentence(F.col("text")), 2.0).when(text.ends_clause(F.col("text")), 1.0).otherwise(0.0) + 2 * pause - F.abs(2 * place - n) / n
         d = d.withColumns({"__long": long & (n > 1), "__n": place, "__score": F.when(place < n, F.struct(F.round(score, 9).alias("score"), (-place).alias("at")))})
-        cut = -F.max("__score").over(Window.partitionBy(*keys, "piece"))["at"]
-        step = F.when(F.col("__long"), F.when(F.col("__n") <= cut, 0).otherwise(1))
-        d = d.withColumn("piece", F.when(step.isNotNull(), F.concat("piece", F.array(step))).otherwise(F.col("piece"))).drop("__long", "__n", "__score")
+        cut = -F.max("__score").over(part)["at"]
+        step = F.when(F.col("__n") <= cut, 0).otherwise(1)
+        d = d.withColumn("part", F.when(F.col("__long"), 2 * F.col("part") + step).otherwise(F.col("part"))).drop("__long", "__n", "__score")
     return d
 
 
@@ -48,13 +48,13 @@ def build_cues(words: DataFrame, keys: Sequence[str], pause_us: int = 2_500_000,
     """keys, number, label, text, start_ms, end_ms: cues of the words (id, s, e, text, label) of each clip."""
     d = blocks(words, keys, pause_us, text.ends_sentence(F.col("text")), label)
     d = split_long(d, keys, "block", most_us, chars)
-    got = d.groupBy(*keys, "piece").agg(
+    got = d.groupBy(*keys, "block", "part").agg(
         F.min("s").alias("s"),
         F.max("e").alias("e"),
         F.first(label, ignorenulls=True).alias(label),
         text.joined_words(F.transform(F.sort_array(F.collect_list(F.struct("s", "e", "id", "text"))), lambda x: x["text"])).alias("text"),
     )
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("s", "piece"))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("s", "block", "part"))
     return got.select(*keys, number.alias("number"), label, "text", F.floor(F.col("s") / 1000).alias("start_ms"), F.ceil(F.col("e") / 1000).alias("end_ms"))
 
 

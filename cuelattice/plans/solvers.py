@@ -11,28 +11,33 @@ from ..operators import cues as cu
 from .adapters import HOUR, SPANS, cues, pairs, spans, table, voices
 
 K = ["key"]
+PIECE = ["key", "piece"]
 
 
 def _passes(spark, sf_dir):
-    """Turns of conversations as lines of three passes; the later ones drop every seventh or fifth word."""
-    c = cues(spark, sf_dir).select("key", F.col("number").alias("line"), F.posexplode(text.tokens(F.col("text"))).alias("at", "token"), "start_ms", "end_ms", F.size(text.tokens(F.col("text"))).alias("n"))
+    """Turns of conversations as lines of three passes; the later ones drop every seventh or fifth word.
+
+    A piece is what starts within 75 seconds: passes are compared piece by piece.
+    """
+    c = cues(spark, sf_dir).withColumn("t", text.tokens(F.col("text"))).withColumn("n", F.size("t"))
+    c = c.select("key", F.col("number").alias("line"), F.posexplode("t").alias("at", "token"), "start_ms", "end_ms", "n")
     long = F.col("end_ms") - F.col("start_ms")
-    w = c.select("key", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("pass"), "line", (F.col("line") * 100_000 + F.col("at")).cast("long").alias("seq"), "token", "at", (F.col("start_ms") * 1000 + F.floor(long * 1000 * F.col("at") / F.col("n"))).cast("long").alias("s"), (F.col("start_ms") * 1000 + F.floor(long * 1000 * (F.col("at") + 1) / F.col("n"))).cast("long").alias("e"))
+    w = c.select("key", F.floor(F.col("start_ms") / 75_000).alias("piece"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("pass"), "line", (F.col("line") * 100_000 + F.col("at")).cast("long").alias("seq"), "token", "at", (F.col("start_ms") * 1000 + F.floor(long * 1000 * F.col("at") / F.col("n"))).cast("long").alias("s"), (F.col("start_ms") * 1000 + F.floor(long * 1000 * (F.col("at") + 1) / F.col("n"))).cast("long").alias("e"))
     return w.where("pass = 0 or (pass = 1 and at % 7 <> 3) or (pass = 2 and at % 5 <> 2)").drop("at")
 
 
 def vote_full(spark, sf_dir):
     w = _passes(spark, sf_dir)
-    lines = w.groupBy("key", "pass", "line").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    return al.vote(w, lines, K)
+    lines = w.groupBy(*PIECE, "pass", "line").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    return al.vote(w, lines, PIECE)
 
 
 def pass_order(spark, sf_dir):
-    return al.ordered_passes(_passes(spark, sf_dir), K)
+    return al.ordered_passes(_passes(spark, sf_dir), PIECE)
 
 
 def witness_count(spark, sf_dir):
-    return al.witnesses(_passes(spark, sf_dir), K).groupBy("key", "backed").agg(F.count("*").alias("n"))
+    return al.witnesses(_passes(spark, sf_dir), PIECE).groupBy("key", "backed").agg(F.count("*").alias("n"))
 
 
 def edit_path(spark, sf_dir):
@@ -54,7 +59,8 @@ def forced_alignment(spark, sf_dir):
 
 def cue_words(spark, sf_dir):
     """Words of conversations with times by their letters."""
-    c = cues(spark, sf_dir).select("key", "number", "speaker", F.posexplode(text.words(F.col("text"))).alias("at", "w"), "start_ms", "end_ms", F.size(text.words(F.col("text"))).alias("n"))
+    c = cues(spark, sf_dir).withColumn("t", text.words(F.col("text"))).withColumn("n", F.size("t"))
+    c = c.select("key", "number", "speaker", F.posexplode("t").alias("at", "w"), "start_ms", "end_ms", "n")
     at = lambda k: (F.col("start_ms") * 1000 + F.floor((F.col("end_ms") - F.col("start_ms")) * 1000 * k / F.col("n"))).cast("long")
     return c.select("key", (F.col("number") * 100_000 + F.col("at")).cast("long").alias("id"), F.col("speaker").alias("label"), F.col("w").alias("text"), at(F.col("at")).alias("s"), at(F.col("at") + 1).alias("e"))
 
