@@ -20,7 +20,7 @@ def _outcome(value: Column, reason: Column, nearest: Column) -> Column:
 def number(raw: Column, low: float, high: float, step: float) -> Column:
     """A number in range and on a step, percent signs and eastern digits accepted; else refused with the nearest."""
     clean = F.regexp_replace(F.replace(text.western_digits(F.trim(raw)), F.lit("٫"), F.lit(".")), r"\s*[%٪]\z", "")
-    n = F.expr("double(null)") if raw is None else clean.try_cast("double")
+    n = clean.try_cast("double")
     inside = F.least(F.greatest(n, F.lit(low)), F.lit(high))
     on = F.round(F.lit(low) + F.bround((inside - low) / step, 0) * step, 4)
     reason = (
@@ -55,14 +55,14 @@ def colour(raw: Column) -> Column:
 def resolve(stored: DataFrame, defaults: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, name, value: every setting, from the stored ones over the defaults."""
     owners = stored.select(*keys).distinct()
-    every = owners.join(F.broadcast(defaults.withColumnRenamed("value", "__default")), how="cross")
+    every = owners.crossJoin(defaults.withColumnRenamed("value", "__default"))
     return every.join(stored, [*keys, "name"], "left").select(*keys, "name", F.coalesce("value", "__default").alias("value"))
 
 
 def snapshot(values: DataFrame, defaults: DataFrame) -> DataFrame:
     """The values that differ from their default."""
     d = defaults.withColumnRenamed("value", "__default")
-    return values.join(F.broadcast(d), "name").where(~F.col("value").eqNullSafe(F.col("__default"))).drop("__default")
+    return values.join(d, "name").where(~F.col("value").eqNullSafe(F.col("__default"))).drop("__default")
 
 
 def nearest_holding(values: DataFrame, candidates: DataFrame, holds: Column) -> DataFrame:
@@ -72,4 +72,4 @@ def nearest_holding(values: DataFrame, candidates: DataFrame, holds: Column) ->
     """
     steps = candidates.where(holds).agg(F.sort_array(F.collect_set("candidate")).alias("__c"))
     best = F.array_min(F.transform("__c", lambda c: F.struct(F.abs(c - F.col("value")).alias("d"), c.alias("c"))))["c"]
-    return values.crossJoin(F.broadcast(steps)).withColumn("nearest", best).drop("__c")
+    return values.crossJoin(steps).withColumn("nearest", best).drop("__c")

@@ -67,7 +67,7 @@ def misnamed(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     """
     g = glossary.withColumn("__first", F.element_at(text.tokens(F.col("term")), 1)).where("__first is not null")
     d = pairs.withColumn("__first", F.explode(F.array_distinct(text.tokens(F.col("source")))))
-    both = d.join(F.broadcast(g), "__first")
+    both = d.join(g, "__first")
     padded = lambda c: F.concat(F.lit(" "), F.array_join(text.tokens(F.col(c)), " "), F.lit(" "))
     said = F.contains(padded("source"), padded("term"))
     meant = F.contains(F.lower("target"), F.lower("meaning"))

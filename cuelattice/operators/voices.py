@@ -25,22 +25,33 @@ def sums(prints: DataFrame, keys: Sequence[str]) -> DataFrame:
     return got.select(*keys, "n", F.transform("v", lambda s: s["x"]).alias("total"))
 
 
+#: Bytes of label averages that may go with every print.
+BOUND = 32 * 1024 * 1024
+
+
+def _centres(prints: DataFrame, label: str) -> DataFrame:
+    """One row with the label, number and vector sum of every label, its size checked before it is sent around."""
+    s = sums(prints.where(F.col(label).isNotNull()), [label])
+    n, dim = s.agg(F.count("*"), F.coalesce(F.max(F.size("total")), F.lit(0))).first()
+    if n * dim * 8 > BOUND:
+        raise ValueError(f"{n} labels of {dim} numbers are too many to compare each print with all of them")
+    return F.broadcast(s.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), "n", "total"))).alias("__c")))
+
+
 def nearest(prints: DataFrame, label: str = "label") -> DataFrame:
     """prints with near, similarity: the label whose average is nearest; of equals the least.
 
     Labels are few: their averages are one row, an array that goes with every print.
     """
-    s = sums(prints.where(F.col(label).isNotNull()), [label])
-    centres = s.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), "total"))).alias("__c"))
+    centres = _centres(prints, label)
     best = F.array_min(F.transform("__c", lambda c: F.struct((-F.round(cosine("vec", c["total"]), 9)).alias("s"), c["label"].alias("label"))))
-    return prints.crossJoin(F.broadcast(centres)).withColumn("__b", best).select(*prints.columns, F.col("__b.label").alias("near"), (-F.col("__b.s")).alias("similarity"))
+    return prints.crossJoin(centres).withColumn("__b", best).select(*prints.columns, F.col("__b.label").alias("near"), (-F.col("__b.s")).alias("similarity"))
 
 
 def leave_one_out(prints: DataFrame, label: str = "label") -> DataFrame:
     """prints with own, rival: similarity to the rest of its own label, and the best to another label's average."""
-    s = sums(prints.where(F.col(label).isNotNull()), [label])
-    centres = s.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), "n", "total"))).alias("__c"))
-    d = prints.where(F.col(label).isNotNull()).crossJoin(F.broadcast(centres))
+    centres = _centres(prints, label)
+    d = prints.where(F.col(label).isNotNull()).crossJoin(centres)
     mine = F.element_at(F.filter("__c", lambda c: c["label"] == F.col(label)), 1)
     rest = F.zip_with(mine["total"], F.col("vec"), lambda x, y: x - y)
     rival = F.array_max(F.transform(F.filter("__c", lambda c: c["label"] != F.col(label)), lambda c: cosine("vec", c["total"])))
@@ -59,9 +70,8 @@ def silhouette(prints: DataFrame, label: str = "label") -> DataFrame:
     The mean distance of a unit vector to a group is 1 less its product with the group's mean unit vector.
     """
     unit = prints.withColumn("vec", F.transform("vec", lambda x: x / F.sqrt(dot("vec", "vec"))))
-    s = sums(unit, [label])
-    centres = s.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("label"), "n", "total"))).alias("__c"))
-    d = unit.crossJoin(F.broadcast(centres))
+    centres = _centres(unit, label)
+    d = unit.crossJoin(centres)
     mine = F.element_at(F.filter("__c", lambda c: c["label"] == F.col(label)), 1)
     a = 1 - (dot("vec", mine["total"]) - 1) / (mine["n"] - 1)
     b = F.array_min(F.transform(F.filter("__c", lambda c: c["label"] != F.col(label)), lambda c: 1 - dot("vec", c["total"]) / c["n"]))
