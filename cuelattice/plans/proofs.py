@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.languages import LANGUAGES, with_language
 from ..operators import evidence as ev
-from .adapters import CUES, HOUR, LINES, SPANS, cues, lines, spans
+from ..operators import repair as rp
+from .adapters import CUES, HOUR, LINES, SPANS, cues, lines, spans, table
 from .dialogue import _tokens
 
 K = ["key"]
@@ -105,7 +107,40 @@ def newest_events(spark, sf_dir):
     return ev.latest(spans(spark, sf_dir), K, "s", 5).select("key", "id")
 
 
-QUERIES = {f.__name__: f for f in (lines_said_before, timed_over, sentence_home, missing_words, contract_recall, ask_budget, densest_sample, text_bands, placement, voices_told_apart, speech_tiers, segment_homes, drift_anchor, similar_lines, newest_events)}
+def language_dimension(spark, sf_dir):
+    """Documents by the line length and reading speed of their language."""
+    d = with_language(table(spark, sf_dir, "documents"), "lang")
+    return d.groupBy("name", "rtl", "line_chars", "cps").agg(F.count("*").alias("n"))
+
+
+def punctuation_attach(spark, sf_dir):
+    """Words of turns with the times of their tokens, a tenth of a second a letter."""
+    c = cues(spark, sf_dir).withColumn("t", text.tokens(F.col("text")))
+    p = c.select("key", "number", F.posexplode("t").alias("id", "text")).withColumns({"s": F.col("id").cast("long") * 100_000, "e": F.col("id").cast("long") * 100_000 + 90_000})
+    got = rp.attach_punctuation(c.select("key", "number", "text"), p, ["key", "number"])
+    return got.groupBy("key", "number").agg(F.count("*").alias("words"), F.count("s").alias("timed"), F.max("e").alias("e"))
+
+
+def alike_dedup(spark, sf_dir):
+    """Events as lines that say their type; every third is a dropped one."""
+    d = spans(spark, sf_dir).withColumns({"text": F.col("label"), "dropped": F.col("id") % 3 == 0})
+    return rp.hand_over_copies(d, K, DAY).groupBy("key").agg(F.count("*").alias("n"), F.sum("s").alias("s"))
+
+
+def fault_injection(spark, sf_dir):
+    d = spans(spark, sf_dir).withColumn("text", F.col("label"))
+    got = rp.inject(d, K, "relabelled", 0.1)
+    return got.groupBy("label", "fault").agg(F.count("*").alias("n"))
+
+
+def bench_cells(spark, sf_dir):
+    clips = table(spark, sf_dir, "nation").select(F.col("n_name").alias("clip"))
+    faults = table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") == 0, "none").otherwise(F.col("r_name")).alias("fault"))
+    settings = spark.sql("SELECT * FROM VALUES (true), (false) AS s(local)")
+    return rp.bench_cells(clips, faults, settings, 2)
+
+
+QUERIES = {f.__name__: f for f in (lines_said_before, timed_over, sentence_home, missing_words, contract_recall, ask_budget, densest_sample, text_bands, placement, voices_told_apart, speech_tiers, segment_homes, drift_anchor, similar_lines, newest_events, language_dimension, punctuation_attach, alike_dedup, fault_injection, bench_cells)}
 
 _W = "PARTITION BY key ORDER BY s, e, id"
 SQL = {
@@ -141,3 +176,7 @@ SQL = {
   g AS (SELECT key, line, count(delta) AS n, count(*) AS a, median(delta) FILTER (k <= 3) AS delta FROM k GROUP BY key, line) SELECT key, line, delta FROM g WHERE n >= greatest(2, a / 2) AND abs(delta) >= {HOUR // 4}""",
     "newest_events": f"WITH {SPANS}, k AS (SELECT key, id, row_number() OVER (PARTITION BY key ORDER BY s DESC, id) AS k FROM spans) SELECT key, id FROM k WHERE k <= 5",
 }
+SQL["language_dimension"] = f"""WITH l(code, name, rtl, line_chars, cps) AS (VALUES {", ".join(f"('{c}', '{n}', {r}, {lc}, {cps}::DOUBLE)" for c, n, r, lc, cps, _ in LANGUAGES)})
+  SELECT coalesce(name, lang) AS name, coalesce(rtl, false) AS rtl, CAST(coalesce(line_chars, 42) AS INTEGER) AS line_chars, coalesce(cps, 17.0::DOUBLE) AS cps, count(*) AS n FROM documents LEFT JOIN l ON code = lang GROUP BY ALL"""
+SQL["bench_cells"] = """WITH f AS (SELECT CASE WHEN r_regionkey = 0 THEN 'none' ELSE r_name END AS fault FROM region), s(local) AS (VALUES (true), (false))
+  SELECT n_name AS clip, fault, local, CAST(seed AS INTEGER) AS seed FROM nation, f, s, (VALUES (0), (1)) v(seed) WHERE fault <> 'none' OR seed = 0"""
