@@ -88,7 +88,7 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     facts = media_facts(store_texts(docs, Scratch(spark, "media")))
     found = resolve(interleave(illustrated(docs)), facts)
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption", "n_items")
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "n_items")
 
 
 def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
