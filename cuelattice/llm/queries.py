@@ -105,7 +105,11 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The personal data of every document, and the terms that reveal it."""
     found = sanitise(table(spark, sf_dir, "documents").select("doc_id", "text"), with_text=False)
     base = F.filter("pii_spans", lambda s: s["kind"] < 4)
-    counts = [F.size(F.filter("pii_spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(5)]
+
+    def count(kind: int):
+        return F.size(F.filter("pii_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{KINDS[kind]}")
+
+    counts = [count(k) for k in range(5)]
     return found.select("doc_id", *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("pii_spans")).alias("spans"))
 
 
