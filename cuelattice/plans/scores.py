@@ -10,7 +10,7 @@ from ..operators import intervals as iv
 from ..operators import measures as ms
 from ..operators import settings as st
 from ..operators import voices as vo
-from .adapters import HOUR, SPANS, VOICES, lines, spans, table, voices
+from .adapters import HOUR, SPANS, VOICES, spans, table, voices
 
 K = ["key"]
 

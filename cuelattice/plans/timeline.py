@@ -158,7 +158,6 @@ def sliding_windows(spark, sf_dir):
 
 
 _W = "PARTITION BY key ORDER BY s, e, id"
-_RUNS = "sum(CASE WHEN row_number() OVER ({w}) = 1 OR {starts} THEN 1 ELSE 0 END)"
 
 
 def _numbered(name: str, source: str, starts: str, run: str = "run") -> str:
