@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -31,20 +32,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@cache
+def _own_folder() -> str:
+    """One temporary folder for sessions that name none."""
+    return tempfile.mkdtemp(prefix="spark-checkpoints-")
+
+
 class Scratch:
     """Written tables that cut lineage, in the folder that the cluster shares.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests)
-    a temporary folder is made and set.
+    a temporary folder is made.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         bounded_batches(spark)
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="spark-checkpoints-")
-            spark.conf.set("spark.checkpoint.dir", base)
+        base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
         self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
