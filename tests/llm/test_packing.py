@@ -1,5 +1,6 @@
 import random
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -12,18 +13,27 @@ from .common import DOCS, edges, empty, prose
 PATH, RANKS = vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken")
 
 
-def _plain(text):
+@cache
+def _tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
-    return t.encode(text, add_special_tokens=False).ids
+    return t
+
+
+def _plain(text):
+    return _tokenizer().encode(text, add_special_tokens=False).ids
+
+
+@pytest.fixture(scope="module")
+def ids():
+    return Ids(PATH, RANKS)
 
 
 @pytest.mark.parametrize("seed", range(6))
-def test_ids_are_the_tokenizers(seed):
+def test_ids_are_the_tokenizers(seed, ids):
     r = random.Random(seed)
-    ids = Ids(PATH, RANKS)
     bits = [" ", "\n", "  ", "a", "The", "don't", "é", "ß", "9", "42", ".", ",", "'s", "\t", "你好", "<|endoftext|>", " ", "\r\n", " \n", "¡", "_", "#", "\U0001f600", "x́"]
     for _ in range(400):
         text = "".join(r.choice(bits) for _ in range(r.randrange(14)))
