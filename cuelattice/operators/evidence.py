@@ -165,16 +165,45 @@ def drift(pairs: DataFrame, keys: Sequence[str], least: int = 2, first: int = 3,
     return got.where((F.col("n") >= F.greatest(F.lit(least), F.col("all") / 2)) & (F.abs("delta") >= move_us)).select(*keys, "line", "delta")
 
 
-@F.pandas_udf(DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratcliff-Obershelp similarity of two texts."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "", autojunk=False).ratio() for x, y in zip(a, b, strict=True)])
+def common_length(x: str, y: str) -> int:
+    """The length of the longest common subsequence, all of y's places at once in the bits of a number."""
+    at: dict[str, int] = {}
+    for i, c in enumerate(y):
+        at[c] = at.get(c, 0) | 1 << i
+    full = row = (1 << len(y)) - 1
+    for c in x:
+        met = row & at.get(c, 0)
+        row = (row + met | row - met) & full
+    return len(y) - row.bit_count()
+
+
+def ratio(x: str, y: str, least: float = 0.0) -> float | None:
+    """Ratcliff-Obershelp similarity of two texts, to six places; None if it is below least.
+
+    Matching blocks are a common subsequence, so what is ruled out by its length needs no blocks; a text that
+    holds the other whole has that one as its only block.
+    """
+    short, both = min(len(x), len(y)), len(x) + len(y)
+    if not both:
+        return 1.0
+    if (got := round(2 * short / both, 6)) < least:
+        return None
+    if not (x in y or y in x):
+        if round(2 * common_length(x, y) / both, 6) < least:
+            return None
+        got = round(SequenceMatcher(None, x, y, autojunk=False).ratio(), 6)
+    return got if got >= least else None
 
 
 def similar_lines(a: DataFrame, b: DataFrame, keys: Sequence[str], near_us: int, least: float = 0.6) -> DataFrame:
     """Pairs of lines (line, s, e, text) near in time, of comparable length, and alike."""
+
+    @F.pandas_udf(DoubleType())
+    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([ratio(t or "", u or "", least) for t, u in zip(x, y, strict=True)], dtype="float64")
+
     near = overlap_join(widened(a, near_us), b, keys, 16 * near_us).where(F.abs(F.length("text") - F.length("b_text")) <= F.greatest(F.lit(1), F.length("text")))
-    return near.withColumn("alike", F.round(ratio("text", "b_text"), 6)).where(F.col("alike") >= least).select(*keys, "line", "b_line", "alike")
+    return near.withColumn("alike", alike("text", "b_text")).where(F.col("alike") >= least).select(*keys, "line", "b_line", "alike")
 
 
 def latest(rows: DataFrame, keys: Sequence[str], at: str, keep: int) -> DataFrame:

@@ -99,7 +99,7 @@ def drift_anchor(spark, sf_dir):
 
 
 def similar_lines(spark, sf_dir):
-    d = _timed_lines(spark, sf_dir).where("key < 100").withColumn("text", F.left("text", F.lit(80)))
+    d = _timed_lines(spark, sf_dir)
     return ev.similar_lines(d, d.withColumn("text", F.concat("text", F.lit(" end"))), K, 1_000_000, 0.8)
 
 
