@@ -42,7 +42,7 @@ def witness_count(spark, sf_dir):
 
 def edit_path(spark, sf_dir):
     """Each turn against the next one's words, by conversation."""
-    d = pairs(spark, sf_dir).select("key", "number", F.slice(text.tokens(F.col("source")), 1, 200).alias("said"), F.slice(text.tokens(F.col("target")), 1, 200).alias("wrote"))
+    d = pairs(spark, sf_dir).select("key", "number", text.tokens(F.col("source")).alias("said"), text.tokens(F.col("target")).alias("wrote"))
     return al.error_rate(d, ["key", "number"], ["key"])
 
 

@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from cuelattice.operators import alignment as al
 from cuelattice.operators import evidence as ev
 from cuelattice.plans import catalogue
 
@@ -43,3 +44,15 @@ def test_ratio_equals_its_definition(seed):
     want = round(SequenceMatcher(None, x, y, autojunk=False).ratio(), 6)
     assert ev.ratio(x, y) == want
     assert ev.ratio(x, y, 0.8) == (want if want >= 0.8 else None)
+
+
+def test_edit_path_of_whole_turns(spark, tables):
+    (got,) = QUERIES["edit_path"](spark, tables).collect()
+    assert (got.said, got.wrong) == (250, 10)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_edit_steps_are_the_same_from_kept_rows(seed):
+    r = random.Random(seed)
+    a, b = (["abcd"[r.randrange(4)] for _ in range(r.randrange(40))] for _ in range(2))
+    assert al.edit_steps(a, b, 0) == al.edit_steps(a, b)
