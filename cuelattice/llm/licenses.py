@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shingle_hashes, word_hashes
+from .common import bounded_batches, lowered, run_hashes, shingle_hashes, term_hashes, word_hashes
 
 #: Share of a template's shingles that a text must hold.
 CONTAINMENT = 0.75
@@ -48,6 +48,10 @@ TEMPLATES = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+#: Notices of fewer than five words.
+NOTICES = [("All-Rights-Reserved", "All rights reserved.")]
+#: Words from which a template has more than one shingle.
+LONG = 6
 
 
 def similarity(k: int, least: float = CONTAINMENT) -> float:
@@ -92,6 +96,12 @@ class Templates:
             key, owner = np.concatenate(keys), np.concatenate(owners)
             order = np.argsort(key, kind="stable")
             self.classes[k] = key[order], owner[order]
+        # templates of one shingle are found by their runs of letters and digits, at their own width
+        self.short: dict[int, dict[int, list[int]]] = {}
+        for i, (_, text) in enumerate(rows):
+            if 0 < len(word_hashes(text)) < LONG and len(terms := term_hashes(text)[0]):
+                whole = int(shingle_hashes(terms, len(terms))[0])
+                self.short.setdefault(len(terms), {}).setdefault(whole, []).append(i)
         self.bands = max((bands(k, least) for k in self.classes), default=1)
 
 
@@ -100,6 +110,24 @@ def band_keys(least: np.ndarray) -> np.ndarray:
     return least.astype(np.uint64) | (np.arange(len(least), dtype=np.uint64)[:, None] << np.uint64(32))
 
 
+def short_ones(text: str, known: Templates) -> dict[int, int]:
+    """The first word of each template of one shingle that the text holds, whatever punctuation touches it."""
+    found: dict[int, int] = {}
+    if not known.short:
+        return found
+    terms, start, _ = term_hashes(text)
+    words = None
+    for width, owners in known.short.items():
+        if width > len(terms):
+            continue
+        shingles = shingle_hashes(terms, width)
+        for at in np.flatnonzero(np.isin(shingles, np.array(list(owners), np.uint64))):
+            words = run_hashes(lowered(text))[1] if words is None else words
+            for i in owners[int(shingles[at])]:
+                found.setdefault(i, int(np.searchsorted(words, start[at], "right")) - 1)
+    return found
+
+
 def scan(text: str | None, known: Templates) -> list[tuple[int, int, float, int]]:
     """(template, shingles held, containment, word where it starts) of each template that the text holds."""
     shingles = shingle_hashes(word_hashes(text))
@@ -137,6 +165,8 @@ def scan(text: str | None, known: Templates) -> list[tuple[int, int, float, int]
         count = len(np.unique(shingles[low:high][held]))
         if count >= known.least * len(t) and (i not in found or (-count, low) < (-found[i][0], found[i][1])):
             found[i] = (count, low + int(np.argmax(held)))
+    for i, word in short_ones(text, known).items():
+        found[i] = (1, min(word, found[i][1]) if i in found else word)
     return [(i, c, c / len(known.sets[i]), w) for i, (c, w) in sorted(found.items())]
 
 
@@ -158,11 +188,11 @@ def _scan(sent, base: int):
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES + NOTICES, least: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, template, n_shingles, held, containment, word: a row for each template that a text holds.
 
     A-Z are lower-cased; words are separated by white space. Null, empty and short texts hold what their one
-    shingle holds; a template of fewer than five words is held only by a text of just these words. Rows and
+    shingle holds; a template of up to five words is held where its letters and digits stand in a row. Rows and
     templates may repeat, each is reported; null ids stay null. Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from cuelattice.llm.common import shingle_hashes, word_hashes
-from cuelattice.llm.licenses import MISS, TEMPLATES, Templates, bands, scan, scan_licenses, similarity
+from cuelattice.llm.licenses import MISS, NOTICES, TEMPLATES, Templates, bands, scan, scan_licenses, similarity
 
 from .common import edges, empty, prose
 
@@ -42,3 +42,17 @@ def test_edges(spark):
     assert scan_licenses(empty(spark)).count() == 0
     assert scan_licenses(d, []).count() == 0
     assert scan_licenses(d, [("short", "one two"), ("none", "")]).count() == 2  # documents 4 and 5
+
+
+def test_every_short_notice_wherever_it_stands(spark):
+    short = [(i, n, t) for i, (n, t) in enumerate(TEMPLATES + NOTICES) if len(t.split()) < 6]
+    assert [n for _, n, _ in short] == ["MIT", "CC-BY-NC-4.0", "All-Rights-Reserved"]
+    for i, name, t in short:
+        for k, text in enumerate((t, f"{prose(1, 30)}\n{t}\n{prose(2, 30)}", f"{prose(1, 7)} ({t})", f"{prose(1, 7)} {t[:-1]}, {prose(3, 9)}", f"é – “x” {t.upper()}")):
+            d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+            got = [(r.license, r.template, r.held, r.word) for r in scan_licenses(d).collect()] if k in (1, 2) else [((TEMPLATES + NOTICES)[j][0], j, c, w) for j, c, _, w in scan(text, Templates(TEMPLATES + NOTICES))]
+            assert got == [(name, i, 1, (0, 30, 7, 7, 3)[k])]
+    known = Templates(TEMPLATES + NOTICES)
+    assert scan("all rights are reserved", known) == scan("overall rights reserved", known) == []
+    for i, (_, t) in enumerate(TEMPLATES + NOTICES):
+        assert i in [j for j, *_ in scan(f"{prose(5, 40)}\n{t}\n{prose(6, 40)}", known)]
