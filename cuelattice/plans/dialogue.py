@@ -108,7 +108,7 @@ def sentence_chunks(spark, sf_dir):
 
 
 def marked_order(spark, sf_dir):
-    t = F.when(F.col("number") % 2 == 0, F.concat(F.lit("[B] "), F.left("text", F.lit(20)), F.lit(" || [A] x"))).otherwise(F.concat(F.lit("[A] y || [A] "), F.left("text", F.lit(20))))
+    t = F.when(F.col("number") % 2 == 0, F.concat(F.lit("[B] "), "text", F.lit(" || [A] x"))).otherwise(F.concat(F.lit("[A] y || [A] "), "text"))
     return cues(spark, sf_dir).select("key", "number", text.in_order(t).alias("text"))
 
 
@@ -217,7 +217,7 @@ def context_lines(spark, sf_dir):
 
 
 def slot_acceptance(spark, sf_dir):
-    d = pairs(spark, sf_dir).withColumns({"source": F.concat(F.left("source", F.lit(5)), F.lit("||b")), "target": F.when(F.col("number") % 2 == 0, F.concat(F.left("target", F.lit(5)), F.lit(" || c"))).otherwise(F.left("target", F.lit(7)))})
+    d = pairs(spark, sf_dir).withColumns({"source": F.concat("source", F.lit("||b")), "target": F.when(F.col("number") % 2 == 0, F.concat("target", F.lit(" || c"))).otherwise(F.col("target"))})
     who = F.when(F.col("key") % 3 == 0, F.array(F.lit("A"), F.lit("A"))).otherwise(F.array(F.lit("A"), F.lit("B")))
     return tr.accepted(d.withColumn("who", who), "who").select("key", "number", "accepted")
 

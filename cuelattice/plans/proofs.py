@@ -73,8 +73,7 @@ def text_bands(spark, sf_dir):
 
 def placement(spark, sf_dir):
     """Margins that clear the bands of a picture 1080 rows high."""
-    d = spans(spark, sf_dir).groupBy("key").agg(F.collect_list(F.struct(((F.col("id") % 90) / 100).alias("top"), ((F.col("id") % 90 + 6) / 100).alias("bottom"))).alias("all"))
-    d = d.withColumn("bands", F.slice(F.sort_array("all"), -3, 3))
+    d = spans(spark, sf_dir).groupBy("key").agg(F.collect_list(F.struct(((F.col("id") % 90) / 100).alias("top"), ((F.col("id") % 90 + 6) / 100).alias("bottom"))).alias("bands"))
     return d.select("key", ev.clear_bottom(F.col("bands"), 1080, 60, 120, 20).alias("margin"))
 
 
