@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,26 +14,49 @@ from ..functions import text
 from .runs import blocks
 
 
-def split_long(words: DataFrame, keys: Sequence[str], block: str = "block", most_us: int = 6_000_000, chars: int = 84, rounds: int = 8) -> DataFrame:
+def halved(start: np.ndarray, end: np.ndarray, size: np.ndarray, mark: np.ndarray, first: np.ndarray, most_us: int, chars: int) -> np.ndarray:
+    """The part, from 1, of each word in its block; words are in order, first says where blocks start."""
+    n = len(start)
+    bounds = np.append(np.flatnonzero(first), n)
+    before = np.concatenate(([0], np.cumsum(size)))
+    part = np.ones(n, np.int64)
+    pause = np.zeros(n)
+    pause[:-1] = (start[1:] - end[:-1]) / 1e6
+    lasting = np.maximum.reduceat(end, bounds[:-1]) - np.minimum.reduceat(start, bounds[:-1])
+    long = (lasting > most_us) | (np.diff(before[bounds]) - 1 > chars)
+    for b in np.flatnonzero(long & (np.diff(bounds) > 1)):
+        todo, done = [(bounds[b], bounds[b + 1])], 0
+        while todo:
+            lo, hi = todo.pop()
+            m = hi - lo
+            if m > 1 and (end[lo:hi].max() - start[lo:hi].min() > most_us or before[hi] - before[lo] - 1 > chars):
+                score = mark[lo : hi - 1] + 2 * pause[lo : hi - 1] - np.abs(2 * np.arange(1, m) - m) / m
+                cut = lo + 1 + int(np.argmax(np.floor(score * 1e9 + 0.5)))
+                todo += [(cut, hi), (lo, cut)]
+            else:
+                done += 1
+                part[lo:hi] = done
+    return part
+
+
+def split_long(words: DataFrame, keys: Sequence[str], block: str = "block", most_us: int = 6_000_000, chars: int = 84) -> DataFrame:
     """words with part: blocks halved at their best place until each is short enough, or one word.
 
     The best place has a sentence's or a clause's end before it, a long pause behind it and lies near the middle.
-    All blocks of all clips are halved in the same round; every round at least takes one word off.
+    A task halves some hundred blocks of a clip at once, each to its end.
     """
-    d = words.withColumn("part", F.lit(1).cast("long"))  # the halves of part k are 2k and 2k + 1
-    for _ in range(rounds):
-        part = Window.partitionBy(*keys, block, "part")
-        w = part.orderBy("s", "e", "id")
-        n = F.count("*").over(part)
-        long = (F.max("e").over(part) - F.min("s").over(part) > most_us) | (F.sum(F.length("text") + 1).over(part) - 1 > chars)
-        place = F.row_number().over(w)
-        pause = (F.lead("s").over(w) - F.col("e")) / 1e6
-        score = F.when(text.ends_sentence(F.col("text")), 2.0).when(text.ends_clause(F.col("text")), 1.0).otherwise(0.0) + 2 * pause - F.abs(2 * place - n) / n
-        d = d.withColumns({"__long": long & (n > 1), "__n": place, "__score": F.when(place < n, F.struct(F.round(score, 9).alias("score"), (-place).alias("at")))})
-        cut = -F.max("__score").over(part)["at"]
-        step = F.when(F.col("__n") <= cut, 0).otherwise(1)
-        d = d.withColumn("part", F.when(F.col("__long"), 2 * F.col("part") + step).otherwise(F.col("part"))).drop("__long", "__n", "__score")
-    return d
+    mark = F.when(text.ends_sentence(F.col("text")), 2.0).when(text.ends_clause(F.col("text")), 1.0).otherwise(0.0)
+    d = words.withColumns({"__mark": mark, "__size": F.coalesce(F.length("text") + 1, F.lit(0)), "__some": F.floor(F.col(block) / 256)})
+    kinds, columns = dict(words.dtypes), words.columns
+
+    def run(some: pa.Table) -> pa.Table:
+        order = pc.sort_indices(some, sort_keys=[(c, "ascending") for c in (block, "s", "e", "id")])
+        start, end, size, mark, of = (some.column(c).to_numpy()[order.to_numpy()] for c in ("s", "e", "__size", "__mark", block))
+        part = np.empty(len(of), np.int64)
+        part[order.to_numpy()] = halved(start, end, size, mark, np.concatenate(([True], of[1:] != of[:-1])), most_us, chars)
+        return some.select(columns).append_column("part", pa.array(part))
+
+    return d.groupBy(*keys, "__some").applyInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "part long"]))
 
 
 def said_over(words: DataFrame, keys: Sequence[str], label: str = "label", most: int = 4, inside_us: int = 1_000_000) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuelattice.operators import alignment as al
+from cuelattice.operators import build as bu
 from cuelattice.operators import evidence as ev
 from cuelattice.plans import catalogue
 
@@ -58,6 +59,16 @@ def test_edit_steps_are_the_same_from_kept_rows(seed):
     assert al.edit_steps(a, b, 0) == al.edit_steps(a, b)
 
 
+def test_no_cue_is_too_long(spark):
+    # one speaker, no sentence ends: more than 256 cues; and pauses by which each cut takes a word off the edge
+    plain = [(1, i, f"word{i:06}", i * 500_000, i * 500_000 + 400_000, "A") for i in range(4000)]
+    pauses = [(2, i, f"w{i}", i * 1_000_000 + i * i * 1000, i * 1_000_000 + i * i * 1000 + 100_000, "A") for i in range(35)]
+    d = spark.createDataFrame(plain + pauses, "key long, id long, text string, s long, e long, label string")
+    got = bu.build_cues(d, ["key"]).orderBy("key", "number").collect()
+    assert all(len(c.text) <= 84 and c.end_ms - c.start_ms <= 6000 for c in got)
+    assert [" ".join(c.text for c in got if c.key == k).split() for k in (1, 2)] == [[w[2] for w in x] for x in (plain, pauses)]
+
+
 def test_texts_are_passed_whole(spark, tables):
     turns = {r.turn: r.text for r in spark.read.parquet(f"{tables}/conversations.parquet").collect()}
     got = {r.number: r.text for r in QUERIES["marked_order"](spark, tables).collect()}
