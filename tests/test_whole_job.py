@@ -69,17 +69,6 @@ def test_no_cue_is_too_long(spark):
     assert [" ".join(c.text for c in got if c.key == k).split() for k in (1, 2)] == [[w[2] for w in x] for x in (plain, pauses)]
 
 
-def test_texts_are_passed_whole(spark, tables):
-    turns = {r.turn: r.text for r in spark.read.parquet(f"{tables}/conversations.parquet").collect()}
-    got = {r.number: r.text for r in QUERIES["marked_order"](spark, tables).collect()}
-    assert got == {1: f"[A] y || [A] {turns[1]}", 2: f"[A] x || [B] {turns[2]}"}
-    assert [r.accepted for r in QUERIES["slot_acceptance"](spark, tables).collect()] == [""]
-    # another conversation of one speaker: its target is handed on as it is
-    d = spark.createDataFrame([(3, 1, "user", turns[1]), (3, 2, "bot", turns[2])], "conv_id long, turn int, role string, text string")
-    d.write.parquet(f"{tables}/one/conversations.parquet")
-    assert [r.accepted for r in QUERIES["slot_acceptance"](spark, f"{tables}/one").collect()] == [turns[2]]
-
-
 def test_placement_clears_all_bands(spark, tables):
     # tops 0.01, 0.80, 0.82, 0.84 and 0.86, each 0.06 high: the lowest lift it to 171, 193, 214 and 236
     assert [r.margin for r in QUERIES["placement"](spark, tables).collect()] == [236]
