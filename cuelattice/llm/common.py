@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,22 +37,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @cache
 def _own_folder() -> str:
-    """One temporary folder for sessions that name none."""
+    """One temporary folder for local sessions that name none."""
     return tempfile.mkdtemp(prefix="spark-checkpoints-")
 
 
-class Scratch:
-    """Written tables that cut lineage, in the folder that the cluster shares.
+def _shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a session of one local process that sets none gets a temporary folder."""
+    if base := spark.conf.get("spark.checkpoint.dir", None):
+        return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: executors need a shared folder for written tables")
+    return _own_folder()
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset (local tests)
-    a temporary folder is made.
-    """
+
+def fresh(taken: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, each with so many underscores before it that no taken one is equal, whatever its case."""
+    known, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in known:
+            name = f"_{name}"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
+class Scratch:
+    """Written tables that cut lineage, in the folder that the cluster shares."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         bounded_batches(spark)
-        base = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-        self.path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.path = f"{_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
@@ -70,20 +88,23 @@ def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
 
 _rng = np.random.default_rng(20240229)
 _BYTES = _rng.integers(0, 2**64, 256, dtype=np.uint64)
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+# A-Z are hashed as a-z
+_BYTES[65:91] = _BYTES[97:123]
+_STEP = 0x9E3779B97F4A7C15
+#: Bytes of a text, and hashes, that are worked on at once.
+BLOCK = 1 << 18
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of the step and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, base in enumerate((_STEP, _INVERSE)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[i] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def _powers(base: int) -> np.ndarray:
+    steps = np.full(BLOCK + 1, base, np.uint64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=np.uint64)
+
+
+@cache
+def _up_down() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the step and of its inverse, modulo 2**64."""
+    return _powers(_STEP), _powers(pow(_STEP, -1, 2**64))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -93,37 +114,60 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
 #: Bytes between terms: ASCII characters other than letters and digits.
-_PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
-def run_hashes(raw: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes, starts and ends of the runs of raw's bytes that are not in gaps."""
-    gap = gaps[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
-    start, end = edge[0::2], edge[1::2]
-    if not len(start):
-        return np.empty(0, np.uint64), start, end
-    up, down = _power(len(raw) + 1)
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[raw] * up[:-1], dtype=np.uint64)))
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64)), start, end
+def as_bytes(text: str | pa.Scalar | np.ndarray | None) -> np.ndarray:
+    """The text's UTF-8 bytes; those of an Arrow value are not copied. Null has none."""
+    if isinstance(text, np.ndarray):
+        return text
+    if isinstance(text, pa.Scalar):
+        text = text.as_buffer() if text.is_valid else None
+    elif text is not None:
+        text = text.encode("utf-8", "surrogatepass")
+    return np.frombuffer(text, np.uint8) if text is not None and len(text) else np.empty(0, np.uint8)
 
 
-def lowered(text: str) -> np.ndarray:
-    """The text's UTF-8 bytes, A-Z lower-cased."""
-    return np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+def run_blocks(raw: np.ndarray, gaps: np.ndarray = SPACE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """64-bit hashes, starts and ends of the runs of raw's bytes that are not in gaps, block by block.
 
-
-def word_hashes(text: str | None) -> np.ndarray:
+    A run that goes on in the next block is carried there, so that memory is bounded by the block and its runs.
+    """
+    up, down = _up_down()
+    begun, carried, size = -1, 0, 0
+    for at in range(0, len(raw), BLOCK):
+        block = raw[at : at + BLOCK]
+        n = len(block)
+        gap = gaps[block]
+        edge = np.flatnonzero(np.diff(np.concatenate(([True], gap, [True])).view(np.int8)))
+        start, end = edge[0::2], edge[1::2]
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_BYTES[block] * up[:n], dtype=np.uint64)))
+        sums, length, first = (total[end] - total[start]) * down[start], end - start, start + at
+        if begun >= 0:
+            if len(start) and start[0] == 0:
+                more = int(sums[0]) * pow(_STEP, size, 2**64)
+                sums[0], length[0], first[0] = (carried + more) % 2**64, length[0] + size, begun
+            else:  # it ended with the block before
+                sums, length, first, end = np.append(np.uint64(carried), sums), np.append(size, length), np.append(begun, first), np.append(0, end)
+            begun = -1
+        if len(end) and end[-1] == n and at + n < len(raw):
+            begun, carried, size = int(first[-1]), int(sums[-1]), int(length[-1])
+            sums, length, first = sums[:-1], length[:-1], first[:-1]
+        yield mix64(sums + length.astype(np.uint64)), first, first + length
+
+
+def word_hashes(text) -> np.ndarray:
     """64-bit hashes of the words of the text, A-Z lower-cased, in order."""
-    return run_hashes(lowered(text))[0] if text else np.empty(0, np.uint64)
+    parts = [h for h, _, _ in run_blocks(as_bytes(text))]
+    return parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.uint64), *parts])
 
 
-def term_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def term_blocks(text) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Hashes, byte starts and byte ends of the runs of letters and digits of the text, A-Z lower-cased."""
-    return run_hashes(lowered(text), _PUNCTUATION)
+    return run_blocks(as_bytes(text), PUNCTUATION)
 
 
 def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
@@ -132,19 +176,24 @@ def shingle_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
     width = min(width, n)
     if not n:
         return words
-    out = words[: n - width + 1].copy()
-    for i in range(1, width):
-        out *= np.uint64(0xD6E8FEB86659FD93)
-        out += words[i : n - width + 1 + i]
-    return mix64(out + np.uint64(width))
+    out = np.empty(n - width + 1, np.uint64)
+    for at in range(0, len(out), BLOCK):
+        part = words[at : min(at + BLOCK, len(out))].copy()
+        for i in range(1, width):
+            part *= np.uint64(0xD6E8FEB86659FD93)
+            part += words[at + i : at + i + len(part)]
+        out[at : at + len(part)] = mix64(part + np.uint64(width))
+    return out
 
 
-def shingle_set(text: str | None, width: int = 5) -> np.ndarray:
+def shingle_set(text, width: int = 5) -> np.ndarray:
     """The sorted distinct shingle hashes of a text."""
-    return np.unique(shingle_hashes(word_hashes(text), width))
+    s = shingle_hashes(word_hashes(text), width)
+    s.sort()
+    return s[np.concatenate(([True], s[1:] != s[:-1]))] if len(s) else s
 
 
 def digest128(values: np.ndarray) -> tuple[int, int]:
     """Two signed 64-bit numbers that stand for the array."""
-    d = xxhash.xxh3_128_digest(np.ascontiguousarray(values).tobytes())
+    d = xxhash.xxh3_128_digest(np.ascontiguousarray(values))
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
