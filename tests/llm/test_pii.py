@@ -1,9 +1,15 @@
+import math
+import random
 import re
+from collections import Counter
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from cuelattice.llm.pii import KINDS, base_spans, luhn, rewrite, sanitise, spelled
+from cuelattice.llm.common import Scratch, as_bytes, term_blocks
+from cuelattice.llm.pii import CHANCE, GENERALISE, KINDS, SUPPORT, base_spans, byte_places, code_points, entity, luhn, revealing_terms, rewrite, sanitise, spelled, terms_of
 
 from .common import DOCS, edges, empty, prose
 
@@ -54,9 +60,72 @@ def test_a_revealing_term(spark):
         assert "Zebulon" not in got[i].text and "[EMAIL]" in got[i].text and "mail" in got[i].text
     assert [(s.start, s.kind, s.end) for s in got[99].pii_spans] == [(9, 4, 16)]
     assert got[20].text == rows[16][1]
-    # the same in chunks of one term
-    again = {r.doc_id: r.pii_spans for r in sanitise(d, chunk=1).collect()}
-    assert again == {i: r.pii_spans for i, r in got.items()}
+    # the same where the terms are joined, with columns of the names that the join uses
+    e = d.withColumns({c: F.lit(c) for c in ("k1", "k2", "found", "removed", "__removed")})
+    again = {r.doc_id: r for r in sanitise(e, held=0).collect()}
+    assert {i: (r.text, r.pii_spans) for i, r in again.items()} == {i: (r.text, r.pii_spans) for i, r in got.items()}
+    assert {(r.k1, r.found, r["__removed"]) for r in again.values()} == {("k1", "found", "__removed")}
+
+
+def test_terms_anywhere_in_two_documents(spark):
+    # the name stands at the top, the number far below it
+    rows = [(i, f"Quillon {prose(i, 60)} +1 (555) 010-1234 {prose(i + 9, 9)}", "en", "a", 0) for i in range(2)]
+    rows += [(i, prose(i, 60), "en", "a", 0) for i in range(10, 400)]
+    got = {r.doc_id: r for r in sanitise(spark.createDataFrame(rows, DOCS)).collect()}
+    assert all("Quillon" not in got[i].text and (0, 4, 7) in [(s.start, s.kind, s.end) for s in got[i].pii_spans] for i in range(2))
+    assert all(got[i].text == t for i, t, *_ in rows[2:])
+
+
+def _shares(texts, support=SUPPORT, least=GENERALISE):
+    """The revealing terms by plain counting."""
+    n, holds, meets, entities = len(texts), Counter(), {}, Counter()
+    for t in texts:
+        raw, spans = as_bytes(t), base_spans(t)
+        every, clear, mark = terms_of(raw, spans)
+        holds.update(every.tolist())
+        for who in {entity(k, t[s:e]) for s, k, e in spans}:
+            entities[who] += 1
+            for term in clear.tolist():
+                meets.setdefault((who, term), []).append((mark, t))
+    out = {}
+    for (who, term), docs in meets.items():
+        marks = Counter(m for m, _ in set(docs))
+        s, both, e, h = sum(marks.values()) ** 2 / sum(v * v for v in marks.values()), len(docs), entities[who], holds[term]
+        q, p = both / e, h / n
+        if s < support - 1e-9 or p >= q or len({t for t in texts if who in {entity(k, t[a:b]) for a, k, b in base_spans(t)}}) < 2:
+            continue
+        kl = q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0)
+        share = math.log(both * n / (e * h)) / -math.log(e / n) if e < n else 0
+        if -s / q * kl <= math.log(CHANCE) and share >= least:
+            out[term] = max(share, out.get(term, 0))
+    return out
+
+
+def test_terms_equal_plain_counting(spark):
+    r = random.Random(4)
+    rows = []
+    for i in range(300):
+        who = r.choice(["", "", "", f"p{i % 7}@corp.example Name{i % 7}", f"10.0.0.{i % 5} Host{i % 5}", f"q{i}@corp.example"])
+        rows.append((i, f"{prose(i, r.randrange(1, 40))} {who} é {prose(i + 1000, 9)}", "en", "a", 0))
+    rows += [(300 + i, rows[8][1], "en", "a", 0) for i in range(20)]
+    d = spark.createDataFrame(rows, DOCS)
+    got = {x.term: x.share for x in revealing_terms(d, Scratch(spark, "test")).collect()}
+    want = _shares([x[1] for x in rows])
+    assert len(want) > 5 and got.keys() == want.keys()
+    assert all(abs(got[t] - want[t]) < 1e-9 for t in want)
+
+
+def test_places_of_long_texts():
+    # blocks of hashes and code points meet in the middle of runs and of characters
+    text = "é" * 300_000 + " a@b.co " + "x" * 700_000 + " 你好 tail"
+    raw = as_bytes(text)
+    got = [(h, s, e) for part in term_blocks(raw) for h, s, e in zip(*part, strict=True)]
+    whole = [m.span() for m in re.finditer(rb"(?:[a-z0-9]|[\x80-\xff])+", raw.tobytes())]
+    assert [(s, e) for _, s, e in got] == whole
+    points = np.array([0, 5, 299_999, 300_001, 300_008, len(text) - 4, len(text)])
+    places = byte_places(raw, points)
+    assert places.tolist() == [len(text[:p].encode()) for p in points]
+    assert code_points(raw, places).tolist() == points.tolist()
 
 
 def test_copies_make_no_term_revealing(spark):
