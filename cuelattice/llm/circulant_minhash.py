@@ -48,16 +48,17 @@ _BLOCK = 512
 
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The 192 coordinates: the least value of the shifted second permutation over the scattered set."""
-    x = (shingles ^ (shingles >> np.uint64(32))).astype(np.uint32)
-    x ^= x >> np.uint32(16)
-    x *= np.uint32(0x85EBCA6B)
-    x ^= x >> np.uint32(13)
-    x *= np.uint32(0xC2B2AE35)
-    x ^= x >> np.uint32(16)
     shift = np.arange(COORDINATES, dtype=np.uint32)
     least = np.full(COORDINATES, 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(x), _BLOCK):
-        y = x[i : i + _BLOCK, None] - shift
+    for i in range(0, len(shingles), _BLOCK):
+        x = shingles[i : i + _BLOCK]
+        x = (x ^ (x >> np.uint64(32))).astype(np.uint32)
+        x ^= x >> np.uint32(16)
+        x *= np.uint32(0x85EBCA6B)
+        x ^= x >> np.uint32(13)
+        x *= np.uint32(0xC2B2AE35)
+        x ^= x >> np.uint32(16)
+        y = x[:, None] - shift
         y *= np.uint32(0x9E3779B1)
         y ^= y >> np.uint32(15)
         y *= np.uint32(0x2C1B3C6D)
@@ -76,8 +77,8 @@ def _band_keys(least: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("s0", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
-_SIGNED_DDL = "doc_id long, k1 long, k2 long, n long, bands array<long>, s0 long, s1 long, s2 long"
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("s0", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64())])
+_SIGNED_DDL = "doc_id long, text_key long, k1 long, k2 long, n long, bands array<long>, s0 long, s1 long, s2 long"
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,10 +87,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 2000):
             part = batch.slice(at, 2000)
             rows = []
-            for doc_id, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                s = shingle_set(text.as_py())
+            for doc_id, text, own in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
+                s = shingle_set(text)
                 if not len(s):
-                    rows.append((doc_id, 0, 0, 0, None, 0, 0, 0))
+                    rows.append((doc_id, own, 0, 0, 0, None, 0, 0, 0))
                     continue
                 key = digest128(s)
                 if key not in known:
@@ -98,19 +99,27 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     known[key] = (_band_keys(least), *map(int, bits))
                     if len(known) > 2000:
                         known.popitem(last=False)
-                rows.append((doc_id, *key, len(s), *known[key]))
+                rows.append((doc_id, own, *key, len(s), *known[key]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_SIGNED)], schema=_SIGNED)
 
 
+#: Shingles of the sets that a task keeps for the pairs to come.
+_KEPT = 1 << 21
+
+
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets have a similarity of 75 in 100 at least."""
     sets: OrderedDict = OrderedDict()
+    held = 0
 
     def of(node, text):
+        nonlocal held
         if node not in sets:
-            sets[node] = shingle_set(text.as_py())
-            if len(sets) > 64:
-                sets.popitem(last=False)
+            sets[node] = shingle_set(text)
+            held += len(sets[node])
+            while held > _KEPT and len(sets) > 2:
+                held -= len(sets.popitem(last=False)[1])
+        sets.move_to_end(node)
         return sets[node]
 
     for batch in batches:
@@ -123,15 +132,19 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([v for v, k in zip(s, keep, strict=True) if k], pa.int64()) for s in (a, b)], names=["src", "dst"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _texts(docs: DataFrame, named: DataFrame, cids: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """(cid, text) of the classes: the text of each one's own document, which may come in repeated rows."""
+    wanted = scratch.write(named.join(cids.distinct(), "cid", "left_semi"), f"{name}-ids").withColumnsRenamed({"doc_id": "id", "text_key": "key"})
+    both = docs.join(small(wanted, 40), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("key")))
+    return both.groupBy("cid").agg(F.first("text").alias("text"))
+
+
+def _verified(docs: DataFrame, named: DataFrame, pairs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """Those of the written pairs (src, dst) that the full texts confirm."""
-    ids = pairs.select(F.col("src").alias("doc_id")).distinct().unionByName(pairs.select(F.col("dst").alias("doc_id")).distinct())
-    ids = scratch.write(ids.distinct(), f"{name}-ids")
-    # one text for each id: a class's least document may come in repeated rows
-    texts = docs.join(small(ids, 16), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text", ignorenulls=True).alias("text"))
-    texts = scratch.write(texts, f"{name}-texts")
-    a = texts.select(F.col("doc_id").alias("src"), F.col("text").alias("src_text"))
-    b = texts.select(F.col("doc_id").alias("dst"), F.col("text").alias("dst_text"))
+    ids = pairs.select(F.col("src").alias("cid")).distinct().unionByName(pairs.select(F.col("dst").alias("cid")).distinct())
+    texts = scratch.write(_texts(docs, named, ids, scratch, name), f"{name}-texts")
+    a = texts.select(F.col("cid").alias("src"), F.col("text").alias("src_text"))
+    b = texts.select(F.col("cid").alias("dst"), F.col("text").alias("dst_text"))
     both = pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_text", "dst_text")
     return scratch.write(both.mapInArrow(_judge, "src long, dst long"), f"{name}-links")
 
@@ -154,7 +167,7 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        got = [sketch(shingle_set(t.as_py())) for t in batch.column(1)]
+        got = [sketch(shingle_set(t)) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in got], pa.list_(pa.int64()))], names=["cid", "sketch"])
 
 
@@ -184,20 +197,24 @@ def _alike(a: str, b: str) -> F.Column:
     return F.aggregate(both, F.lit(0), lambda s, v: s + v, allowed)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_group: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs; with_group adds text_key and group.
 
     Links hold between sets of five-word shingles of similarity 0.75 or more. A text of fewer words is
     one shingle; a text without words, or null, has an empty set, links with nothing and is its own
-    component. Ids are expected to be unique; repeated equal rows get equal results. A row without id
-    takes no part: its component is null and kept is false. Other columns are ignored.
+    component. component_id is the least id reachable, kept says whether it is the row's own. Rows are told
+    apart by id and text: repeated equal rows get equal results, different texts of one id are judged each
+    by itself. A row without id takes part by its text; its component is null if no id is reachable, and kept is
+    false. text_key is a number for the text, and group one for the component, null where the set is empty. Other
+    columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "near-duplicates")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
     signed = scratch.write(docs.mapInArrow(_sign, _SIGNED_DDL), "signed")
-    least = F.min_by(F.struct("doc_id", "n", "bands", "s0", "s1", "s2"), "doc_id")
-    classes = signed.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(least.alias("c"))
-    classes = scratch.write(classes.select("k1", "k2", F.col("c.doc_id").alias("cid"), "c.n", "c.bands", "c.s0", "c.s1", "c.s2"), "classes")
+    least = F.min_by(F.struct("doc_id", "text_key", "n", "bands", "s0", "s1", "s2"), F.struct(F.col("doc_id").isNull(), "doc_id", "text_key"))
+    classes = signed.where("n > 0").groupBy("k1", "k2").agg(least.alias("c"))
+    classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("cid"), "k1", "k2", "c.*"), "classes")
+    named = classes.select("cid", "doc_id", "text_key")
     traits = classes.select("cid", "n", "s0", "s1", "s2")
 
     # buckets of two classes at least
@@ -209,7 +226,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         a, b = traits.alias("a"), traits.alias("b")
         pairs = pairs.join(a, F.col("src") == F.col("a.cid")).join(b, F.col("dst") == F.col("b.cid")).where(_close("a", "b")).select("src", "dst")
-        return _verified(docs, scratch.write(pairs, name), scratch, name)
+        return _verified(docs, named, scratch.write(pairs, name), scratch, name)
 
     # the star of each bucket around its least class
     links = confirmed(members.where("cid <> head").select(F.col("cid").alias("src"), F.col("head").alias("dst")).distinct(), "star")
@@ -232,8 +249,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         members = members.select("bucket", "cid")
 
     # what the stars have missed: pairs of one bucket in different components
-    ids = scratch.write(members.select(F.col("cid").alias("doc_id")).distinct(), "open-ids")
-    texts = docs.join(small(ids, 16), "doc_id", "left_semi").groupBy("doc_id").agg(F.first("text", ignorenulls=True).alias("text"))
+    texts = _texts(docs, named, members.select("cid"), scratch, "open")
     sketches = scratch.write(texts.mapInArrow(_sketches, "cid long, sketch array<long>"), "sketches")
     more_traits = scratch.write(classes.select("cid", "n", "bands", "s0", "s1", "s2").join(sketches, "cid"), "traits")
     open_ = scratch.write(members.select("bucket", "cid", "root").join(more_traits, "cid"), "traits")
@@ -242,12 +258,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.cid") < F.col("b.cid")) & (F.col("a.root") != F.col("b.root")) & _close("a", "b")
     pairs = a.join(b, same & first & _alike("a", "b"))
     pairs = scratch.write(pairs.select(F.col("b.cid").alias("src"), F.col("a.cid").alias("dst")), "rest")
-    more = _verified(docs, pairs, scratch, "rest")
+    more = _verified(docs, named, pairs, scratch, "rest")
     roots = connected_components(links.unionByName(more), scratch)
 
-    by_class = scratch.write(classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("k1", "k2", F.coalesce("root", "cid").alias("root")), "roots")
+    rooted = scratch.write(classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("k1", "k2", "doc_id", F.coalesce("root", "cid").alias("group")), "roots")
+    component = rooted.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    by_class = scratch.write(rooted.join(scratch.write(component, "components"), "group").select("k1", "k2", "group", "component_id"), "by-class")
     # the class key is made null where no class exists, so that such rows meet nothing
-    has = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("k1"))
-    out = signed.select("doc_id", "n", has.alias("k1"), "k2").join(by_class, ["k1", "k2"], "left")
-    component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
+    out = signed.select("doc_id", "text_key", "n", F.when(F.col("n") > 0, F.col("k1")).alias("k1"), "k2").join(by_class, ["k1", "k2"], "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    more = ["text_key", "group"] if with_group else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"), *more)

@@ -53,9 +53,28 @@ def test_edges(spark):
     assert by[5].component_id == 4 and not by[5].kept and by[4].n_shingles == 1
     assert sum(r.doc_id == 6 and r.kept for r in got) == 2
     assert all(r.component_id is None and not r.kept for r in got if r.doc_id is None)
+    # a row without id says which id it is a copy of; different texts of one id are judged each by itself
+    a, b = prose(1, 60), prose(2, 60)
+    d = spark.createDataFrame([(7, a, "", "", 0), (7, b, "", "", 0), (9, _edit(b, random.Random(1), 0.01), "", "", 0), (None, a, "", "", 0), (None, b + " end", "", "", 0)], DOCS)
+    got = [(r.doc_id, r.component_id, r.kept) for r in near_duplicates(d).collect()]
+    assert sorted(got, key=str) == sorted([(7, 7, True), (7, 7, True), (9, 7, False), (None, 7, False), (None, 7, False)], key=str)
     assert near_duplicates(empty(spark)).count() == 0
 
 
+def test_templated_pages_are_compared_whole(spark):
+    # a template that makes them share buckets but keeps them below the similarity; two pairs are above it
+    r = random.Random(7)
+    rows = []
+    for i in range(150):
+        own = [f"own{i}x{r.randrange(10**6)}" for _ in range(40)]
+        rows.append((i, prose(1, 100) + " " + " ".join(own)))
+        if i in (20, 90):
+            rows.append((1000 + i, prose(1, 100) + " " + " ".join([*own[:38], "other", "end"])))
+    d = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_duplicates(d).collect()}
+    assert got == _brute(rows) and sum(i != c for i, (_, c) in got.items()) == 2
+
+
 def test_estimates():
     r = np.random.default_rng(0)
     for n in (40, 400, 4000):
