@@ -3,9 +3,10 @@
 On the unit sphere a cosine of c is a distance of sqrt(2 - 2c). The upper levels of the tree are made by
 Spark: nodes with many vectors are split around centres that stand apart by a radius which halves from
 level to level, and every node knows its measured covering radius. Pairs of nodes are followed from the
-roots down; a pair is dropped when its centres are further apart than both radii and the threshold. What
-is left are pairs of leaves, or of chunks of leaves, of a bounded number of vectors: each is one group of a
-grouped map, which goes on with the lower levels of both trees and compares vectors at the end.
+roots down; a pair is dropped when its centres are further apart than both radii and the threshold. Leaves, or
+chunks of leaves, hold a bounded number of vectors, and bundles a bounded number of neighbouring leaves. A pair of
+bundles with a pair of leaves left is one group of a grouped map, which goes on with the lower levels of each leaf's
+tree, made once for all its pairs, and compares vectors at the end.
 
 Equal vectors are one vector with a weight. A group returns the number of links of each vector and a
 spanning forest of the links, never all pairs.
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BROADCAST_BYTES, Scratch, small
@@ -25,6 +26,8 @@ from .components import connected_components
 LEAF, FAN = 2048, 64
 #: Radii of the levels inside a task.
 RADII = (1.0, 0.5, 0.25, 0.125)
+#: Leaves' worth of vectors of a bundle: what a task holds of each side.
+BUNDLE = 8
 #: Levels that Spark makes at most; leaves that are still too large are cut into chunks.
 DEPTH = 6
 _SLACK = 1e-9
@@ -117,27 +120,33 @@ _FOUND = "cid long, links long, partner long"
 
 
 def _compare(cosine: float):
-    """One pair of chunks: a row with links for each vector that has any, and one with a partner for each forest edge."""
+    """One pair of bundles: a row with links for each vector that has any, and one with a partner for each forest edge."""
 
     def run(t: pa.Table) -> pa.Table:
         # equal rows in equal order, so that reruns agree
-        t = t.sort_by([("side", "ascending"), ("cid", "ascending")])
-        cid, weight, side = (t.column(c).to_numpy() for c in ("cid", "m", "side"))
+        t = t.sort_by([("side", "ascending"), ("unit", "ascending"), ("cid", "ascending")])
+        cid, weight, side, leaf = (t.column(c).to_numpy() for c in ("cid", "m", "side", "unit"))
         x = _vectors(t.column("vec"))
-        first = side == 0
-        one = CoverTree(x[first])
-        alone = bool(first.all())
-        other = one if alone else CoverTree(x[~first])
-        rows, columns, close = dual(one, other, cosine)
-        left, right = np.flatnonzero(first)[rows], (np.flatnonzero(first) if alone else np.flatnonzero(~first))[columns]
-        if alone:
-            close &= left[:, None] != right[None, :]
-        links = np.zeros(len(cid), np.int64)
-        links[left] += close @ weight[right]
-        if not alone:
-            links[right] += weight[left] @ close
-        i, j = np.nonzero(np.triu(close)) if alone else np.nonzero(close)
-        edges = forest(left[i], right[j], len(cid))
+        cuts = np.flatnonzero(np.concatenate(([True], (leaf[1:] != leaf[:-1]) | (side[1:] != side[:-1])))) if len(cid) else np.empty(0, np.int64)
+        places = np.split(np.arange(len(cid)), cuts[1:])
+        trees = [CoverTree(x[p]) for p in places]
+        left, right = ([i for i, p in enumerate(places) if side[p[0]] == k] for k in (0, 1))
+        # one bundle with itself: each pair of its leaves once
+        pairs = [(i, j) for i in left for j in right] if right else [(i, j) for i in left for j in left if i <= j]
+        links, src, dst = np.zeros(len(cid), np.int64), [], []
+        for i, j in pairs:
+            rows, columns, close = dual(trees[i], trees[j], cosine)
+            if i == j:
+                close &= rows[:, None] != columns[None, :]
+            a, b = places[i][rows], places[j][columns]
+            links[a] += close @ weight[b]
+            if i != j:
+                links[b] += weight[a] @ close
+            p, q = np.nonzero(np.triu(close)) if i == j else np.nonzero(close)
+            for s, d in forest(a[p], b[q], len(cid)):
+                src.append(s)
+                dst.append(d)
+        edges = forest(np.array(src, np.int64), np.array(dst, np.int64), len(cid))
         hit = np.flatnonzero(links)
         ids = [*cid[hit].tolist(), *(cid[i] for i, _ in edges)]
         return pa.table(
@@ -249,21 +258,23 @@ def close_vectors(vectors: DataFrame, cosine: float = 0.98, leaf: int = LEAF, id
     classes = scratch.write(classes.select(F.monotonically_increasing_id().alias("cid"), "node", "vec", "m", "least"), "classes")
     members, pairs = _upper(classes.select("cid", "node", "vec", "m"), scratch, cosine, leaf)
 
-    # chunks of leaves, and a group for each pair of chunks
-    chunks = members.groupBy("node").agg(F.ceil(F.count("*") / leaf).cast("int").alias("chunks"))
-    chunks = scratch.write(chunks, "chunks")
-    n = chunks.count()
-    a, b = (chunks.select(F.col("node").alias(s), F.col("chunks").alias(f"{s}_chunks")) for s in "ab")
-    blocks = pairs.join(a, "a").join(b, "b")
-    for s in "ab":
-        blocks = blocks.withColumn(f"{s}_chunk", F.explode(F.sequence(F.lit(0), F.col(f"{s}_chunks") - 1)))
-    blocks = blocks.where("a <> b or a_chunk <= b_chunk").select(F.monotonically_increasing_id().alias("block"), "a", "b", "a_chunk", "b_chunk")
-    blocks = scratch.write(blocks, "blocks")
-    sides = blocks.select("block", F.col("a").alias("node"), F.col("a_chunk").alias("chunk"), F.lit(0).alias("side")).unionByName(
-        blocks.where("a <> b or a_chunk <> b_chunk").select("block", F.col("b").alias("node"), F.col("b_chunk").alias("chunk"), F.lit(1).alias("side"))
-    )
-    dealt = members.join(small(chunks, 64, n), "node").withColumn("chunk", F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int"))
-    dealt = dealt.join(sides, ["node", "chunk"]).select("block", "side", "cid", "m", "vec")
+    # leaves too large are cut into chunks; neighbouring chunks of one root make a bundle
+    size = members.groupBy("node").agg(F.count("*").alias("n")).withColumn("chunks", F.ceil(F.col("n") / leaf).cast("int"))
+    root = F.substring_index("node", "/", 1)
+    units = size.select("node", root.alias("root"), (F.col("n") / F.col("chunks")).alias("n"), F.posexplode(F.sequence(F.lit(1), F.col("chunks"))).alias("chunk", "of"), "chunks")
+    upto = F.sum("n").over(Window.partitionBy("root").orderBy("node", "chunk").rowsBetween(Window.unboundedPreceding, 0))
+    bundle = F.floor((upto - F.col("n") / 2) / (leaf * BUNDLE)).cast("long")
+    units = scratch.write(units.select(F.monotonically_increasing_id().alias("unit"), "node", "chunk", "chunks", F.xxhash64("root", bundle).alias("bundle")), "units")
+    n = units.count()
+    of = scratch.write(units.groupBy("node").agg(F.collect_set("bundle").alias("bundles")), "bundles")
+    a, b = (of.select(F.col("node").alias(s), F.explode("bundles").alias(f"{s}_bundle")) for s in "ab")
+    blocks = pairs.join(a, "a").join(b, "b").select(F.least("a_bundle", "b_bundle").alias("p"), F.greatest("a_bundle", "b_bundle").alias("q")).distinct()
+    blocks = scratch.write(blocks.select(F.monotonically_increasing_id().alias("block"), "p", "q"), "blocks")
+    sides = blocks.select("block", F.col("p").alias("bundle"), F.lit(0).alias("side")).unionByName(blocks.where("p <> q").select("block", F.col("q").alias("bundle"), F.lit(1).alias("side")))
+    chunk = F.pmod(F.xxhash64("cid"), F.col("chunks")).cast("int")
+    counts = units.select("node", "chunks").distinct()
+    dealt = members.join(small(counts, 64, n), "node").withColumn("chunk", chunk).join(small(units.drop("chunks"), 80, n), ["node", "chunk"])
+    dealt = dealt.join(sides, "bundle").select("block", "side", "unit", "cid", "m", "vec")
     found = scratch.write(dealt.groupBy("block").applyInArrow(_compare(cosine), _FOUND), "found")
 
     links = found.where("links is not null").groupBy("cid").agg(F.sum("links").alias("links"))

@@ -35,7 +35,7 @@ def _brute(rows, cosine=0.98):
     return {ids[i]: (int(near[i].sum()), least[part[i]]) for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("leaf", [40, 5000])
+@pytest.mark.parametrize("leaf", [6, 40, 5000])
 def test_equals_brute_force(spark, leaf):
     x = _data(leaf, 260)
     rows = [(i, v.tolist(), int(i % 5 == 0)) for i, v in enumerate(x)]
