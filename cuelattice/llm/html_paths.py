@@ -16,14 +16,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, fresh, small
 from .markup import BLOCK, VOID, Stack, attributes, tokens
 
-#: Elements that hold no main text, and words of classes, ids and roles that say so.
+#: Elements that hold no main text.
 OUT_TAGS = frozenset("nav footer aside form script style noscript template iframe object svg canvas button select option textarea dialog menu head title audio video map search".split())
-OUT_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising advertisements alert banner banners breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright dialog disqus footer gdpr hidden login masthead menu menus modal nav navbar navigation newsletter notice notices overlay pager paging pagination popup promo promotion promotions reactions recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tagcloud toolbar topbar widget widgets".split()
-)
+#: Roles that hold none.
+OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
+#: Parts of a class or id that stand for no main text wherever they are in the name.
+OUT_PARTS = frozenset("ad ads advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comments disqus gdpr login masthead nav navbar navigation newsletter pager pagination popup sidebar signup skip sponsored tagcloud toolbar widget widgets".split())
+#: Names that do so as a whole.
+OUT_NAMES = frozenset("alert banner comment complementary consent contentinfo cookie cookies copyright footer hidden menu menus modal notice notices overlay promo promotion recommended related respond search share sharing social sponsor subscribe subscription topbar".split())
+#: Pairs of neighbouring parts that do so.
+OUT_PAIRS = frozenset({(a, b) for a in ("cookie", "consent", "privacy") for b in ("banner", "bar", "box", "consent", "notice", "message", "popup")} | {("comment", b) for b in ("area", "body", "box", "container", "content", "form", "item", "list", "section", "text", "thread", "wrapper")} | {(a, "comment") for a in ("reader", "user")} | {("site", "footer"), ("page", "footer"), ("social", "share"), ("share", "buttons"), ("site", "menu"), ("main", "menu")})
+#: Parts that stand for no main text where most of what is held is links.
+LINK_PARTS = frozenset("footer links menu menus more pagination promo reactions recommended related replies search share sharing social tags".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _CONTAINERS = frozenset("article blockquote body center dd details div fieldset figure li main ol section table tbody td tr ul".split())
 _MAIN = frozenset("article main".split())
@@ -37,8 +44,18 @@ def host_of(url: str | None) -> str:
     return m[1].lower().removeprefix("www.") if m else ""
 
 
-def _words(names: str) -> set[str]:
-    return {w.lower() for name in names.split() if not re.match(r"(has|with|no|without|is)[-_]", name) for w in _WORD.findall(name)}
+def _verdict(names: list[str]) -> str:
+    """"out" where a class or id stands for no main text, "links" where it does if it holds mostly links, else nothing."""
+    found = ""
+    for name in names:
+        if re.match(r"(has|with|no|without|is)[-_]", name):
+            continue
+        parts = [w.lower() for w in _WORD.findall(name)]
+        if len(parts) == 1 and parts[0] in OUT_NAMES or OUT_PARTS & set(parts) or any(p in OUT_PAIRS for p in zip(parts, parts[1:], strict=False)):
+            return "out"
+        if LINK_PARTS & set(parts):
+            found = "links"
+    return found
 
 
 class Container:
@@ -50,24 +67,39 @@ class Container:
         self.path, self.parent, self.main = path, parent, main
 
 
+class Doubtful:
+    """An element that is left out if most of its text is links."""
+
+    __slots__ = ("parent", "chars", "linked")
+
+    def __init__(self, parent: Doubtful | None):
+        self.parent, self.chars, self.linked = parent, 0, 0
+
+    def out(self) -> bool:
+        return 2 * self.linked > self.chars or self.parent is not None and self.parent.out()
+
+
 class _Open:
     """What holds inside an open element."""
 
-    __slots__ = ("container", "out", "soft", "link", "heading")
+    __slots__ = ("container", "out", "soft", "link", "heading", "doubtful")
 
-    def __init__(self, container, out=False, soft=False, link=False, heading=False):
-        self.container, self.out, self.soft, self.link, self.heading = container, out, soft, link, heading
+    def __init__(self, container, out=False, soft=False, link=False, heading=False, doubtful=None):
+        self.container, self.out, self.soft, self.link, self.heading, self.doubtful = container, out, soft, link, heading, doubtful
 
 
 def _inside(up: _Open, name: str, text: str) -> _Open:
     if up.out:
         return up
     a = attributes(text) if text.strip() else {}
-    out, soft = name in OUT_TAGS, up.soft
-    names = f"{a.get('class', '')} {a.get('id', '')}"
-    words = _words(f"{names} {a.get('role', '')}") if a else set()
+    out, soft, doubtful = name in OUT_TAGS, up.soft, up.doubtful
+    names = [*a.get("class", "").split(), *a.get("id", "").split()]
+    words = {w.lower() for n in names for w in _WORD.findall(n)}
     if name not in ("html", "body"):
-        out = out or bool(words & OUT_WORDS) or "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
+        said = _verdict(names)
+        out = out or said == "out" or a.get("role", "") in OUT_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
+        if said == "links":
+            doubtful = Doubtful(doubtful)
         if name == "header" or "header" in words and name not in _HEADINGS and name not in _MAIN:
             # a header of the article keeps its headings, one of the page nothing
             article = up.container
@@ -76,24 +108,33 @@ def _inside(up: _Open, name: str, text: str) -> _Open:
             out, soft = out or article is None, True
     container = up.container
     if name in _CONTAINERS and not out:
-        classes = ".".join(sorted({re.sub(r"\d+", "#", c) for c in a.get("class", "").split()})[:4])
+        classes = ".".join(sorted({re.sub(r"\d+", "#", c) for c in a.get("class", "").split()}))
         step = f"{name}.{classes}" if classes else name
         main = name in _MAIN or a.get("role") == "main" or a.get("itemprop") == "articleBody"
         container = Container(f"{container.path}/{step}" if container else step, container, main)
-    return _Open(container, out, soft, up.link or name == "a", up.heading or name in _HEADINGS)
+    return _Open(container, out, soft, up.link or name == "a", up.heading or name in _HEADINGS, doubtful)
 
 
-def blocks(html: str) -> Iterator[tuple[str, Container, int]]:
+def blocks(html: str) -> list[tuple[str, Container, int]]:
     """(text, innermost container, characters in links) of each block of text that may be part of the main text."""
+    found = []
+    for line, container, linked, doubtful in _all_blocks(html):
+        found.append((line, container, linked, doubtful))
+        while doubtful is not None:
+            doubtful.chars, doubtful.linked, doubtful = doubtful.chars + len(line), doubtful.linked + linked, doubtful.parent
+    return [b[:3] for b in found if b[3] is None or not b[3].out()]
+
+
+def _all_blocks(html: str) -> Iterator[tuple[str, Container, int, Doubtful | None]]:
     stack, root = Stack(), Container("", None, False)
     base = _Open(root)
     parts: list[str] = []
-    holder, linked = root, 0
+    holder, linked, doubtful = root, 0, None
 
     def flush():
         nonlocal parts, linked
         line = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
-        found = (line, holder, min(linked, len(line)))
+        found = (line, holder, min(linked, len(line)), doubtful)
         parts, linked = [], 0
         return found
 
@@ -103,7 +144,7 @@ def blocks(html: str) -> Iterator[tuple[str, Container, int]]:
             if now.out or now.soft and not now.heading:
                 continue
             if not parts:
-                holder = now.container
+                holder, doubtful = now.container, now.doubtful
             parts.append(text)
             if now.link:
                 linked += len(text)
@@ -156,16 +197,60 @@ def best(total: dict[str, float]) -> str | None:
     return min(total, key=lambda p: (-total[p], p)) if total else None
 
 
+_SENTENCE = re.compile(r"[.!?…。！？؟][\"'”’»)\]]*$")
+
+
+def _tells(line: str, linked: int) -> bool:
+    return 3 * linked < len(line) and len(line) >= 40 and bool(_SENTENCE.search(line))
+
+
+def lifted(found: list[tuple[str, Container, int]], path: str) -> str:
+    """The path, or one further out, as long as the step outwards gains more text in sentences than links and scraps.
+
+    A block in sentences has 40 characters or more and ends like one.
+    """
+    while True:
+        up = {at.parent.path for _, c, _ in found if (at := _within(c, path)) is not None and at.parent is not None}
+        if len(up) != 1 or not (outer := up.pop()):
+            return path
+        told = scraps = 0
+        for line, c, linked in found:
+            if _of(c, outer) and not _of(c, path):
+                if _tells(line, linked):
+                    told += len(line) - linked
+                else:
+                    scraps += linked + (0 if linked else len(line) // 4)
+        if told <= scraps:
+            return path
+        path = outer
+
+
+def _within(container: Container, path: str) -> Container | None:
+    while container is not None and container.path != path:
+        container = container.parent
+    return container
+
+
+def own_path(found: list[tuple[str, Container, int]]) -> str | None:
+    """The page's own best path."""
+    path = best(scores(found))
+    return lifted(found, path) if path is not None else None
+
+
 def main_text(html: str | None, path: str | None) -> tuple[str, str | None]:
-    """The page's main text and the path that it was taken from: the given one if it occurs, else its own best."""
+    """The page's main text and the path that it was taken from.
+
+    That is the given one, unless it holds nothing, or less than half of the sentences that the page's own best path does.
+    """
     if not html:
         return "", None
-    found = list(blocks(html))
-    own = [b[0] for b in found if _of(b[1], path)] if path is not None else []
-    if not own:
-        path = best(scores(found))
-        own = [b[0] for b in found if path is not None and _of(b[1], path)]
-    return "\n".join(own), path if own else None
+    found = blocks(html)
+    taken = lambda p: [b[0] for b in found if p is not None and _of(b[1], p)]
+    given, mine = taken(path), own_path(found)
+    told = lambda p: sum(len(b[0]) for b in found if p is not None and _of(b[1], p) and _tells(b[0], b[2]))
+    if mine != path and (not given or 2 * told(path) < told(mine)):
+        given, path = taken(mine), mine
+    return "\n".join(given), path if given else None
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,12 +259,14 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for url, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if not (html := html.as_py()):
                 continue
-            total = scores(list(blocks(html)))
-            most = max(total.values(), default=0)
-            for path, score in total.items():
-                if score >= most / 2:
+            found = blocks(html)
+            total = scores(found)
+            most, mine = max(total.values(), default=0), own_path(found)
+            for path in {*total, *([mine] if mine is not None else [])}:
+                share = 1 if path == mine else total[path] / most / 2
+                if share >= 0.25:
                     key = (host_of(url), path)
-                    votes[key] = votes.get(key, 0.0) + round(1000 * score / most)
+                    votes[key] = votes.get(key, 0.0) + round(1000 * share)
         hosts, paths = zip(*votes, strict=True) if votes else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(list(votes.values()), pa.float64())], names=["host", "path", "votes"])
 
@@ -191,13 +278,13 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The html and the host's path come last and are replaced by text and path."""
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             part = batch.slice(at, 500)
-            got = [main_text(h.as_py(), p) for h, p in zip(part.column("html"), part.column("path").to_pylist(), strict=True)]
-            keep = [c for n, c in zip(part.schema.names, part.columns, strict=True) if n not in ("html", "path")]
-            names = [n for n in part.schema.names if n not in ("html", "path")]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array([t for t, _ in got], pa.string()), pa.array([p for _, p in got], pa.string())], names=[*names, "text", "path"])
+            html, path = part.columns[-2:]
+            got = [main_text(h.as_py(), p) for h, p in zip(html, path.to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*part.columns[:-2], pa.array([t for t, _ in got], pa.string()), pa.array([p for _, p in got], pa.string())], names=[*part.schema.names[:-2], "text", "path"])
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -205,14 +292,15 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> D
 
     A null or empty html, and a page without main text, have an empty text and a null path. A null url is
     the host without a name. Rows may repeat; columns named host, text or path are replaced, all others
-    stay. Within a block white space becomes one space; blocks are joined by line feeds.
+    stay, whatever their names. Within a block white space becomes one space; blocks are joined by line feeds.
     """
     scratch = Scratch(pages.sparkSession, "pages")
     # the same host as host_of() gives
     host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(F.col(url_col), F.lit("")), _HOST.pattern, 1)), r"^www\.", "")
     winners = scratch.write(host_paths(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))), "paths")
     own = [c for c in pages.columns if c not in ("host", "text", "path", html_col)]
-    p = pages.select(*own, host.alias("host"), F.col(html_col).alias("html"))
-    p = p.join(small(winners, 512), "host", "left").select(*own, "host", "html", "path")
-    ddl = ", ".join([p.select(*own, "host").schema.toDDL(), "text string", "path string"])
+    (html,) = fresh([*own, "host", "path"], "html")
+    p = pages.select(*own, host.alias("host"), F.col(html_col).alias(html))
+    p = p.join(small(winners, 512), "host", "left").select(*own, "host", html, "path")
+    ddl = ", ".join([p.select(*own, "host").schema.toDDL(), "text string, path string"])
     return p.mapInArrow(_extract, ddl)

@@ -1,3 +1,5 @@
+from html.parser import HTMLParser
+
 from cuelattice.llm.html_paths import extract, host_of, main_text
 from cuelattice.llm.markup import tokens
 
@@ -18,6 +20,76 @@ def test_article_without_the_rest():
     assert text(html) == "Head & line\nFirst bold text goes on.\nSecond <p> © 2 A\none\ntwo"
 
 
+def test_only_what_the_contract_names_is_left_out():
+    for inside in ('<div class="related-work">', '<section class="share-prices">', '<p class="search-results">', '<p class="alert-level">', '<p class="copyright-law">', '<div class="menu-item">', '<blockquote class="reply">', '<p class="byline">', '<div class="more-text">'):
+        end = inside[1:].split()[0]
+        assert text(f"<article><p>Before it.</p>{inside}What stands in here stays.</{end}><p>Behind it.</p></article>") == "Before it.\nWhat stands in here stays.\nBehind it.", inside
+    for inside in ('<div class="ad">', '<div class="google-ad-slot">', '<ul class="menu">', '<div class="cookie-banner">', '<div class="comment-list">', '<section id="comments">', '<div class="pageSidebar2">', '<p class="notice">', '<div role="search">', '<div class="related-posts"><a href=x>One more story</a> or', '<div class="tags"><a href=y>News of today</a>'):
+        end = inside[1:].split()[0]
+        assert text(f"<article><p>Before it.</p>{inside} no </{end}><p>Behind it.</p></article>") == "Before it.\nBehind it.", inside
+
+
+def test_text_outside_the_best_container():
+    story = "A sentence that is long enough to count as one here. "
+    page = f"<body><div class=top><a href=/>Home</a> <a href=/n>News of today</a></div><div id=content><div class=intro>{story * 2}</div><div class=body>{story * 9}</div><div class=last>{story * 5}</div></div><div class=bottom>Terms and so on</div></body>"
+    assert text(page) == "\n".join((story * n).strip() for n in (2, 9, 5))
+    assert text(f"<body><div class=a><p>{story * 4}</p></div><div class=a><p>{story * 5}</p></div><ul><li><a href=x>{'link ' * 30}</a></ul></body>") == f"{(story * 4).strip()}\n{(story * 5).strip()}"
+    # a host's path that holds little of a page does not hide the rest
+    assert main_text(f"<div class=x>{story}</div><div class=y>{story * 9}</div>", "div.x")[0].count("A sentence") >= 9
+
+
+class _Reader(HTMLParser):
+    """The blocks of the article, by the library's parser: a reference for pages whose article is marked."""
+
+    BLOCKS = set("p h1 h2 h3 li ul div article nav footer body section".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.parts, self.blocks = [], [], []
+
+    def ends(self):
+        line = " ".join("".join(self.parts).split())
+        self.parts = []
+        self.blocks += [line] if line else []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in self.BLOCKS:
+            self.ends()
+        if tag == "br":
+            self.parts.append(" ")
+        elif tag not in ("meta", "img", "hr", "p", "b", "li"):
+            self.open.append("ad" if ("class", "ad") in attrs else tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.BLOCKS:
+            self.ends()
+        if tag not in ("p", "b", "li") and self.open:
+            self.open.pop()
+
+    def handle_data(self, data):
+        if "article" in self.open and not {"ad", "nav", "footer", "script", "style"} & set(self.open):
+            self.parts.append(data)
+
+
+def test_every_page_equals_a_plain_reading(spark):
+    from cuelattice.llm import queries as q
+    from cuelattice.llm.common import table
+
+    sf = "/root/testdata/sf0.01"
+    html = {r.page_id: r.html for r in table(spark, sf, "pages").collect()}
+    for r in q.op5_html(spark, sf).collect():
+        reader = _Reader()
+        reader.feed(html[r.page_id])
+        reader.ends()
+        assert r.text == "\n".join(reader.blocks), r.page_id
+
+
+def test_clashing_names(spark):
+    d = spark.createDataFrame([(1, "http://x/", "<p>taken</p>", "mine")], "page_id long, url string, body string, html string")
+    got = extract(d, html_col="body")
+    assert got.columns == ["page_id", "url", "html", "host", "text", "path"] and got.first()[2:5] == ("mine", "x", "taken")
+
+
 def test_broken_pages():
     assert text("<article><p>cut off in a wo") == "cut off in a wo"
     assert text("<article><p>cut in a tag</p><p cla") == "cut in a tag"
