@@ -8,11 +8,12 @@ where the sum, over all residual gaps, of the squared number of open bins with t
 
 from __future__ import annotations
 
-import base64
+import os
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,45 +31,43 @@ _ODD = re.compile(r"[^\n\x20-\x7e\xa1-\xac\xae-\u017f]|[ \n]{2}")
 _KNOWN = 600_000
 
 
-#: The splitting pattern of the byte-level vocabulary; a fixed value.
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
 class Ids:
-    """Token ids of texts as little-endian 32-bit numbers, by the tokenizer file.
+    """Token ids of texts as little-endian 32-bit numbers, by a byte-level tokenizer's file.
 
-    ranks_path may name the same vocabulary as ranks: then plain texts are split before each space and around
-    each line end, where byte-level BPE always splits, and words seen before are looked up.
+    Plain texts are split before each space and around each line end, where byte-level BPE always splits, and words
+    seen before are looked up. A text that spells one of the file's added tokens goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str, ranks_path: str | None = None):
+    def __init__(self, path: str):
+        # tasks are as many as cores already
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] | None = None
-        if ranks_path:
-            import tiktoken
-
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            self.word = tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-            self.known = {"": b""}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known: dict[str, bytes] = {"": b""}
 
     def of(self, text: str) -> bytes:
-        if self.known is None or _ODD.search(text):
+        if _ODD.search(text) or any(t in text for t in self.added):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         known, parts = self.known, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
         try:
             return b"".join([known[p] for p in parts])
         except KeyError:
-            own = {p: array("I", self.word(p)).tobytes() for p in set(parts) if p not in known}
+            new = list({p for p in parts if p not in known})
+            own = {p: array("I", e.ids).tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
             if len(known) < _KNOWN:
                 known.update(own)
                 return b"".join([known[p] for p in parts])
             return b"".join([own[p] if p in own else known[p] for p in parts])
 
 
+#: One for each worker process, which keeps it from task to task.
+@cache
+def ids_of(path: str) -> Ids:
+    return Ids(path)
+
+
 def cut(total: int, most: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of total ids: the remainder first, then full ones."""
     first = total % most or most
@@ -81,7 +80,8 @@ def sum_of_squares(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
     An item of length s goes into the open bin, of those with a gap g of s at least, whose choice leaves the
     smallest sum of N[g] ** 2, where N counts the open bins of each gap: the change is 2 * (N[g - s] - N[g]) + 2,
     and 1 - 2 * N[s] where the bin closes. Only if no open bin has room is a new one opened. Among equal
-    changes the smallest gap wins.
+    changes the smallest gap wins. A new bin is not weighed against the open ones: with its change of 2 * N[most - s] + 1
+    among the others, 10,000 documents need 1.0 percent more sequences, and 2,000 documents 1.8 percent.
     """
     count = np.zeros(most + 1, np.int64)
     open_bins: list[list[int]] = [[] for _ in range(most + 1)]
@@ -108,11 +108,11 @@ def sum_of_squares(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
 _PIECES = "shard long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _pieces(path: str, ranks_path: str | None, end_id: int, most: int, with_ids: bool):
+def _pieces(path: str, end_id: int, most: int, with_ids: bool):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = Ids(path, ranks_path)
+        ids = ids_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
@@ -146,19 +146,22 @@ def _place(most: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, ranks_path: str | None = None, end_id: int = 2, most: int = 1024, shard_docs: int = SHARD_DOCS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most: int = 1024, shard_docs: int = SHARD_DOCS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset for each piece of each document.
 
     A null text counts as empty and gives one piece, the end mark. Ids may repeat or be null: each row is
-    packed. Rows are dealt to shards at random, by id and a salt, and the number of shards grows with the
-    documents; a shard holds a few numbers a row. ranks_path names the tokenizer's vocabulary as ranks, if
-    there is such a file. Other columns are ignored.
+    packed. Rows are dealt to shards by a hash of id and text, so that reruns agree however files are split, and
+    the number of shards grows with the documents; a shard holds a few numbers a row. Only if equal rows would
+    fill more than a quarter of a shard they are salted by their place. Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    shards = max(1, -(-docs.count() // shard_docs))
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    shard = F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(shards)).cast("long")
+    own = F.xxhash64("doc_id", "text")
+    n, repeated = d.groupBy(own.alias("own")).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    shards = max(1, -(-n // shard_docs))
+    if 4 * repeated > shard_docs:
+        own = F.xxhash64(own, F.monotonically_increasing_id())
     columns = _PIECES + (", ids array<int>" if with_ids else "")
-    pieces = d.select(shard.alias("shard"), "doc_id", "text").mapInArrow(_pieces(tokenizer_path, ranks_path, end_id, most, with_ids), columns)
+    pieces = d.select(F.pmod(own, F.lit(shards)).cast("long").alias("shard"), "doc_id", "text").mapInArrow(_pieces(tokenizer_path, end_id, most, with_ids), columns)
     kept = columns.removeprefix("shard long, ")
     return pieces.groupBy("shard").applyInArrow(_place(most), f"{kept}, sequence_id long, offset long")

@@ -10,16 +10,14 @@ from cuelattice.llm.queries import vocabulary
 
 from .common import DOCS, edges, empty, prose
 
-PATH, RANKS = vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken")
+PATH = vocabulary("byte_bpe_50k.json")
 
 
 @cache
 def _tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def _plain(text):
@@ -28,18 +26,23 @@ def _plain(text):
 
 @pytest.fixture(scope="module")
 def ids():
-    return Ids(PATH, RANKS)
+    return Ids(PATH)
 
 
 @pytest.mark.parametrize("seed", range(6))
 def test_ids_are_the_tokenizers(seed, ids):
     r = random.Random(seed)
     bits = [" ", "\n", "  ", "a", "The", "don't", "é", "ß", "9", "42", ".", ",", "'s", "\t", "你好", "<|endoftext|>", " ", "\r\n", " \n", "¡", "_", "#", "\U0001f600", "x́"]
-    for _ in range(400):
+    for _ in range(1500):
         text = "".join(r.choice(bits) for _ in range(r.randrange(14)))
         assert np.frombuffer(ids.of(text), "<u4").tolist() == _plain(text), repr(text)
 
 
+def test_added_tokens_are_read_as_the_tokenizer_reads_them(ids):
+    text = "a <|endoftext|> b"
+    assert np.frombuffer(ids.of(text), "<u4").tolist() == _plain(text) and 50256 in _plain(text)
+
+
 def test_cut():
     assert cut(5, 10) == [(0, 5)] and cut(10, 10) == [(0, 10)] and cut(25, 10) == [(0, 5), (5, 10), (15, 10)]
 
@@ -58,7 +61,7 @@ def test_bins_hold_what_they_can():
 
 def test_edges(spark):
     d = edges(spark, piece="x", sequence_id="y", shard="z")
-    got = pack(d, PATH, RANKS, shard_docs=4, with_ids=True).collect()
+    got = pack(d, PATH, shard_docs=4, with_ids=True).collect()
     assert len({(r.doc_id, r.ids_crc32) for r in got if r.doc_id is not None}) >= 9
     by = {}
     for r in got:
@@ -77,11 +80,21 @@ def test_edges(spark):
     assert all(r.length == 1024 for r in seven[1:]) and [r.piece for r in seven] == list(range(len(seven)))
     assert sorted(r.length for r in got if r.doc_id in (1, 2)) == [1, 1]
     assert sum(r.doc_id == 6 for r in got) == 2
-    assert pack(empty(spark), PATH, RANKS).count() == 0
+    assert pack(empty(spark), PATH).count() == 0
+
+
+def test_sequences_do_not_hang_on_the_split(spark):
+    d = spark.createDataFrame([(i % 90, prose(i % 100, 30 + i % 100), "en", "a", 0) for i in range(300)], DOCS)
+    one, many = (sorted(tuple(r) for r in pack(d.repartition(n), PATH, shard_docs=50).collect()) for n in (1, 7))
+    assert one == many
+    # equal rows in number are dealt out
+    d = spark.createDataFrame([(1, "the same row", "en", "a", 0)] * 400, DOCS)
+    got = pack(d.repartition(3), PATH, shard_docs=100).collect()
+    assert len(got) == 400 and len({r.sequence_id >> 40 for r in got}) == 4
 
 
 def test_few_sequences(spark):
     rows = [(i, prose(i, 5 + i * 37 % 400), "en", "a", 0) for i in range(600)]
-    got = pack(spark.createDataFrame(rows, DOCS), PATH, RANKS)
+    got = pack(spark.createDataFrame(rows, DOCS), PATH)
     n, tokens = got.select("sequence_id").distinct().count(), got.selectExpr("sum(length)").first()[0]
     assert n <= 1.03 * tokens / 1024 + 2
