@@ -1,9 +1,11 @@
 """Media columns: interleaved sequences of texts and media, aligned with stored payloads.
 
 Parsing a page yields its texts and media references in order, each with its position, and with the
-caption of its figure. Media are stored once under the digest of what they hold. References meet their
-media in a join by digest; facts that need a payload (features, checks) are computed where it is stored, so
-that the join moves digests and facts and not payloads, unless they are asked for.
+caption of its figure. Media are stored under the digest of what they hold, each row's by the task that reads
+the row; equal payloads are equal rows there, and have one row of facts. References meet their media in a join by
+digest; facts that need a payload (features, checks) are computed where it is stored, so that the join moves
+digests and facts and not payloads, unless they are asked for. Facts are a written table, and references are dealt
+out by digest alone, so that Spark can split a digest that very many references share.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, fresh
 from .markup import BLOCK, VOID, Stack, attributes, tokens
 
 #: A picture's row, and rows of which a payload holds a multiple: 24 x 24 samples.
@@ -113,10 +115,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in _FACTS.split(", ")])
 
 
-def media_facts(media: DataFrame) -> DataFrame:
-    """One row for each digest: what the stored bytes give when they are read back."""
+def media_facts(media: DataFrame, scratch: Scratch) -> DataFrame:
+    """The written table of one row for each digest: what the stored bytes give when they are read back."""
     facts = media.select("digest", "media").mapInArrow(_read, _FACTS)
-    return facts.groupBy("digest").agg(*[F.min(c).alias(c) for c in facts.columns if c != "digest"])
+    return scratch.write(facts.groupBy("digest").agg(*[F.min(c).alias(c) for c in facts.columns if c != "digest"]), "facts")
 
 
 _ITEMS = "array<struct<position: int, kind: string, text: string, ref: string, digest: string, caption: string>>"
@@ -179,12 +181,12 @@ def items_of(html: str | None) -> list[dict]:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The html comes last and is replaced by its items."""
     for batch in batches:
-        at = batch.schema.names.index("html")
         for start in range(0, batch.num_rows, 200):
             part = batch.slice(start, 200)
-            got = pa.array([items_of(h.as_py()) for h in part.column(at)], _ITEM_TYPE)
-            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(part.columns) if i != at), got], names=[*(n for i, n in enumerate(part.schema.names) if i != at), "items"])
+            got = pa.array([items_of(h.as_py()) for h in part.column(part.num_columns - 1)], _ITEM_TYPE)
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], got], names=[*part.schema.names[:-1], "items"])
 
 
 def interleave(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -194,7 +196,7 @@ def interleave(pages: DataFrame, html_col: str = "html") -> DataFrame:
     replaced. References without a digest keep a null one and meet no media.
     """
     own = [c for c in pages.columns if c not in (html_col, "items")]
-    p = pages.select(*own, F.col(html_col).alias("html"))
+    p = pages.select(*own, F.col(html_col).alias(fresh(own, "html")[0]))
     return p.mapInArrow(_parse, ", ".join([*([p.select(*own).schema.toDDL()] if own else []), f"items {_ITEMS}"]))
 
 
@@ -202,10 +204,13 @@ def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
     """A row for each media reference of the sequences, with its position, caption and the columns of its media.
 
     media has a row for each digest: media_facts(), or the stored payloads themselves. References whose
-    digest is null or not stored get nulls. Columns of media that the sequences have too are left out.
+    digest is null or not stored get nulls. Columns of the sequences named n_items, position, ref, caption or digest
+    are replaced; columns of media that the sequences have too are left out.
     """
-    refs = sequences.select(*[c for c in sequences.columns if c != "items"], F.size("items").alias("n_items"), F.explode(F.filter("items", lambda i: i["kind"] == "media")).alias("item"))
-    refs = refs.select(*[c for c in refs.columns if c != "item"], "item.position", "item.ref", "item.caption", "item.digest")
+    own = [c for c in sequences.columns if c not in ("items", "n_items", "position", "ref", "caption", "digest")]
+    (item,) = fresh(own, "item")
+    refs = sequences.select(*own, F.size("items").alias("n_items"), F.explode(F.filter("items", lambda i: i["kind"] == "media")).alias(item))
+    refs = refs.select(*own, "n_items", *[F.col(item)[c].alias(c) for c in ("position", "ref", "caption", "digest")])
     return refs.join(media.select("digest", *[c for c in media.columns if c not in refs.columns]), "digest", "left")
 
 

@@ -48,7 +48,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in sequences of 1024 tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack(docs, vocabulary("byte_bpe_50k.json"), vocabulary("byte_bpe_50k.tiktoken"))
+    return pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +86,8 @@ def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored picture of every document, met from the reference in the document's page."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    facts = media_facts(store_texts(docs, Scratch(spark, "media")))
+    scratch = Scratch(spark, "media")
+    facts = media_facts(store_texts(docs, scratch), scratch)
     found = resolve(interleave(illustrated(docs)), facts)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "n_items")
 

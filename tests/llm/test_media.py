@@ -31,7 +31,7 @@ def test_interleaved_order_and_captions():
 
 def test_documents_meet_their_pictures(spark):
     d = edges(spark, digest="x", items="y", media="z")
-    found = resolve(interleave(illustrated(d)), media_facts(store_texts(d, Scratch(spark, "test")))).collect()
+    found = resolve(interleave(illustrated(d)), media_facts(store_texts(d, Scratch(spark, "test")), Scratch(spark, "test"))).collect()
     assert len(found) == len(EDGES)
     want = {}
     for i, text, *_ in EDGES:
@@ -43,13 +43,16 @@ def test_documents_meet_their_pictures(spark):
         assert r.caption == str(r.doc_id)
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
     e = empty(spark)
-    assert resolve(interleave(illustrated(e)), media_facts(store_texts(e, Scratch(spark, "test")))).count() == 0
+    assert resolve(interleave(illustrated(e)), media_facts(store_texts(e, Scratch(spark, "test")), Scratch(spark, "test"))).count() == 0
 
 
 def test_other_columns_and_missing_media(spark):
     pages = spark.createDataFrame([(1, "a", '<img src="x.png"><p>t</p>'), (None, None, None), (1, "a", '<img src="x.png"><p>t</p>')], "page_id long, digest string, html string").withColumn("items", F.lit(1))
     got = interleave(pages)
     assert got.columns == ["page_id", "digest", "items"]
+    clash = pages.withColumnsRenamed({"html": "body"}).withColumns({c: F.lit(c) for c in ("html", "position", "ref", "caption", "item", "n_items")})
+    seen = resolve(interleave(clash, html_col="body"), spark.createDataFrame([("0" * 64, 5)], "digest string, payload_bytes long"))
+    assert [(r.page_id, r.html, r.position, r.item) for r in seen.collect()] == [(1, "html", 0, "item")] * 2
     media = spark.createDataFrame([("0" * 64, 5)], "digest string, payload_bytes long")
     refs = resolve(got.drop("digest"), media).collect()
     assert [(r.page_id, r.position, r.payload_bytes) for r in refs] == [(1, 0, None)] * 2
