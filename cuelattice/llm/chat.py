@@ -46,8 +46,9 @@ def format_chats(turns: DataFrame, trainable: str = "assistant", id_col: str = "
     formatted is the whole example, loss_start and loss_chars the code points under the loss mask; last
     marks the example that holds every turn of its conversation. A null text or role counts as empty, a
     null id is an id of its own; turns stand by number (nulls first), equal ones by role and text.
-    Repeated rows are turns of their own. Other columns are ignored. A conversation is one row's worth of
-    text; its examples are made one by one after the rows are dealt out again by conversation and place.
+    Repeated rows are turns of their own. Other columns are ignored. A conversation is written once, as one row,
+    with the places where its examples end; each example is a prefix of it. Prefixes hold their whole context,
+    so a conversation's examples grow with the square of its turns: that is what the method makes.
     """
     t = turns.select(
         F.col(id_col).alias("conv_id"),
@@ -56,23 +57,21 @@ def format_chats(turns: DataFrame, trainable: str = "assistant", id_col: str = "
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     head = F.concat(F.lit("### "), _role(F.col("role")), F.lit(": "))
-    body = escape(F.col("text"))
-    piece = F.struct("turn", "role", "text", head.alias("head"), body.alias("body"))
-    whole = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("turns"))
-    places = F.filter(F.sequence(F.lit(1), F.size("turns")), lambda i: (F.element_at("turns", i)["role"] == trainable) | (i == F.size("turns")))
-    each = whole.select("conv_id", "turns", F.posexplode(places).alias("example", "n"))
-    target = F.element_at("turns", F.col("n"))
-    has = target["role"] == trainable
-    context = F.array_join(F.transform(F.slice("turns", F.lit(1), F.col("n") - 1), lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
-    start = F.length(context) + F.length(target["head"])
-    return each.select(
-        "conv_id",
-        "example",
-        (F.col("n") == F.size("turns")).alias("last"),
-        F.concat(context, target["head"], target["body"], F.lit(END)).alias("formatted"),
-        F.when(has, start).otherwise(0).alias("loss_start"),
-        F.when(has, F.length(target["body"])).otherwise(0).alias("loss_chars"),
-    )
+    piece = F.struct("turn", "role", "text", head.alias("head"), escape(F.col("text")).alias("body"))
+    c = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("turns"))
+    whole = F.array_join(F.transform("turns", lambda x: F.concat(x["head"], x["body"], F.lit(END))), "")
+    sizes = F.transform("turns", lambda x, i: F.struct((x["role"] == trainable).alias("has"), F.length(x["head"]).alias("head"), F.length(x["body"]).alias("body"), (i + 1 == F.size("turns")).alias("last")))
+    c = c.select("conv_id", whole.alias("whole"), sizes.alias("sizes"))
+    start = F.struct(F.lit(0).alias("upto"), F.array().cast("array<struct<last:boolean,end:int,loss_start:int,loss_chars:int>>").alias("out"))
+
+    def step(s, x):
+        begin = s["upto"] + x["head"]
+        end = begin + x["body"] + len(END)
+        one = F.struct(x["last"].alias("last"), end.alias("end"), F.when(x["has"], begin).otherwise(0).alias("loss_start"), F.when(x["has"], x["body"]).otherwise(0).alias("loss_chars"))
+        return F.struct(end.alias("upto"), F.when(x["has"] | x["last"], F.concat(s["out"], F.array(one))).otherwise(s["out"]).alias("out"))
+
+    each = c.select("conv_id", "whole", F.posexplode(F.aggregate("sizes", start, step, lambda s: s["out"])).alias("example", "x"))
+    return each.select("conv_id", "example", "x.last", F.left("whole", F.col("x.end")).alias("formatted"), "x.loss_start", "x.loss_chars")
 
 
 def read_turns(formatted: Column) -> Column:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, small
+from .common import Scratch, fresh, small
 
 UNKNOWN = "und"
 #: Classes of trigrams.
@@ -148,7 +148,7 @@ def fused(own: np.ndarray, mine: np.ndarray, levels: list[np.ndarray], has_text:
     return posterior(own + np.log(prior))
 
 
-def _judge(model_of, total: list[int], text_col: str):
+def _judge(model_of, total: list[int], text_col: str, evidence: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = model_of.value
         names = [*model.languages, UNKNOWN]
@@ -156,7 +156,7 @@ def _judge(model_of, total: list[int], text_col: str):
         for batch in batches:
             at = {n: i for i, n in enumerate(batch.schema.names)}
             rows = []
-            small_columns = [batch.column(at[c]).to_pylist() for c in ("__declared", "__suffix", "__host_counts", "__domain_counts")]
+            small_columns = [batch.column(at[c]).to_pylist() for c in evidence]
             for text, declared, suffix, host, domain in zip(batch.column(at[text_col]), *small_columns, strict=True):
                 own, n = _own(model, text.as_py(), declared, suffix)
                 mine = np.rint(1000 * posterior(own + flat)) / 1000
@@ -165,7 +165,7 @@ def _judge(model_of, total: list[int], text_col: str):
                 k = int(p.argmax())
                 kept = n > 0 and names[k] != UNKNOWN and p[k] >= ACCEPT
                 rows.append((names[k] if n else UNKNOWN, float(round(p[k], 9)), kept))
-            keep = [i for i, c in enumerate(batch.schema.names) if not c.startswith("__")]
+            keep = [i for i, c in enumerate(batch.schema.names) if c not in evidence]
             columns = list(zip(*rows, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in keep), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())],
@@ -179,25 +179,27 @@ def identify(rows: DataFrame, model: Model, text_col: str = "text", host: Column
     """rows with language, confidence and accepted.
 
     host, declared, suffix and domain say where the evidence is; of those left out there is none. Null or empty evidence says nothing. A text without letters is of the unknown language, and not accepted.
-    Rows may repeat; all columns stay, but those with the names of results are replaced.
+    Rows may repeat; all columns stay, whatever their names, but those with the names of results are replaced.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "language")
     rows = rows.drop("language", "confidence", "accepted")
     nothing = F.lit(None).cast("string")
-    evidence = [F.coalesce(nothing if host is None else host, F.lit("")).alias("__host"), F.coalesce(nothing if domain is None else domain, F.lit("")).alias("__domain"), (nothing if declared is None else declared).alias("__declared"), (nothing if suffix is None else suffix).alias("__suffix")]
+    of_host, of_domain, said, ending, host_counts, domain_counts = fresh([*rows.columns, text_col], "host", "domain", "declared", "suffix", "host_counts", "domain_counts")
+    evidence = [F.coalesce(nothing if host is None else host, F.lit("")).alias(of_host), F.coalesce(nothing if domain is None else domain, F.lit("")).alias(of_domain), (nothing if declared is None else declared).alias(said), (nothing if suffix is None else suffix).alias(ending)]
     width = len(model.languages) + 1
     columns = [f"c{i}" for i in range(width)]
     sent = spark.sparkContext.broadcast(model)
-    counts = rows.select(F.col(text_col).alias("__text"), *evidence).mapInArrow(_host_counts(sent), ", ".join(["domain string", "host string", *(f"{c} long" for c in columns)]))
+    counts = rows.select(text_col, *evidence).mapInArrow(_host_counts(sent), ", ".join(["domain string", "host string", *(f"{c} long" for c in columns)]))
     hosts = scratch.write(counts.groupBy("domain", "host").agg(*[F.sum(c).alias(c) for c in columns]), "hosts")
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in columns]
     total = np.array(hosts.agg(*sums).first(), np.int64)
-    domains = hosts.where("domain <> ''").groupBy("domain").agg(*sums).select(F.col("domain").alias("__domain"), F.array(*columns).alias("__domain_counts"))
+    domains = hosts.where("domain <> ''").groupBy("domain").agg(*sums).select(F.col("domain").alias(of_domain), F.array(*columns).alias(domain_counts))
     domains = scratch.write(domains, "domains")
-    hosts = hosts.select(F.col("domain").alias("__domain"), F.col("host").alias("__host"), F.array(*columns).alias("__host_counts")).where("host <> ''")
+    hosts = hosts.where("host <> ''").select(F.col("domain").alias(of_domain), F.col("host").alias(of_host), F.array(*columns).alias(host_counts))
     e = rows.select("*", *evidence)
-    e = e.join(small(hosts, 64 + 8 * width), ["__domain", "__host"], "left").join(small(domains, 64 + 8 * width), "__domain", "left")
-    e = e.select(*rows.columns, "__declared", "__suffix", "__host_counts", "__domain_counts")
+    e = e.join(small(hosts, 64 + 8 * width), [of_domain, of_host], "left").join(small(domains, 64 + 8 * width), of_domain, "left")
+    given = [said, ending, host_counts, domain_counts]
+    e = e.select(*rows.columns, *given)
     ddl = ", ".join([rows.schema.toDDL(), "language string, confidence double, accepted boolean"])
-    return e.mapInArrow(_judge(sent, total.tolist(), text_col), ddl)
+    return e.mapInArrow(_judge(sent, total.tolist(), text_col, given), ddl)

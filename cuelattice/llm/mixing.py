@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, small
+from .common import WORD, Scratch, fresh, small
 
 #: Coarse ranges of a source; documents that a fine range holds on average.
 COARSE, FINE_ROWS = 256, 64
@@ -52,7 +52,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3,
     whole text epochs times, then the words that fall before the cut of its source. A source without
     words has target 0. Equal rows (same source, id and size) stand at one place and share what the cut
     leaves there, rounded down. A null id is ordered like an empty one. Reruns agree, as the keys depend
-    on seed and id only. Columns of docs with the names of results are replaced.
+    on seed and id only. Columns of docs with the names of results are replaced, all others stay.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     docs = docs.drop("size", "source_size", "target", "epochs", "taken")
@@ -91,14 +91,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1, 2, 3), cap: float = 3,
     hit = hit.select("p.source", "p.key", "p.size", "p.copies", "p.words", "e.rest", "e.start").withColumn("place", F.col("start") + F.coalesce(F.sum("words").over(order.rowsBetween(*before)), F.lit(0)))
     hit = hit.where((F.col("place") <= F.col("rest")) & (F.col("rest") < F.col("place") + F.col("words")))
     cuts = hit.select(F.col("source").alias("cut_source"), F.col("key").alias("cut_key"), F.col("size").alias("cut_size"), F.floor((F.col("rest") - F.col("place")) / F.col("copies")).cast("long").alias("partial"))
-    plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").select(F.col("source").alias("cut_source"), "source_size", "target", "epochs", "cut_key", "cut_size", "partial")
+    results = ["size", "source_size", "target", "epochs"]
+    own_key, of, cut_key, cut_size, partial = fresh([*docs.columns, *results, "taken"], "key", "cut_source", "cut_key", "cut_size", "partial")
+    plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("cut_source")), "left").select(F.col("source").alias(of), "source_size", "target", "epochs", F.col("cut_key").alias(cut_key), F.col("cut_size").alias(cut_size), F.col("partial").alias(partial))
     plan = scratch.write(plan, "cuts")
 
-    out = docs.withColumns({"size": size, "__key": key}).join(small(plan, 192, n_sources), F.col(source_col).eqNullSafe(F.col("cut_source")))
-    mine, cut = F.struct("__key", "size"), F.struct(F.col("cut_key").alias("__key"), F.col("cut_size").alias("size"))
-    extra = F.when(F.col("cut_key").isNull(), 0).when(mine < cut, F.col("size")).when(mine == cut, F.col("partial")).otherwise(0)
+    out = docs.withColumns({"size": size, own_key: key}).join(small(plan, 192, n_sources), F.col(source_col).eqNullSafe(F.col(of)))
+    mine, cut = F.struct(F.col(own_key).alias("key"), "size"), F.struct(F.col(cut_key).alias("key"), F.col(cut_size).alias("size"))
+    extra = F.when(F.col(cut_key).isNull(), 0).when(mine < cut, F.col("size")).when(mine == cut, F.col(partial)).otherwise(0)
     taken = (F.col("epochs") * F.col("size") + extra).cast("long")
-    return out.withColumn("taken", taken).drop("__key", "cut_source", "cut_key", "cut_size", "partial")
+    return out.select(*docs.columns, *results, taken.alias("taken"))
 
 
 #: The same in DuckDB, for rows with unique ids.

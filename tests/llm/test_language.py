@@ -38,6 +38,27 @@ def test_evidence_beyond_the_text(spark):
     assert suffix.language == "de"
 
 
+def test_domains_stand_between_hosts_and_corpus(spark):
+    model = fit(_labelled(spark), tuple(WORDS))
+    # a new host of a German domain, a new host of a new domain, and a French host of the German domain
+    rows = [(i, _text("de", i, 40), None, f"h{i % 3}.de-firm", 0) for i in range(120)] + [(i, _text("fr", i, 40), None, "fr.de-firm", 0) for i in range(200, 300)]
+    rows += [(i, _text("en", i, 40), None, "x.other", 0) for i in range(300, 700)]
+    rows += [(900, "xq", None, "new.de-firm", 0), (901, "xq", None, "new.unseen", 0), (902, "xq", None, "fr.de-firm", 0)]
+    domain = F.element_at(F.split("source", r"\."), -1)
+    got = {r.doc_id: r for r in identify(spark.createDataFrame(rows, DOCS), model, host=F.col("source"), domain=domain).collect()}
+    assert (got[900].language, got[901].language, got[902].language) == ("de", "en", "fr")
+
+
+def test_columns_of_any_name_stay(spark):
+    model = fit(_labelled(spark), tuple(WORDS))
+    d = _labelled(spark, 9)
+    for c in ("__x", "host", "domain", "declared", "suffix", "host_counts", "domain_counts"):
+        d = d.withColumn(c, F.lit(f"my {c}"))
+    got = identify(d, model, host=F.col("host"), declared=F.col("lang"))
+    assert got.columns == [*d.columns, "language", "confidence", "accepted"]
+    assert all(r["__x"] == "my __x" and r.host_counts == "my host_counts" and r.language == r.lang for r in got.collect())
+
+
 def test_own_share_is_taken_out():
     own, mine = np.log(np.array([0.5, 0.3, 0.2])), np.array([0.9, 0.1, 0.0])
     alone = fused(own, mine, [mine], True)
