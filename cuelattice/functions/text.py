@@ -6,13 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Scripts written without spaces between words (Thai, Lao, Burmese, Khmer, kana, Han), as ranges.
-UNSPACED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}"
+UNSPACED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
 #: Eastern digits and their western ones.
 EASTERN, WESTERN = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"
 #: Letter shapes that are folded into one, and marks that are dropped.
-SHAPES_FROM, SHAPES_TO, MARKS = "أإآٱىةیکؤئ", "ااااي" + "هيكوي", "ًٌٍَُِّْٰـ"
-#: Sounds that are no words.
-FILLERS = "ah aha ahem eh er erm ha hm hmm huh mhm mm oh ooh uh uhh um umm uhhuh wow".split()
+SHAPES_FROM, SHAPES_TO, MARKS = "أإآٱىةیکؤئ", "اااايهيكوي", "ًٌٍَُِّْٰـ"
+#: Letters written more than one way, and the one that an echo is compared by.
+ECHO_FROM, ECHO_TO = "يىكةأإآؤئۀ", "ییکهاااویه"
+#: Sounds that are no words, each run of one letter written once.
+FILLERS = "m hm mhm uh um uhm uhuh ah eh ehm erm oh huh euh ha haha hahaha whoa ugh اه آه اوه م ه м хм э эм हम्म उम्म 嗯 呃 啊 哦 唔 哈 えー あー うーん んー ん 음 흠".split()
+#: Fixed value: laughter of any length.
+LAUGHTER = "^([hх][aeioаеио]){2,}[hх]?$"
 
 
 def norm(word: Column) -> Column:
@@ -52,6 +56,11 @@ def grams(toks: Column, size: int) -> Column:
     return F.array_distinct(F.filter(got, lambda g: g.isNotNull()))
 
 
+def gram_hashes(toks: Column, size: int) -> Column:
+    """64-bit hashes of the distinct runs of size tokens."""
+    return F.transform(grams(toks, size), lambda g: F.xxhash64(g))
+
+
 def letters(text: Column) -> Column:
     """How many letters and digits."""
     return F.length(F.regexp_replace(text, r"[^\p{L}\p{N}]", ""))
@@ -76,9 +85,11 @@ def western_digits(text: Column) -> Column:
     return F.translate(text, EASTERN, WESTERN)
 
 
-def normalise(text: Column) -> Column:
-    """Western digits, one of repeated ? or !, white space squeezed and trimmed."""
-    t = F.regexp_replace(western_digits(text), r"([?!؟])[?!؟]+", "$1")
+def normalise(text: Column, arabic: bool = True) -> Column:
+    """Western digits (in Arabic), a question mark for each pair of one and !, white space squeezed and trimmed."""
+    t = western_digits(text) if arabic else text
+    for pair, mark in (("؟!", "؟"), ("!؟", "؟"), ("?!", "؟" if arabic else "?")):
+        t = F.replace(t, F.lit(pair), F.lit(mark))
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
@@ -87,6 +98,11 @@ def fold(text: Column) -> Column:
     return F.translate(F.translate(text, MARKS, ""), SHAPES_FROM, SHAPES_TO)
 
 
+def echo_fold(text: Column) -> Column:
+    """Letters that are written more than one way, as one."""
+    return F.translate(text, ECHO_FROM, ECHO_TO)
+
+
 def numbers(text: Column) -> Column:
     """Numbers of two digits at least, thousands joined, those that end in 00 left out."""
     t = F.regexp_replace(western_digits(text), r"(\d)[,٬](?=\d{3}(?!\d))", "$1")
@@ -104,11 +120,12 @@ def plain(text: Column) -> Column:
 
 
 def only_a_sound(text: Column) -> Column:
-    """Whether a text is a filler, however drawn out, or laughter."""
-    drawn = F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\s]", ""), r"(\p{L})\1+", "$1")
-    short = [F.regexp_replace(F.lit(f), r"(\p{L})\1+", "$1") for f in FILLERS]
-    parts = F.filter(F.split(drawn, r"\s+"), lambda w: w != "")
-    return (F.size(parts) > 0) & F.forall(parts, lambda w: w.isin(*short) | w.rlike("^(ha|he|hi|ho){2,}h?$"))
+    """Whether a text as a whole, or each of its words, is a filler, however drawn out, or laughter."""
+    once = lambda t: F.regexp_replace(t, r"(.)\1+", "$1")
+    sound = lambda w: w.isin(*FILLERS) | w.rlike(LAUGHTER)
+    spaced = F.regexp_replace(F.lower(text), r"[^\p{L}\p{M}]+", " ")
+    parts = F.filter(F.split(spaced, " "), lambda w: w != "")
+    return (F.size(parts) > 0) & (sound(once(F.array_join(parts, ""))) | F.forall(parts, lambda w: sound(once(w))))
 
 
 def ends_sentence(text: Column) -> Column:
@@ -161,12 +178,16 @@ def parts_too_long(text: Column, budgets: Column) -> Column:
     return F.when(F.size(parts) == F.size(budgets), over).otherwise(F.length(text) > total)
 
 
-def glossary_entries(text: Column) -> Column:
-    """The (language, term, meaning) of each "[lang:] term = meaning" line; the first 50 that fit."""
+def glossary_entries(text: Column, language: str | None = None) -> Column:
+    """The (language, term, meaning) of each "[lang:] term = meaning" line that holds for the language; the first 50 that fit.
+
+    A line without a language holds for all; without a language asked for, every line is taken.
+    """
     lines = F.split(text, r"[\n;]")
-    entry = lambda p: F.struct(F.lower(F.regexp_extract(p, r"^\s*(?:([A-Za-z]{2,3})\s*:)?", 1)).alias("language"), F.trim(F.regexp_extract(p, r"^\s*(?:[A-Za-z]{2,3}\s*:)?([^=]*)=", 1)).alias("term"), F.trim(F.regexp_extract(p, r"=(.*)$", 1)).alias("meaning"))
+    entry = lambda p: F.struct(F.lower(F.regexp_extract(p, r"^\s*(?:([A-Za-z]{2,3}(?:-[A-Za-z0-9]+)*)\s*:)?", 1)).alias("language"), F.trim(F.regexp_extract(p, r"^\s*(?:[A-Za-z]{2,3}(?:-[A-Za-z0-9]+)*\s*:)?([^=]*)=", 1)).alias("term"), F.trim(F.regexp_extract(p, r"=(.*)$", 1)).alias("meaning"))
     good = lambda e: (e["term"] != "") & (e["meaning"] != "") & (F.length(e["term"]) <= 200) & (F.length(e["meaning"]) <= 200)
-    return F.slice(F.filter(F.transform(lines, entry), good), 1, 50)
+    mine = lambda e: F.lit(True) if language is None else e["language"].isin("", language.lower())
+    return F.slice(F.filter(F.transform(lines, entry), lambda e: good(e) & mine(e)), 1, 50)
 
 
 def sentence_chunks(text: Column, most: int) -> Column:

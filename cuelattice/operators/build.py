@@ -30,7 +30,8 @@ def halved(start: np.ndarray, end: np.ndarray, size: np.ndarray, mark: np.ndarra
             lo, hi = todo.pop()
             m = hi - lo
             if m > 1 and (end[lo:hi].max() - start[lo:hi].min() > most_us or before[hi] - before[lo] - 1 > chars):
-                score = mark[lo : hi - 1] + 2 * pause[lo : hi - 1] - np.abs(2 * np.arange(1, m) - m) / m
+                span = max(int(end[hi - 1] - start[lo]), 1)
+                score = mark[lo : hi - 1] + 2 * pause[lo : hi - 1] - np.abs(end[lo : hi - 1] + start[lo + 1 : hi] - start[lo] - end[hi - 1]) / 2 / span
                 cut = lo + 1 + int(np.argmax(np.floor(score * 1e9 + 0.5)))
                 todo += [(cut, hi), (lo, cut)]
             else:
@@ -42,7 +43,7 @@ def halved(start: np.ndarray, end: np.ndarray, size: np.ndarray, mark: np.ndarra
 def split_long(words: DataFrame, keys: Sequence[str], block: str = "block", most_us: int = 6_000_000, chars: int = 84) -> DataFrame:
     """words with part: blocks halved at their best place until each is short enough, or one word.
 
-    The best place has a sentence's or a clause's end before it, a long pause behind it and lies near the middle.
+    The best place has a sentence's or a clause's end before it, a long pause behind it and lies near the middle of its time.
     A task halves some hundred blocks of a clip at once, each to its end.
     """
     mark = F.when(text.ends_sentence(F.col("text")), 2.0).when(text.ends_clause(F.col("text")), 1.0).otherwise(0.0)

@@ -67,8 +67,8 @@ def srt_files(cues: DataFrame, keys: Sequence[str]) -> DataFrame:
     return got.select(*keys, F.array_join(F.transform("b", lambda x: x["line"]), "\n").alias("srt"))
 
 
-#: Colours of the speakers after the first.
-PALETTE = ["#ffffff", "#ffe066", "#8ce99a", "#74c0fc", "#faa2c1", "#ffc078"]
+#: The colour of who talks most, then those that the others take in turn.
+PALETTE = ["#f7f5f0", "#ffe066", "#8fe3f5", "#a8e6a1"]
 
 
 def ass_events(cues: DataFrame, keys: Sequence[str], ranks: DataFrame, fade_ms: int = 200) -> DataFrame:
@@ -128,10 +128,18 @@ def balanced(sentence: Column, most: int = 42) -> Column:
     return F.when((F.length(whole) <= most) | (n < 2), F.array(whole)).otherwise(F.array(first(best), second(best)))
 
 
-def best_split(toks: Column, pauses: Column) -> Column:
-    """The place after which to split: 2 for a sentence's end, 1 for a clause's, twice the pause, less the distance from the middle; first of equals."""
-    n = F.size(toks)
-    score = lambda i: F.when(text.ends_sentence(F.element_at(toks, i)), 2.0).when(text.ends_clause(F.element_at(toks, i)), 1.0).otherwise(0.0) + 2 * F.element_at(pauses, i) - F.abs(2 * i - n) / n
+def best_split(words: Column) -> Column:
+    """The place after which to split timed words (text, s, e): 2 for a sentence's end, 1 for a clause's, twice the pause in
+    seconds, less the pause's distance from the middle of their time as a share of it; first of equals."""
+    n = F.size(words)
+    first, last = F.element_at(words, 1), F.element_at(words, -1)
+    span = F.greatest(last["e"] - first["s"], F.lit(1))
+
+    def score(i):
+        before, after = F.element_at(words, i), F.element_at(words, i + 1)
+        mark = F.when(text.ends_sentence(before["text"]), 2.0).when(text.ends_clause(before["text"]), 1.0).otherwise(0.0)
+        return mark + 2 * (after["s"] - before["e"]) / 1e6 - F.abs(before["e"] + after["s"] - first["s"] - last["e"]) / 2 / span
+
     return F.when(n > 1, F.array_max(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.struct(F.round(score(i), 9).alias("score"), (-i).alias("i"))))["i"] * -1)
 
 

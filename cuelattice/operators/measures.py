@@ -10,17 +10,18 @@ from pyspark.sql import functions as F
 from ..functions import shapes, text
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The value at the half-even place share * (n - 1) of the sorted values."""
-    v = F.array_sort(values)
-    return F.element_at(v, (F.bround(share * (F.size(v) - 1), 0) + 1).cast("int"))
+def timing_stats(rows: DataFrame, keys: Sequence[str], error: str, share: float = 0.95) -> DataFrame:
+    """keys, n, matched, middle, p95, over_half, over_long: of errors in seconds; null errors are words that match nothing.
 
-
-def timing_stats(rows: DataFrame, keys: Sequence[str], error: str) -> DataFrame:
-    """keys, n, middle, p95, over_half, over_long: of errors in seconds; null errors are words that match nothing."""
+    p95 is the error at the half-even place share * (matched - 1) in their order, found by rank.
+    """
     e = F.abs(F.col(error))
-    got = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count(error).alias("matched"), F.median(e).alias("middle"), F.collect_list(e).alias("__e"), F.count_if(e > 0.5).alias("over_half"), F.count_if(e > 1.5).alias("over_long"))
-    return got.withColumn("p95", F.when(F.size("__e") > 0, nearest_rank(F.col("__e"), 0.95))).drop("__e")
+    got = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.count(error).alias("matched"), F.median(e).alias("middle"), F.count_if(e > 0.5).alias("over_half"), F.count_if(e > 1.5).alias("over_long"))
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("__e"))
+    ranked = rows.where(F.col(error).isNotNull()).select(*keys, e.alias("__e")).withColumn("__k", rank)
+    at = got.select(*keys, (F.bround(share * (F.col("matched") - 1), 0) + 1).alias("__at"))
+    p95 = ranked.join(at, list(keys)).groupBy(*keys).agg(F.max(F.when(F.col("__k") == F.col("__at"), F.col("__e"))).alias("p95"))
+    return got.join(p95, list(keys), "left")
 
 
 def drift_slope(rows: DataFrame, keys: Sequence[str], at: str, error: str, least: int = 3, span: float = 1.0) -> DataFrame:
@@ -115,3 +116,19 @@ def sane_pass(lines: DataFrame, keys: Sequence[str], seconds: Column, share: flo
 def doubts(rows: DataFrame, keys: Sequence[str], most: int = 6) -> DataFrame:
     """keys, kind, n, first: counts of each kind of issue, and the numbers of the first few."""
     return rows.groupBy(*keys, "kind").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("number")), 1, most).alias("first"))
+
+
+def pause_quantiles(words: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, p50, p80, p95, most: of the pauses between words (id, s, e), in seconds; what overlaps has none."""
+    w = Window.partitionBy(*keys).orderBy("s", "e", "id")
+    g = words.select(*keys, ((F.col("s") - F.lag("e").over(w)) / 1e6).alias("gap")).where("gap > 0")
+    q = F.percentile("gap", F.array(F.lit(0.5), F.lit(0.8), F.lit(0.95)))
+    got = g.groupBy(*keys).agg(q.alias("q"), F.max("gap").alias("most"))
+    return got.select(*keys, *[F.element_at("q", i).alias(n) for i, n in ((1, "p50"), (2, "p80"), (3, "p95"))], "most")
+
+
+def readable_pick(streams: DataFrame, keys: Sequence[str], most: int) -> DataFrame:
+    """keys, height, rate, heights: of the streams (height, rate) the tallest up to most, else the lowest; of one height the best rate."""
+    best = streams.groupBy(*keys, "height").agg(F.max("rate").alias("rate"))
+    fits = F.struct(F.when(F.col("height") <= most, 1).otherwise(0).alias("fits"), F.when(F.col("height") <= most, F.col("height")).otherwise(-F.col("height")).alias("by"))
+    return best.groupBy(*keys).agg(F.max_by("height", fits).alias("height"), F.max_by("rate", fits).alias("rate"), F.count("*").alias("heights"))

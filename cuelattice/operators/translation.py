@@ -25,8 +25,9 @@ def echoes(pairs: DataFrame, keys: Sequence[str], share: float = 0.5, least: int
 
 
 def shortened(pairs: DataFrame, keys: Sequence[str], share: float = 0.4, tokens: int = 6, lines: int = 5) -> DataFrame:
-    """Pairs much shorter than their clip's usual ratio of target to source letters."""
-    d = pairs.where(F.size(text.tokens(F.col("source"))) >= tokens)
+    """Pairs much shorter than their clip's usual ratio of target to source letters; lines left as said count for neither."""
+    src = text.tokens(F.col("source"))
+    d = pairs.where((F.size(src) >= tokens) & (src != text.tokens(F.col("target"))))
     d = d.withColumn("ratio", text.letters(F.col("target")) / F.greatest(text.letters(F.col("source")), F.lit(1)))
     usual = d.groupBy(*keys).agg(F.median("ratio").alias("usual"), F.count("*").alias("n")).where(F.col("n") >= lines)
     return d.join(usual, list(keys)).where(F.col("ratio") < share * F.col("usual")).drop("n")

@@ -23,11 +23,12 @@ def test_unspaced_scripts(spark):
 
 def test_numbers(spark):
     assert one(spark, "in 1,234 or ١٢ of 500, 7 and 1999", text.numbers) == ["1234", "12", "1999"]
-    assert one(spark, "what??!  ٣ ", text.normalise) == "what? 3"
+    assert one(spark, "what?!  ٣ so?? no!؟", text.normalise) == "what؟ 3 so?? no؟"
+    assert one(spark, "what?! ٣", lambda c: text.normalise(c, arabic=False)) == "what? ٣"
 
 
 def test_sounds(spark):
-    for value, want in {"Ummmm... haha!": True, "oh no": False, "": False, "Hahahaha": True, "ohhh": True}.items():
+    for value, want in {"Ummmm... haha!": True, "oh no": False, "": False, "Hahahaha": True, "ohhh": True, "er": False, "wow": False, "Mm-hmm": True, "آههه": True, "хахаха": True, "嗯": True, "うーん": True, "नहीं": False, "음...": True, "No": False}.items():
         assert one(spark, value, text.only_a_sound) is want, value
 
 
