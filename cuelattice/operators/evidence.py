@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
@@ -17,16 +18,19 @@ from .intervals import island_ids, merge_islands, overlap_join, overlap_us, wide
 def said_before(lines: DataFrame, keys: Sequence[str], near_us: int, share: float = 0.6) -> DataFrame:
     """lines (line, s, e, text) with old: whether most of a line's word pairs are in other lines near in time.
 
-    A line of one word is looked for as that word. Pairs meet in a join by gram and time bucket.
+    A line of one word is looked for as that word. The lines that hold a gram stand in one order by time: the
+    furthest end of those before and the start of the next one say whether another is near, without pairs.
     """
-    d = lines.withColumn("__t", text.tokens(F.col("text")))
-    pairs = text.grams(F.col("__t"), 2)
-    mine = d.select(*keys, "line", "s", "e", F.explode(F.when(F.size("__t") > 1, pairs).otherwise(F.col("__t"))).alias("gram"))
-    theirs = widened(d, near_us).select(*keys, "line", "s", "e", F.explode(F.array_union(pairs, F.col("__t"))).alias("gram"))
-    met = overlap_join(mine, theirs, [*keys, "gram"], 8 * near_us, closed=True).where(F.col("line") != F.col("b_line"))
-    hits = met.groupBy(*keys, "line").agg(F.countDistinct("gram").alias("hits"))
-    total = mine.groupBy(*keys, "line").agg(F.countDistinct("gram").alias("total"))
-    got = total.join(hits, [*keys, "line"], "left").select(*keys, "line", (F.coalesce("hits", F.lit(0)) >= share * F.col("total")).alias("old"))
+    d = lines.withColumn("__t", text.tokens(F.col("text"))).select(*keys, "line", "s", "e", "__t")
+    pairs = d.select(*keys, "line", "s", "e", F.explode(text.grams(F.col("__t"), 2)).alias("gram"), F.lit(True).alias("mine"))
+    alone = d.where(F.size("__t") == 1).select(*keys, F.element_at("__t", 1).alias("gram"))
+    words = d.select(*keys, "line", "s", "e", F.explode(F.array_distinct("__t")).alias("gram"), (F.size("__t") == 1).alias("mine"))
+    held = pairs.unionByName(words.join(alone.distinct(), [*keys, "gram"], "left_semi"))
+    w = Window.partitionBy(*keys, "gram").orderBy("s", "line")
+    before = F.max("e").over(w.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("s") - near_us
+    after = F.lead("s").over(w) <= F.col("e") + near_us
+    hit = F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
+    got = held.withColumn("__hit", hit).where("mine").groupBy(*keys, "line").agg((F.count_if("__hit") >= share * F.count("*")).alias("old"))
     return lines.join(got, [*keys, "line"], "left").withColumn("old", F.coalesce("old", F.lit(False)))
 
 
@@ -38,16 +42,32 @@ def timed_over(lines: DataFrame, spans: DataFrame, keys: Sequence[str], width: i
     return d.withColumn("over", F.coalesce("__us", F.lit(0)) > share * F.greatest(F.col("e") - F.col("s"), F.lit(10_000))).drop("__us")
 
 
-def sentence_home(words: DataFrame, sentences: DataFrame, keys: Sequence[str], other_us: int = 1_000_000_000) -> DataFrame:
+def sentence_home(words: DataFrame, sentences: DataFrame, keys: Sequence[str], other_us: int = 1_000_000_000, width: int = 60_000_000) -> DataFrame:
     """words with home: the sentence nearest to the word's middle, other speakers' last; of equals the first.
 
-    A clip's sentences go with each of its words as one array: no pair of them becomes a row.
+    Sentences around the middle meet it in a join by time bucket; else the one that ends last before it or
+    starts first behind it is the nearest, for the word's speaker and for all. Words and sentences stand in one
+    order by time for that: no clip is gathered.
     """
-    s = sentences.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("line", "s", "e", "label"))).alias("__s"))
-    middle = F.floor((F.col("s") + F.col("e")) / 2)
-    far = lambda x: F.greatest(x["s"] - middle, middle - x["e"], F.lit(0)) + F.when(x["label"].eqNullSafe(F.col("label")), 0).otherwise(other_us)
-    best = F.array_min(F.transform("__s", lambda x: F.struct(far(x).alias("d"), x["line"].alias("line"))))["line"]
-    return words.join(s, list(keys), "left").withColumn("home", best).drop("__s")
+    middle = F.floor((F.col("s") + F.col("e")) / 2).cast("long")
+    points = words.select(*keys, "id", F.col("label").alias("said"), middle.alias("s")).withColumn("e", F.col("s"))
+    s = sentences.select(*keys, "line", "label", "s", "e")
+    around = overlap_join(points, s, keys, width, closed=True)
+    found = around.select(*keys, "id", F.when(F.col("b_label").eqNullSafe(F.col("said")), 0).otherwise(other_us).alias("far"), F.col("b_line").alias("line"))
+    both = points.select(*keys, F.col("said").alias("label"), "id", F.col("s").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("line"))
+    marks = s.select(*keys, "label", F.lit(None).cast("long").alias("id"), F.explode(F.array(F.struct(F.col("e").alias("at"), F.lit(-1).alias("kind")), F.struct(F.col("s").alias("at"), F.lit(1).alias("kind")))).alias("m"), "line")
+    both = both.unionByName(marks.select(*keys, "label", "id", "m.at", "m.kind", "line"))
+    for own, more in (([*keys, "label"], 0), (list(keys), other_us)):
+        order = Window.partitionBy(*own).orderBy("at", "kind")
+        # of equal ends, and of equal starts, the first line
+        ended = F.struct("at", (-F.col("line")).alias("line"))
+        before = F.max(F.when(F.col("kind") == -1, ended)).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        after = F.min(F.when(F.col("kind") == 1, F.struct("at", "line"))).over(order.rowsBetween(0, Window.unboundedFollowing))
+        near = both.withColumns({"__b": before, "__a": after}).where("kind = 0")
+        sides = F.array(F.struct((F.col("at") - F.col("__b.at") + more).alias("far"), (-F.col("__b.line")).alias("line")), F.struct((F.col("__a.at") - F.col("at") + more).alias("far"), F.col("__a.line").alias("line")))
+        found = found.unionByName(near.select(*keys, "id", F.explode(sides).alias("x")).select(*keys, "id", "x.far", "x.line").where("line is not null"))
+    best = found.groupBy(*keys, "id").agg(F.min(F.struct("far", "line"))["line"].alias("home"))
+    return words.join(best, [*keys, "id"], "left")
 
 
 def missing_words(words: DataFrame, cues: DataFrame, keys: Sequence[str], slack: int, width: int) -> DataFrame:
@@ -130,11 +150,17 @@ def clear_bottom(bands: Column, height: int, margin: int, block: int, gap: int)
 
 
 def told_apart(windows: DataFrame, keys: Sequence[str], within: int, label: str = "label") -> DataFrame:
-    """keys, a, b: labels that take turns A-B-A within the time."""
-    w = Window.partitionBy(*keys).orderBy("s", "e", "id")
-    d = windows.withColumns({"__1": F.lag(label).over(w), "__2": F.lag(label, 2).over(w), "__s": F.lag("s", 2).over(w)})
-    hit = d.where((F.col("__2") == F.col(label)) & (F.col("__1") != F.col(label)) & (F.col("s") - F.col("__s") <= within))
-    return hit.select(*keys, F.least(label, "__1").alias("a"), F.greatest(label, "__1").alias("b")).distinct()
+    """keys, a, b: labels one of which is heard between two of the other's windows (id, s) within the time.
+
+    A window of a label and the label's next one enclose what is told apart: windows of other labels between
+    them meet the pair in a join by time bucket.
+    """
+    w = Window.partitionBy(*keys, label).orderBy("s", "id")
+    pairs = windows.withColumn("__until", F.lead("s").over(w)).where(F.col("__until") - F.col("s") <= within)
+    pairs = pairs.select(*keys, F.col(label).alias("x"), "s", F.col("__until").alias("e"))
+    points = windows.select(*keys, F.col(label).alias("y"), "s", F.col("s").alias("e"))
+    hit = overlap_join(pairs, points, keys, 4 * within, closed=True).where((F.col("x") != F.col("b_y")) & (F.col("s") < F.col("b_s")) & (F.col("b_s") <= F.col("e")))
+    return hit.select(*keys, F.least("x", "b_y").alias("a"), F.greatest("x", "b_y").alias("b")).distinct()
 
 
 def speech_tiers(frames: DataFrame, keys: Sequence[str], low: float = 0.05, high: float = 0.3) -> DataFrame:
@@ -165,45 +191,33 @@ def drift(pairs: DataFrame, keys: Sequence[str], least: int = 2, first: int = 3,
     return got.where((F.col("n") >= F.greatest(F.lit(least), F.col("all") / 2)) & (F.abs("delta") >= move_us)).select(*keys, "line", "delta")
 
 
-def common_length(x: str, y: str) -> int:
-    """The length of the longest common subsequence, all of y's places at once in the bits of a number."""
-    at: dict[str, int] = {}
-    for i, c in enumerate(y):
-        at[c] = at.get(c, 0) | 1 << i
-    full = row = (1 << len(y)) - 1
-    for c in x:
-        met = row & at.get(c, 0)
-        row = (row + met | row - met) & full
-    return len(y) - row.bit_count()
-
-
-def ratio(x: str, y: str, least: float = 0.0) -> float | None:
-    """Ratcliff-Obershelp similarity of two texts, to six places; None if it is below least.
+def ratio(x: Sequence[str], y: Sequence[str], least: float = 0.0) -> float | None:
+    """Ratcliff-Obershelp similarity of two lists of words, to six places; None if it is below least.
 
-    Matching blocks are a common subsequence, so what is ruled out by its length needs no blocks; a text that
-    holds the other whole has that one as its only block.
+    What both hold, in whatever order, bounds it: most pairs need no blocks.
     """
-    short, both = min(len(x), len(y)), len(x) + len(y)
+    both = len(x) + len(y)
     if not both:
         return 1.0
-    if (got := round(2 * short / both, 6)) < least:
+    common = sum((Counter(x) & Counter(y)).values())
+    if round(2 * common / both, 6) < least:
         return None
-    if not (x in y or y in x):
-        if round(2 * common_length(x, y) / both, 6) < least:
-            return None
-        got = round(SequenceMatcher(None, x, y, autojunk=False).ratio(), 6)
+    got = 1.0 if x == y else round(SequenceMatcher(None, x, y, autojunk=False).ratio(), 6)
     return got if got >= least else None
 
 
 def similar_lines(a: DataFrame, b: DataFrame, keys: Sequence[str], near_us: int, least: float = 0.6) -> DataFrame:
-    """Pairs of lines (line, s, e, text) near in time, of comparable length, and alike."""
+    """Pairs of lines (line, s, e, text) near in time whose words are alike."""
 
     @F.pandas_udf(DoubleType())
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([ratio(t or "", u or "", least) for t, u in zip(x, y, strict=True)], dtype="float64")
+        return pd.Series([ratio(list(t), list(u), least) for t, u in zip(x, y, strict=True)], dtype="float64")
 
-    near = overlap_join(widened(a, near_us), b, keys, 16 * near_us).where(F.abs(F.length("text") - F.length("b_text")) <= F.greatest(F.lit(1), F.length("text")))
-    return near.withColumn("alike", alike("text", "b_text")).where(F.col("alike") >= least).select(*keys, "line", "b_line", "alike")
+    words = lambda d: d.select(*keys, "line", "s", "e", text.tokens(F.col("text")).alias("t"))
+    near = overlap_join(widened(words(a), near_us), words(b), keys, 16 * near_us)
+    # sizes alone rule most pairs out before any text goes to Python
+    near = near.where(2 * F.least(F.size("t"), F.size("b_t")) >= least * (F.size("t") + F.size("b_t")))
+    return near.withColumn("alike", alike("t", "b_t")).where(F.col("alike") >= least).select(*keys, "line", "b_line", "alike")
 
 
 def latest(rows: DataFrame, keys: Sequence[str], at: str, keep: int) -> DataFrame:

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
 from .intervals import overlap_join
+from .voices import dot
 
 
 def attach_punctuation(texts: DataFrame, pieces: DataFrame, keys: Sequence[str], width: int = 64) -> DataFrame:
@@ -50,33 +49,29 @@ def hand_over_copies(lines: DataFrame, keys: Sequence[str], within_us: int = 8_0
     return d.where((~F.col("dropped") | F.col("__takes")) & ~F.col("__gives")).select(*lines.columns[: len(lines.columns)]).withColumn("dropped", F.lit(False))
 
 
-def _longest(a: str, b: str) -> float:
-    short, long = sorted((a, b), key=len)
-    if short == long:
-        return 1.0
-    return SequenceMatcher(None, short, long, autojunk=False).find_longest_match().size / len(short) if len(short) >= 3 else 0.0
-
-
 def echoes(lines: DataFrame, words: DataFrame, keys: Sequence[str], near_us: int = 3_000_000, least: float = 0.75, share: float = 0.6) -> DataFrame:
     """lines (line, s, e, text) of one or two words that repeat words (s, e, token) heard near them.
 
-    A word is repeated by an equal one, or by one that shares three quarters of the shorter in one piece.
+    A word is repeated by an equal one, or, if it has three letters, by one that holds in one piece three quarters of
+    the shorter of the two: some stretch of that many of its letters. Stretches of every length from the least are made
+    for both, and met by equality; all in the JVM.
     """
-    short = lines.withColumn("__t", text.tokens(F.col("text"))).where(F.size("__t").between(1, 2))
+    tokens = text.tokens(text.echo_fold(F.col("text")))
+    short = lines.withColumn("__t", tokens).where(F.size("__t").between(1, 2))
     mine = short.select(*keys, "line", F.size("__t").alias("n"), (F.col("s") - near_us).alias("s"), (F.col("e") + near_us).alias("e"), F.posexplode("__t").alias("at", "mine"))
-    near = overlap_join(mine, words.select(*keys, "s", "e", "token"), keys, 16 * near_us, closed=True)
+    near = overlap_join(mine, words.select(*keys, "s", "e", text.echo_fold(F.col("token")).alias("token")), keys, 16 * near_us, closed=True)
     alike = near.select(*keys, "line", "n", "at", "mine", F.col("b_token").alias("theirs")).distinct()
-
-    def judge(batches):
-        for b in batches:
-            yield b[[_longest(x, y) >= least for x, y in zip(b["mine"], b["theirs"], strict=True)]]
-
-    hit = alike.mapInPandas(judge, alike.schema).groupBy(*keys, "line", "n").agg(F.countDistinct("at").alias("same"))
+    longer, shorter = (F.when(F.length("mine") >= F.length("theirs"), F.col(x)).otherwise(F.col(y)) for x, y in (("mine", "theirs"), ("theirs", "mine")))
+    size = F.ceil(least * F.length(shorter)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(1), F.length(shorter) - size + 1), lambda i: F.substr(shorter, i, size))
+    repeated = (F.col("mine") == F.col("theirs")) | ((F.length(shorter) >= 3) & F.exists(pieces, lambda p: F.contains(longer, p)))
+    hit = alike.where(repeated).groupBy(*keys, "line", "n").agg(F.countDistinct("at").alias("same"))
     return lines.join(hit.where(F.col("same") >= share * F.col("n")).select(*keys, "line"), [*keys, "line"], "left_semi")
 
 
 def _chance(seed: int, *columns: str) -> Column:
-    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    """A number below 1 that hangs on the seed and the columns only."""
+    return F.conv(F.left(F.md5(F.concat_ws(":", F.lit(seed), *columns)), F.lit(8)), 16, 10).cast("double") / 2.0**32
 
 
 def inject(words: DataFrame, keys: Sequence[str], kind: str, share: float, seed: int = 1) -> DataFrame:
@@ -113,31 +108,31 @@ def majority_owner(rows: DataFrame, keys: Sequence[str], owner: str) -> DataFram
     return n.groupBy(*keys).agg(F.min_by(owner, F.struct(-F.col("n"), F.col(owner))).alias(owner))
 
 
+def _mean_alike(total: Column, n: Column, other: Column, m: Column) -> Column:
+    """Mean similarity between two groups of unit vectors by their sums."""
+    return dot(total, other) / (n * m)
+
+
 def seams(windows: DataFrame, keys: Sequence[str], join: float, side: int = 5, least: int = 3, most: int = 2) -> DataFrame:
     """keys, id: windows of one label (id, s, vec) before which the voice changes.
 
-    Both sides' windows must be more alike among themselves than across; the clearest come first, side windows
-    apart at least. A label's windows of one clip are one small group.
+    The windows on both sides, up to side of them and least at least, must be more alike among themselves than
+    across. Similarities are cosines, so sums of unit vectors over two frames say all three means. Of the places
+    that hold, the clearest come first, and none within side windows of one before it.
     """
-    kinds = dict(windows.dtypes)
-
-    def run(clip: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        clip = clip.sort_values(["s", "id"]).reset_index(drop=True)
-        v = np.array(clip["vec"].tolist(), float)
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        sim, found = v @ v.T, []
-        for i in range(least, len(v) - least + 1):
-            a, b = slice(max(0, i - side), i), slice(i, min(len(v), i + side))
-            cross = sim[a, b].mean()
-            inner = [(x.sum() - len(x)) / max(1, len(x) * (len(x) - 1)) for x in (sim[a, a], sim[b, b])]
-            if cross < join and min(inner) >= (join + cross) / 2:
-                found.append((cross, i))
-        kept: list[int] = []
-        for _, i in sorted(found):
-            if len(kept) < most and all(abs(i - k) >= side for k in kept):
-                kept.append(i)
-        return pd.DataFrame({**{k: [clip[k].iloc[0]] * len(kept) for k in keys}, "id": clip["id"].iloc[sorted(kept)].tolist()})
-
-    return windows.groupBy(*keys).applyInPandas(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"id {kinds['id']}"]))
+    w = Window.partitionBy(*keys).orderBy("s", "id")
+    size = F.greatest(F.sqrt(dot("vec", "vec")), F.lit(1e-12))
+    d = windows.withColumn("__size", size).withColumn("__u", F.transform("vec", lambda x: x / F.col("__size")))
+    d = d.withColumns({"__at": F.row_number().over(w), "__b": F.collect_list("__u").over(w.rowsBetween(-side, -1)), "__a": F.collect_list("__u").over(w.rowsBetween(0, side - 1))})
+    d = d.where((F.size("__b") >= least) & (F.size("__a") >= least))
+    added = lambda c: F.aggregate(F.slice(c, F.lit(2), F.lit(side)), F.get(c, F.lit(0)), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    d = d.select(*keys, "id", "__at", F.size("__b").alias("__m"), F.size("__a").alias("__n"), added(F.col("__b")).alias("__sb"), added(F.col("__a")).alias("__sa"))
+    cross = _mean_alike(F.col("__sb"), F.col("__m"), F.col("__sa"), F.col("__n"))
+    inner = F.least(*[(dot(F.col(c), F.col(c)) - F.col(n)) / F.greatest(F.col(n) * (F.col(n) - 1), F.lit(1)) for c, n in (("__sb", "__m"), ("__sa", "__n"))])
+    d = d.select(*keys, "id", "__at", cross.alias("__cross"), inner.alias("__inner")).where((F.col("__cross") < join) & (F.col("__inner") >= (join + F.col("__cross")) / 2))
+    # a clip's places that hold are few: one fold over them, clearest first
+    places = d.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("__cross").alias("cross"), F.col("__at").alias("at"), "id"))).alias("p"))
+    start = F.slice("p", 1, 0)
+    free = lambda kept, x: (F.size(kept) < most) & F.forall(kept, lambda k: F.abs(k["at"] - x["at"]) >= side)
+    kept = F.aggregate("p", start, lambda kept, x: F.when(free(kept, x), F.concat(kept, F.array(x))).otherwise(kept))
+    return places.select(*keys, F.explode(kept).alias("x")).select(*keys, "x.id")
