@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import dialogue, proofs, scores, solvers, timeline
+from . import dialogue, hearing, proofs, scores, solvers, timeline
 
-_MODULES = (timeline, dialogue, scores, solvers, proofs)
+_MODULES = (timeline, dialogue, scores, solvers, proofs, hearing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

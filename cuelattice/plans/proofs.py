@@ -66,7 +66,7 @@ def densest_sample(spark, sf_dir):
 
 def text_bands(spark, sf_dir):
     """Picture rows made of events: a user's events are frames, rows those near the event's id."""
-    d = spans(spark, sf_dir).where("key < 20").select("key", F.col("id").alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("row"))
+    d = spans(spark, sf_dir).select("key", F.col("id").alias("frame"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("row"))
     got = ev.text_bands(d.withColumn("is_text", (F.col("frame") * 7 + F.col("row")) % 40 < 12 + F.col("row") / 8), K, 40, 0.35)
     return got.select("key", F.round("top", 6).alias("top"), F.round("bottom", 6).alias("bottom"))
 
@@ -160,12 +160,12 @@ SQL = {
   a AS (SELECT key, count(*) AS faults, count(*) FILTER (EXISTS (SELECT 1 FROM r WHERE r.key = f.key AND r.s < f.e AND f.s < r.e)) AS hit FROM f GROUP BY key),
   b AS (SELECT key, count(*) AS flagged, count(*) FILTER (NOT EXISTS (SELECT 1 FROM f WHERE r.key = f.key AND r.s < f.e AND f.s < r.e)) AS false_alarms FROM r GROUP BY key)
   SELECT key, coalesce(faults, 0) AS faults, coalesce(hit, 0) AS hit, coalesce(flagged, 0) AS flagged, coalesce(false_alarms, 0) AS false_alarms FROM a FULL JOIN b USING (key)""",
-    "text_bands": f"""WITH {SPANS}, d AS (SELECT key, id AS frame, unnest(range(40)) AS row FROM spans WHERE key < 20), n AS (SELECT key, count(DISTINCT frame) AS frames FROM d GROUP BY key),
+    "text_bands": f"""WITH {SPANS}, d AS (SELECT key, id AS frame, unnest(range(40)) AS row FROM spans), n AS (SELECT key, count(DISTINCT frame) AS frames FROM d GROUP BY key),
   g AS (SELECT key, row, count(*) FILTER ((frame * 7 + row) % 40 < 12 + row / 8) AS n FROM d GROUP BY key, row), l AS (SELECT key, row FROM g JOIN n USING (key) WHERE frames >= 4 AND g.n >= 0.35 * frames),
   i AS (SELECT key, row, row - row_number() OVER (PARTITION BY key ORDER BY row) AS g FROM l), b AS (SELECT key, min(row) AS s, max(row) + 1 AS e FROM i GROUP BY key, g)
   SELECT key, round(greatest((s - 0.4 * (e - s)) / 40, 0.0), 6) AS top, round(least((e + 0.4 * (e - s)) / 40, 1.0), 6) AS bottom FROM b""",
-    "voices_told_apart": f"""WITH {SPANS}, w AS (SELECT *, lag(label) OVER ({_W}) AS l1, lag(label, 2) OVER ({_W}) AS l2, lag(s, 2) OVER ({_W}) AS s2 FROM spans)
-  SELECT DISTINCT key, least(label, l1) AS a, greatest(label, l1) AS b FROM w WHERE l2 = label AND l1 <> label AND s - s2 <= {5 * DAY}""",
+    "voices_told_apart": f"""WITH {SPANS}, n AS (SELECT key, label, s, lead(s) OVER (PARTITION BY key, label ORDER BY s, id) AS until FROM spans)
+  SELECT DISTINCT n.key, least(n.label, o.label) AS a, greatest(n.label, o.label) AS b FROM n JOIN spans o ON o.key = n.key AND o.label <> n.label AND n.s < o.s AND o.s <= n.until WHERE n.until - n.s <= {5 * DAY}""",
     "speech_tiers": f"""WITH {SPANS}, m AS (SELECT key, id, label = 'view' AS vad, sum((id * 37 % 100) / 100.0) OVER (PARTITION BY key ORDER BY id ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5 AS smooth FROM spans),
   t AS (SELECT key, coalesce(greatest(0.05, least(0.3, 0.5 * median(smooth) FILTER (vad))), 0.05) AS tau FROM m GROUP BY key)
   SELECT key, count(*) FILTER (vad OR smooth >= tau) AS speech, round(CAST(max(tau) AS DOUBLE), 6) AS tau FROM m JOIN t USING (key) GROUP BY key""",
@@ -179,3 +179,33 @@ SQL["language_dimension"] = f"""WITH l(code, name, rtl, line_chars, cps) AS (VAL
   SELECT coalesce(name, lang) AS name, coalesce(rtl, false) AS rtl, CAST(coalesce(line_chars, 42) AS INTEGER) AS line_chars, coalesce(cps, 17.0::DOUBLE) AS cps, count(*) AS n FROM documents LEFT JOIN l ON code = lang GROUP BY ALL"""
 SQL["bench_cells"] = """WITH f AS (SELECT CASE WHEN r_regionkey = 0 THEN 'none' ELSE r_name END AS fault FROM region), s(local) AS (VALUES (true), (false))
   SELECT n_name AS clip, fault, local, CAST(seed AS INTEGER) AS seed FROM nation, f, s, (VALUES (0), (1)) v(seed) WHERE fault <> 'none' OR seed = 0"""
+_BY_ID = "PARTITION BY key ORDER BY id"
+SQL["ask_budget"] = f"""WITH RECURSIVE {SPANS}, o AS (SELECT key, e - s AS cost, row_number() OVER ({_BY_ID}) AS k FROM spans),
+  r AS (SELECT key, k, 1 AS made, cost AS sent, true AS ok, cost FROM o WHERE k = 1
+    UNION ALL SELECT o.key, o.k, made + CASE WHEN made < 9 AND sent + o.cost <= {6 * HOUR} THEN 1 ELSE 0 END, sent + CASE WHEN made < 9 AND sent + o.cost <= {6 * HOUR} THEN o.cost ELSE 0 END, made < 9 AND sent + o.cost <= {6 * HOUR}, o.cost FROM r JOIN o ON o.key = r.key AND o.k = r.k + 1)
+  SELECT key, count(*) FILTER (ok) AS allowed, CAST(sum(CASE WHEN ok THEN cost ELSE 0 END) AS BIGINT) AS us FROM r GROUP BY key"""
+SQL["densest_sample"] = f"""WITH RECURSIVE {SPANS}, o AS (SELECT key, s, e, len(label) AS words, row_number() OVER ({_W}) AS k FROM spans),
+  r AS (SELECT key, k, 0 AS g, s AS gs, e AS ge, CAST(words AS BIGINT) AS gw FROM o WHERE k = 1
+    UNION ALL SELECT o.key, o.k, CASE WHEN o.e - gs <= {DAY} THEN g ELSE g + 1 END, CASE WHEN o.e - gs <= {DAY} THEN gs ELSE o.s END, CASE WHEN o.e - gs <= {DAY} THEN greatest(ge, o.e) ELSE o.e END, CASE WHEN o.e - gs <= {DAY} THEN gw + o.words ELSE o.words END FROM r JOIN o ON o.key = r.key AND o.k = r.k + 1),
+  f AS (SELECT key, g, max(gs) AS s, max(ge) AS e, max(gw) AS words FROM r GROUP BY key, g), n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY words / greatest(e - s, 20000) DESC, s) AS k FROM f WHERE e - s <= {DAY})
+  SELECT key, CAST(g AS INTEGER) AS "group", s, e, words FROM n WHERE k <= 3"""
+SQL["placement"] = f"""WITH RECURSIVE {SPANS}, b AS (SELECT key, (id % 90) / 100 AS top, (id % 90 + 6) / 100 AS bottom, row_number() OVER (PARTITION BY key ORDER BY (id % 90 + 6) / 100 DESC, (id % 90) / 100 DESC) AS k FROM spans),
+  r AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS k, 60 AS m FROM b
+    UNION ALL SELECT b.key, b.k, CASE WHEN top * 1080 < 1080 - m + 20 AND bottom * 1080 > 1080 - m - 120 - 20 THEN CAST(round_even(1080 - top * 1080 + 20, 0) AS INTEGER) ELSE m END FROM r JOIN b ON b.key = r.key AND b.k = r.k + 1)
+  SELECT key, max_by(m, k) AS margin FROM r GROUP BY key"""
+SQL["timed_over"] = f"""WITH {SPANS}, o AS (SELECT key, s, e, max(e) OVER (PARTITION BY key ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans WHERE label <> 'view'),
+  g AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS g FROM o), i AS (SELECT key, g, min(s) AS s, max(e) AS e FROM g GROUP BY key, g),
+  l AS (SELECT v.key, v.id, v.s, v.e, sum(greatest(0, least(v.e, i.e) - greatest(v.s, i.s))) AS us FROM spans v JOIN i ON i.key = v.key AND i.s < v.e AND v.s < i.e WHERE v.label = 'view' GROUP BY ALL)
+  SELECT key, id AS line FROM l WHERE us > 0.5 * greatest(e - s, 10000)"""
+SQL["alike_dedup"] = f"""WITH {SPANS}, d AS (SELECT key, id, s, e, label, id % 3 = 0 AS dropped FROM spans),
+  n AS (SELECT *, lead(s) OVER w AS ns, lead(dropped) OVER w AS nd, lag(e) OVER w AS be, lag(dropped) OVER w AS bd FROM d WINDOW w AS (PARTITION BY key, label ORDER BY s, id)),
+  t AS (SELECT *, dropped AND coalesce(NOT nd, false) AND coalesce(ns <= e + {DAY}, false) AS takes, NOT dropped AND coalesce(bd, false) AND coalesce(s <= be + {DAY}, false) AS gives FROM n)
+  SELECT key, count(*) AS n, CAST(sum(CASE WHEN takes THEN ns ELSE s END) AS BIGINT) AS s FROM t WHERE (NOT dropped OR takes) AND NOT gives GROUP BY key"""
+SQL["punctuation_attach"] = f"""WITH {CUES}, w AS (SELECT key, number, unnest(t) AS word, generate_subscripts(t, 1) AS pos FROM (SELECT key, number, regexp_extract_all(text, '\\S+') AS t FROM cues)),
+  wl AS (SELECT *, len(regexp_replace(word, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS n FROM w), wc AS (SELECT *, sum(n) OVER (PARTITION BY key, number ORDER BY pos) AS e FROM wl),
+  p AS (SELECT key, number, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS id FROM (SELECT key, number, {_tokens('text')} AS t FROM cues)),
+  pl AS (SELECT *, len(regexp_replace(token, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS n FROM p), pc AS (SELECT *, sum(n) OVER (PARTITION BY key, number ORDER BY id) AS e FROM pl),
+  j AS (SELECT wc.key, wc.number, wc.pos, min(pc.id) AS a, max(pc.id) AS b FROM wc LEFT JOIN pc ON pc.key = wc.key AND pc.number = wc.number AND wc.e - wc.n < pc.e AND pc.e - pc.n < wc.e GROUP BY ALL)
+  SELECT key, number, count(*) AS words, count(a) AS timed, max(b * 100000 + 90000) AS e FROM j GROUP BY key, number"""
+SQL["fault_injection"] = f"""WITH {SPANS}, f AS (SELECT label, CAST('0x' || left(md5('1:' || key || ':' || id), 8) AS BIGINT) / 4294967296 < 0.1 AS fault FROM spans)
+  SELECT CASE WHEN fault THEN label || '~x1' ELSE label END AS label, fault, count(*) AS n FROM f GROUP BY ALL"""

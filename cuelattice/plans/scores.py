@@ -6,7 +6,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import shapes, text
-from ..operators import intervals as iv
 from ..operators import measures as ms
 from ..operators import settings as st
 from ..operators import voices as vo
@@ -113,9 +112,7 @@ def implausible_clips(spark, sf_dir):
 def off_voice_words(spark, sf_dir):
     """Words more than two hours from any purchase."""
     d = spans(spark, sf_dir)
-    marked = iv.nearest_sides(d.withColumn("mark", F.when(F.col("label") == "purchase", "p")), K, "mark").where("label <> 'purchase'")
-    far = lambda c: F.col(c).isNull() | (F.col(c) > 2 * HOUR)
-    got = marked.where((F.col("before_label").isNull() | far("before_us")) & (F.col("after_label").isNull() | far("after_us")))
+    got = vo.off_voice(d.withColumn("mark", F.when(F.col("label") == "purchase", "p")), K, "mark", 2 * HOUR)
     return got.groupBy("label").agg(F.count("*").alias("n"))
 
 
@@ -128,11 +125,8 @@ def label_flips(spark, sf_dir):
 
 def letter_gaps(spark, sf_dir):
     """Quantiles of the pauses between a user's events, in seconds."""
-    d = spans(spark, sf_dir)
-    w = Window.partitionBy("key").orderBy("s", "e", "id")
-    g = d.select("key", ((F.col("s") - F.lag("e").over(w)) / 1e6).alias("gap")).where("gap > 0")
-    q = F.percentile("gap", F.array(F.lit(0.5), F.lit(0.8), F.lit(0.95)))
-    return g.groupBy("key").agg(q.alias("q"), F.max("gap").alias("most")).select("key", *[F.round(F.element_at("q", i), 3).alias(n) for i, n in ((1, "p50"), (2, "p80"), (3, "p95"))], F.round("most", 3).alias("most"))
+    got = ms.pause_quantiles(spans(spark, sf_dir), K)
+    return got.select("key", *[F.round(c, 3).alias(c) for c in ("p50", "p80", "p95", "most")])
 
 
 def settings_gate(spark, sf_dir):
@@ -150,8 +144,8 @@ def colour_contrast(spark, sf_dir):
 
 def quality_catalog(spark, sf_dir):
     """Part sizes as heights: the best of each, and the nearest one up to 25."""
-    d = table(spark, sf_dir, "part").groupBy("p_brand", "p_size").agg(F.max("p_retailprice").alias("best"))
-    return d.groupBy("p_brand").agg(F.coalesce(F.max(F.when(F.col("p_size") <= 25, F.col("p_size"))), F.min("p_size")).cast("long").alias("nearest"), F.count("*").alias("heights"))
+    d = table(spark, sf_dir, "part").select("p_brand", F.col("p_size").alias("height"), F.col("p_retailprice").alias("rate"))
+    return ms.readable_pick(d, ["p_brand"], 25).select("p_brand", F.col("height").cast("long").alias("nearest"), "heights")
 
 
 QUERIES = {f.__name__: f for f in (nearest_voice, voice_sums, leave_one_out, voices_apart, silhouette, voice_moves, short_follow, timing_stats, drift_slope, precision_recall, bench_compare, bench_report, worst_rows, acceptance, score_share, weighted_bar, implausible_clips, off_voice_words, label_flips, letter_gaps, settings_gate, colour_contrast, quality_catalog)}
@@ -218,3 +212,4 @@ SQL = {
   l AS (SELECT *, list_transform(p, lambda x: CASE WHEN x <= 0.04045 THEN x / 12.92 ELSE pow((x + 0.055) / 1.055, 2.4) END) AS q FROM v)
   SELECT p_partkey, c AS colour, round((0.2126 * q[1] + 0.7152 * q[2] + 0.0722 * q[3] + 0.05) / 0.05, 6) AS on_black, upper('&H80' || c[6:7] || c[4:5] || c[2:3]) AS ass FROM l""",
 }
+SQL["weighted_bar"] = f"""WITH {SPANS}, d AS (SELECT key, (id % 100) / 100.0 AS score, unnest(range(len(label))) FROM spans) SELECT key, round(greatest(0.3, 0.85 * median(score)), 6) AS bar FROM d GROUP BY key"""

@@ -8,7 +8,8 @@ from ..functions import shapes, text
 from ..operators import alignment as al
 from ..operators import build as bu
 from ..operators import cues as cu
-from .adapters import HOUR, SPANS, cues, pairs, spans, table, voices
+from .adapters import CUES, HOUR, SPANS, cues, pairs, spans, table, voices
+from .dialogue import _tokens
 
 K = ["key"]
 PIECE = ["key", "piece"]
@@ -27,13 +28,11 @@ def _passes(spark, sf_dir):
 
 
 def vote_full(spark, sf_dir):
-    w = _passes(spark, sf_dir)
-    lines = w.groupBy(*PIECE, "pass", "line").agg(F.min("s").alias("s"), F.max("e").alias("e"))
-    return al.vote(w, lines, PIECE)
+    return al.vote(_passes(spark, sf_dir), PIECE)
 
 
 def pass_order(spark, sf_dir):
-    return al.ordered_passes(_passes(spark, sf_dir), PIECE)
+    return al.ordered_passes(_passes(spark, sf_dir), PIECE).select(*PIECE, "pass", "place", "passes")
 
 
 def witness_count(spark, sf_dir):
@@ -116,3 +115,11 @@ SQL = {
   n AS (SELECT key, run, count(*) AS n FROM r GROUP BY key, run) SELECT key, count(*) AS runs, true AS same, max(n) AS longest FROM n GROUP BY key""",
     "minutes_read_back": "SELECT event_id, CASE WHEN (event_id % 700) % 100 < 60 THEN CAST(60 * ((event_id % 700) // 100) + (event_id % 700) % 100 AS DOUBLE) END AS seconds FROM events",
 }
+SQL["pass_order"] = f"""WITH {CUES}, t AS (SELECT key, number AS line, start_ms, end_ms, {_tokens('text')} AS t FROM cues),
+  u AS (SELECT key, line, start_ms, end_ms, len(t) AS n, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM t),
+  w AS (SELECT key, start_ms // 75000 AS piece, p AS pass, line, pos, token, start_ms * 1000 + (end_ms - start_ms) * 1000 * pos // n AS s, start_ms * 1000 + (end_ms - start_ms) * 1000 * (pos + 1) // n AS e FROM u, (VALUES (0), (1), (2)) v(p) WHERE p = 0 OR (p = 1 AND pos % 7 <> 3) OR (p = 2 AND pos % 5 <> 2)),
+  g AS (SELECT key, piece, pass, count(*) AS words, count(DISTINCT line) AS lines, list({{'s': s, 'e': e, 't': token}} ORDER BY line, pos) AS content FROM w GROUP BY ALL)
+  SELECT key, piece, pass, CAST(row_number() OVER (PARTITION BY key, piece ORDER BY words DESC, lines DESC, content, pass) - 1 AS INTEGER) AS place, count(*) OVER (PARTITION BY key, piece) AS passes FROM g"""
+SQL["cut_spacing"] = f"""WITH RECURSIVE {SPANS}, o AS (SELECT key, s / 1e6 AS t, row_number() OVER (PARTITION BY key ORDER BY s) AS k FROM spans),
+  r AS (SELECT key, k, t AS last, 1 AS cuts FROM o WHERE k = 1 UNION ALL SELECT o.key, o.k, CASE WHEN t - last >= 86400 THEN t ELSE last END, CASE WHEN t - last >= 86400 THEN cuts + 1 ELSE cuts END FROM r JOIN o ON o.key = r.key AND o.k = r.k + 1)
+  SELECT key, CAST(max(cuts) AS BIGINT) AS cuts FROM r GROUP BY key"""

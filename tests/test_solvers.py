@@ -1,4 +1,5 @@
 import random
+from itertools import combinations, groupby, permutations, product
 
 import numpy as np
 import pytest
@@ -6,6 +7,10 @@ import pytest
 from cuelattice.operators import alignment as al
 from cuelattice.operators import build as bu
 from cuelattice.operators import cues as cu
+from cuelattice.operators import evidence as ev
+from cuelattice.operators import speakers as sp
+from cuelattice.operators import truth as tu
+from cuelattice.operators import voices as vo
 
 WORDS = "key long, pass long, line long, seq long, token string, s long, e long"
 
@@ -16,8 +21,7 @@ def _pass(key, p, text, line_words=4):
 
 def _vote(spark, rows):
     w = spark.createDataFrame(rows, WORDS)
-    lines = w.groupBy("key", "pass", "line").agg({"s": "min", "e": "max"}).toDF("key", "pass", "line", "s", "e")
-    return sorted((r.line, r.confirmed, r.words) for r in al.vote(w, lines, ["key"]).collect())
+    return sorted((r.line, r.confirmed, r.words) for r in al.vote(w, ["key"]).collect())
 
 
 def test_a_majority_confirms(spark):
@@ -55,32 +59,128 @@ def test_linkage():
     assert len(set(al.linked(v, 1.1))) == 5 and len(set(al.linked(v, -1.1))) == 1
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_viterbi_is_the_best_path(seed):
+def test_ties_of_the_edit_path_go_to_deletions():
+    # read from the end: a word is deleted before one is inserted
+    assert al.edit_steps(["a", "b"], ["b", "a"]) == [("sub", 0, 0), ("sub", 1, 1)]
+    assert al.edit_steps(["a", "b", "c"], ["b", "c", "d"])[-1][0] == "ins"
+    for cells in (0, 1_000_000):
+        assert al.edit_steps(list("abab"), list("baba"), cells) == al.edit_steps(list("abab"), list("baba"))
+    table = np.array([[0, 1, 2], [1, 1, 1], [2, 1, 2]])  # said "x b", wrote "b y": sub sub, or del ok ins
+    assert table[-1, -1] == sum(s != "ok" for s, _, _ in al.edit_steps(["x", "b"], ["b", "y"]))
+    assert [s for s, _, _ in al.edit_steps(["x", "b"], ["b", "y"])] == ["sub", "sub"]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_letters_take_the_likeliest_way(seed):
     r = np.random.default_rng(seed)
-    logp, labels = r.normal(size=(5, 3)), [1, 2]
-    path = al.viterbi(logp, labels)
-    best = max(_score(logp, labels, p) for p in np.ndindex(*[5] * 5))
-    states = _states(path, labels)
-    assert _score(logp, labels, states) == pytest.approx(best)
-
-
-def _states(path, labels):
-    out, last = [], -1
-    for k in path:
-        last = 2 * k + 1 if k >= 0 else last + (last % 2 if last >= 0 else 1)
-        out.append(last)
-    return tuple(out)
-
-
-def _score(logp, labels, states):
-    symbols = [0, labels[0], 0, labels[1], 0]
-    if states[0] > 1 or states[-1] < 3:
-        return -np.inf
-    for a, b in zip(states, states[1:]):
-        if not (b == a or b == a + 1 or b == a + 2 and b % 2 and symbols[a] != symbols[b]):
-            return -np.inf
-    return sum(logp[t, symbols[s]] for t, s in enumerate(states))
+    letters = [[1, 2], [1, 1], [2], [1, 2, 1]][seed % 4]
+    logp = r.normal(size=(6, 3))
+    bounds = np.array([[0, 4], [1, 5], [2, 5]])[: len(letters)] if seed % 3 == 0 else None
+    want, best = [], -np.inf
+    for path in product(range(3), repeat=6):  # 0 is silence
+        runs = [(k, list(g)) for k, g in groupby(enumerate(path), key=lambda x: x[1])]
+        said = [(k, g[0][0], g[-1][0]) for k, g in runs if k]
+        if [k for k, _, _ in said] != letters or bounds is not None and any(a < lo or b > hi for (_, a, b), (lo, hi) in zip(said, bounds)):
+            continue
+        score = sum(logp[t, k] for t, k in enumerate(path))
+        if score > best:
+            best, want = score, [[a, b] for _, a, b in said]
+    assert al.aligned(logp, letters, bounds=bounds).tolist() == (want or [[-1, -1]] * len(letters))
+
+
+def test_what_can_not_be_said_and_silence():
+    assert al.aligned(np.zeros((1, 3)), [1, 1]).tolist() == [[-1, -1]] * 2 and al.aligned(np.zeros((0, 3)), [1]).tolist() == [[-1, -1]]
+    quiet = al.silenced(np.zeros((3, 3)), np.array([0, 1, 2]), [9.0, 2.0, 0.0])
+    assert quiet.tolist() == [[0, -9, -9], [0, -2, -2], [0, 0, 0]]
+
+
+def test_letters_of_clips_keep_their_bounds(spark):
+    rows = [(1, t, [0.0, float(t == 5), float(t == 7)], [1, 2], [(6, 8), (6, 9)], 2) for t in range(3, 10)]
+    d = spark.createDataFrame(rows, "key long, frame long, logp array<double>, labels array<int>, bounds array<struct<first: long, last: long>>, tier int")
+    got = [(r.place, r.first >= 6, r.last) for r in al.forced_alignment(d, ["key"], penalty=[9.0, 1.0, 0.0]).collect()]
+    assert got[0][:2] == (0, True) and got[1][0] == 1 and got[1][2] >= 7
+
+
+def test_extra_lines_and_what_stands(spark):
+    base = "one two three four five six seven eight nine ten"
+    mid = "well then quite so"
+    rows = _pass(1, 0, base)
+    # two passes of three heard four words in a line that the fullest one missed
+    for p in (1, 2):
+        w = _pass(1, p, "one two three four five six seven eight")
+        rows += w + [(1, p, 9, 100 + i, t, 60_000_000 + i * 1_000_000, 60_900_000 + i * 1_000_000) for i, t in enumerate(mid.split()[: 4 if p == 1 else 3])]
+    rows = [r for r in rows]
+    w = spark.createDataFrame(rows + [(1, 0, 3, 50 + i, f"only{i}", 200_000_000 + i, 200_000_900 + i) for i in range(6)], WORDS)
+    got = [(r["pass"], r.line) for r in al.extra_lines(w, ["key"]).collect()]
+    assert got == [(1, 9)]
+    # passes as full as each other whose vote keeps little: the fullest stands
+    far = [(2, p, i, i, t, (i + 40 * p) * 1_000_000, (i + 40 * p) * 1_000_000 + 900_000) for p in range(3) for i, t in enumerate(base.split())]
+    w = spark.createDataFrame(far, WORDS)
+    voted = al.vote(w, ["key"])
+    stand = al.settled(w, ["key"], voted).collect()
+    assert voted.count() == 0 and len(stand) == 10 and {r["pass"] for r in stand} == {0}
+
+
+def test_support(spark):
+    runs = spark.createDataFrame([(1, 0, "a b c d".split()), (1, 1, "x y a z".split())], "key long, run long, said array<string>")
+    local = spark.createDataFrame([(1, "q a b c".split())], "key long, said array<string>")
+    assert sorted((r.run, r.support) for r in al.support(runs, local, ["key"]).collect()) == [(0, 2.5), (1, -2.0)]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_labels_are_paired_best(seed):
+    r = np.random.default_rng(seed)
+    count = r.integers(0, 9, (r.integers(1, 6), r.integers(1, 6)))
+    got = sp.best_pairs(count)
+    n, m = count.shape
+    slots = list(range(m)) + [None] * n
+    best = max(sum(count[i, c] for i, c in enumerate(p) if c is not None) for p in set(permutations(slots, n)))
+    assert sum(count[i, j] for i, j in got) == best and len({i for i, _ in got}) == len({j for _, j in got}) == len(got)
+
+
+def test_names_are_given_once(spark):
+    d = spark.createDataFrame([(1, "x", "A", 5), (1, "y", "A", 4), (1, "y", "B", 1), (1, "x", "B", 4)], "key long, t string, h string, n long")
+    assert sorted((r.t, r.h) for r in sp.named_greedily(d, ["key"], "t", "h", "n").collect()) == [("x", "A"), ("y", "B")]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_words_match_the_truth_as_well_as_can_be(seed):
+    r = random.Random(seed)
+    a, b = (["abc"[r.randrange(3)] for _ in range(r.randrange(6))] for _ in range(2))
+    at, there = (np.cumsum([r.randrange(1, 30) for _ in x]).astype(float) for x in (a, b))
+    cost = 0.5 / (min(len(a), len(b)) + 1) / 60
+    worth = lambda p: sum(1 - cost * min(abs(at[i] - there[j]), 60) for i, j in p)
+    every = [(i, j) for i in range(len(a)) for j in range(len(b)) if a[i] == b[j]]
+    best = max((worth(p) for n in range(len(every) + 1) for p in combinations(every, n) if all(x[0] < y[0] and x[1] < y[1] for x, y in zip(p, p[1:]))), default=0)
+    got = tu.matched(a, b, at, there)
+    assert set(got) <= set(every) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(got, got[1:])) and abs(worth(got) - best) < 1e-9
+
+
+def test_sentence_homes_with_overlaps(spark):
+    r = random.Random(5)
+    sentences = [(1, k, s := r.randrange(1000), s + r.randrange(1, 200), r.choice("AB")) for k in range(25)]
+    words = [(1, i, s := r.randrange(1200), s + r.randrange(0, 20), r.choice("ABC")) for i in range(120)]
+    s = spark.createDataFrame(sentences, "key long, line long, s long, e long, label string")
+    w = spark.createDataFrame(words, "key long, id long, s long, e long, label string")
+    got = {x.id: x.home for x in ev.sentence_home(w, s, ["key"], 10_000, width=97).collect()}
+    for _, i, a, b, label in words:
+        m = (a + b) // 2
+        assert got[i] == min((max(x - m, m - y, 0) + (0 if who == label else 10_000), k) for _, k, x, y, who in sentences)[1]
+
+
+def test_many_labels_are_compared_in_blocks(spark, monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [(i, f"l{i % 40:02}", v.tolist()) for i, v in enumerate(r.normal(size=(160, 6)))]
+    d = spark.createDataFrame(rows, "id long, label string, vec array<double>")
+    both = lambda: {k: v for x in vo.leave_one_out(d).collect() for k, v in (((x.id, 0), x.own), ((x.id, 1), x.rival))}
+    want = both()
+    near = {x.id: (x.near, x.similarity) for x in vo.nearest(d).collect()}
+    flat = {x.id: x.silhouette for x in vo.silhouette(d).collect()}
+    monkeypatch.setattr(vo, "BOUND", 300)
+    monkeypatch.setattr(vo, "PRINTS", 50)
+    assert both() == pytest.approx(want)
+    assert {x.id: x.near for x in vo.nearest(d).collect()} == {i: n for i, (n, _) in near.items()}
+    assert {x.id: x.silhouette for x in vo.silhouette(d).collect()} == pytest.approx(flat)
 
 
 def _words(seed, n):
