@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import shapes, text
+from ..functions import picture, shapes, text
 
 
 def _order(keys: Sequence[str]):
@@ -84,6 +84,24 @@ def ass_events(cues: DataFrame, keys: Sequence[str], ranks: DataFrame, fade_ms:
     return cues.join(ranks, [*keys, "speaker"], "left").select(*keys, "number", event.alias("event"))
 
 
+#: What an ASS file says before its events.
+ASS_INFO = ["[Script Info]", "ScriptType: v4.00+", "WrapStyle: 0", "ScaledBorderAndShadow: yes"]
+ASS_STYLES = ["[V4+ Styles]", "Format: Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, OutlineColour, BackColour, Bold, Italic, Underline, StrikeOut, ScaleX, ScaleY, Spacing, Angle, BorderStyle, Outline, Shadow, Alignment, MarginL, MarginR, MarginV, Encoding"]
+ASS_EVENTS = ["[Events]", "Format: Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"]
+
+
+def ass_files(cues: DataFrame, keys: Sequence[str], ranks: DataFrame, width: int = 1920, height: int = 1080, font: str = "Sans", size: float = 100.0, side: float = 5.0, bottom: float = 7.0, box: str = "#151413", opacity: float = 0.69) -> DataFrame:
+    """keys, ass: a whole file for each clip: the picture's size, one style with sizes from percentages, and its events in order."""
+    w, h = F.lit(width), F.lit(height)
+    letter = picture.font_size(w, h, F.lit(size))
+    margin, below = picture.margin(w, F.lit(side)), picture.margin(h, F.lit(bottom))
+    behind = shapes.ass_colour(F.lit(box), F.lit(opacity))
+    style = F.concat_ws(",", F.lit(f"Style: Default,{font}"), letter, shapes.ass_colour(F.lit(PALETTE[0]), F.lit(1.0)), F.lit("&H000000FF"), behind, behind, F.lit("0,0,0,0,100,100,0,0,3"), picture.outline(letter, F.lit(0.0), F.lit(True)), F.lit("0,2"), margin, margin, below, F.lit("1"))
+    head = F.concat_ws("\n", *map(F.lit, ASS_INFO), F.lit(f"PlayResX: {width}"), F.lit(f"PlayResY: {height}"), F.lit(""), *map(F.lit, ASS_STYLES), style, F.lit(""), *map(F.lit, ASS_EVENTS))
+    got = ass_events(cues, keys, ranks).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("number", "event"))).alias("e"))
+    return got.select(*keys, F.concat(head, F.lit("\n"), F.array_join(F.transform("e", lambda x: x["event"]), "\n"), F.lit("\n")).alias("ass"))
+
+
 def dub_lines(cues: DataFrame, keys: Sequence[str], total_ms: int) -> DataFrame:
     """keys, number, part, text, until_ms: parts to be spoken, until the next start (half a second at least) or 30 s on."""
     nxt = F.lead("start_ms").over(_order(keys))

@@ -75,6 +75,16 @@ def misnamed(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
     return both.where(said & ~meant).drop("__first")
 
 
+def unfaithful(pairs: DataFrame, keys: Sequence[str], glossary: DataFrame) -> DataFrame:
+    """keys, number, kinds: lines whose translation fails a check, and which; lines without one are left out."""
+    written = pairs.where(F.trim(F.coalesce("target", F.lit(""))) != "")
+    found = None
+    for kind, part in (("number", lost_numbers(written)), ("glossary", misnamed(written, glossary)), ("echo", echoes(written, keys)), ("short", shortened(written, keys))):
+        part = part.select(*keys, "number", F.lit(kind).alias("kind"))
+        found = part if found is None else found.unionByName(part)
+    return found.groupBy(*keys, "number").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+
+
 def context(pairs: DataFrame, keys: Sequence[str], side: int = 3) -> DataFrame:
     """pairs with around: the sources of up to side neighbours on either side, in order."""
     w = Window.partitionBy(*keys).orderBy("number")

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import shapes, text
+from ..operators import cues as cu
 from ..operators import fitting as fi
+from ..operators import places as pl
 from ..operators import settings as st
 from ..operators import speakers as sp
 from ..operators import translation as tr
 from ..sources import readers, sinks
 from .adapters import CUES, HOUR, PAIRS, SPANS, cues, pairs, spans, table
+from .dialogue import _RANKS, _ass, _letters, _numbers, _plain, _tokens
 
 K = ["key"]
 
@@ -100,13 +103,35 @@ def voice_names(spark, sf_dir):
     return sp.named_greedily(n, K, "label", "name", "us").select("key", "label", "name", F.col("us").cast("long").alias("us"))
 
 
+def ass_text(spark, sf_dir):
+    c = cues(spark, sf_dir)
+    got = cu.ass_files(c, K, sp.talk_ranking(c, K).select("key", "speaker", "rank"))
+    return got.select("key", F.md5("ass").alias("ass"), F.length("ass").cast("long").alias("chars"))
+
+
+def unfaithful_lines(spark, sf_dir):
+    g = spark.sql("SELECT * FROM VALUES ('the', 'thth'), ('and', 'anan') AS g(term, meaning)")
+    d = pairs(spark, sf_dir).withColumn("source", F.concat("source", F.lit(" 1,234")))
+    return tr.unfaithful(d, K, g).select("key", "number", F.array_join("kinds", ",").alias("kinds"))
+
+
+def retimed_words(spark, sf_dir):
+    """Turns written half a minute late, timed by what was heard of them: every event's id is a word of its own."""
+    d = spans(spark, sf_dir).where("e > s").withColumn("line", F.floor(F.col("s") / (6 * HOUR)))
+    lines = d.groupBy("key", "line").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    late = lambda c: (F.col(c) + F.when(F.col("line") % 2 == 0, 12 * HOUR).otherwise(0)).alias(c)
+    w = d.select("key", "line", "id", F.col("id").cast("string").alias("token"), late("s"), late("e"))
+    h = d.where("id % 3 > 0").select("key", "id", F.col("id").cast("string").alias("token"), "s", "e")
+    return pl.retimed(w, lines, h, K, HOUR // 60, HOUR).groupBy("key", "source").agg(F.count("*").alias("n"))
+
+
 def cue_fitting(spark, sf_dir):
     """Turns of conversations at twenty letters a second, shown as subtitles; each tenth is a cut of the picture."""
     c = cues(spark, sf_dir).select("key", "number", F.col("speaker").alias("label"), "text", (F.col("start_ms") / 20).cast("long").alias("start_ms"), (F.col("end_ms") / 20).cast("long").alias("end_ms"))
     return fi.fit_cues(c, K, c.where("number % 10 = 9").select("key", F.col("start_ms").alias("at_ms")))
 
 
-QUERIES = {f.__name__: f for f in (json_replies, script_lines, answers_unfolded, review_json, retry_lines, long_parts, free_names, enlarged_frames, plausible_words, settings_resolved, settings_kept, voice_majority, voice_names, cue_fitting)}
+QUERIES = {f.__name__: f for f in (json_replies, script_lines, answers_unfolded, review_json, retry_lines, long_parts, free_names, enlarged_frames, plausible_words, settings_resolved, settings_kept, voice_majority, voice_names, ass_text, unfaithful_lines, retimed_words, cue_fitting)}
 
 SQL = {
     "json_replies": """WITH r AS (SELECT event_id, event_id % 50 AS a, CASE WHEN event_id % 4 > 0 THEN event_id % 60 END AS b, event_type AS text FROM events WHERE event_id % 7 > 0 AND event_id % 5 > 0)
@@ -129,3 +154,13 @@ SQL = {
       NOT (list_contains(ls, o.label) OR list_contains(ns, o.name)), o.label, o.name, o.us FROM r JOIN o ON o.key = r.key AND o.k = r.k + 1)
   SELECT key, label, name, us FROM r WHERE ok""",
 }
+_HEAD = "[Script Info]\\nScriptType: v4.00+\\nWrapStyle: 0\\nScaledBorderAndShadow: yes\\nPlayResX: 1920\\nPlayResY: 1080\\n\\n" + "\\n".join(cu.ASS_STYLES) + "\\nStyle: Default,Sans,63,&H00F0F5F7,&H000000FF,&H4F131415,&H4F131415,0,0,0,0,100,100,0,0,3,3.8,0,2,96,96,76,1\\n\\n" + "\\n".join(cu.ASS_EVENTS)
+SQL["ass_text"] = f"""WITH {CUES}, {_RANKS}, c AS (SELECT c.*, least(200, (end_ms - start_ms) // 4) AS fade, ['#f7f5f0','#ffe066','#8fe3f5','#a8e6a1'][CASE WHEN r.rank = 0 THEN 1 ELSE (r.rank - 1) % 3 + 2 END] AS colour FROM cues c JOIN ranks r USING (key, speaker)),
+  e AS (SELECT key, number, 'Dialogue: 0,' || {_ass('start_ms')} || ',' || {_ass('end_ms')} || ',Default,,0,0,0,,' || '{{\\fad(' || fade || ',' || fade || ')\\c' || upper('&H00' || colour[6:7] || colour[4:5] || colour[2:3]) || '&}}' || replace({_plain('text')}, chr(10), '\\N') AS event FROM c),
+  f AS (SELECT key, replace('{_HEAD}', '\\n', chr(10)) || chr(10) || string_agg(event, chr(10) ORDER BY number) || chr(10) AS ass FROM e GROUP BY key) SELECT key, md5(ass) AS ass, len(ass) AS chars FROM f"""
+SQL["unfaithful_lines"] = f"""WITH {PAIRS}, p AS (SELECT key, number, source || ' 1,234' AS source, target FROM pairs WHERE trim(target) <> ''), t AS (SELECT *, {_tokens('source')} AS st, {_tokens('target')} AS tt FROM p),
+  a AS (SELECT key, number, 'number' AS kind FROM p WHERE len(list_filter({_numbers('source')}, lambda x: NOT list_contains({_numbers('target')}, x))) > 0
+    UNION SELECT key, number, 'glossary' FROM t, (VALUES ('the', 'thth'), ('and', 'anan')) g(term, meaning) WHERE list_contains(st, term) AND NOT contains(lower(target), meaning)
+    UNION SELECT key, number, 'short' FROM (SELECT key, number, {_letters('target')} / greatest({_letters('source')}, 1) AS ratio, median({_letters('target')} / greatest({_letters('source')}, 1)) OVER (PARTITION BY key) AS usual, count(*) OVER (PARTITION BY key) AS n FROM t WHERE len(st) >= 6 AND st <> tt) WHERE n >= 5 AND ratio < 0.4 * usual
+    UNION SELECT key, number, 'echo' FROM (SELECT key, number, len(st) >= 3 AND st = tt AS echo, count(*) FILTER (len(st) >= 3 AND st = tt) OVER (PARTITION BY key) / greatest(count(*) FILTER (len(st) >= 3) OVER (PARTITION BY key), 1) AS part FROM t) WHERE echo AND part < 0.5)
+  SELECT key, number, string_agg(kind, ',' ORDER BY kind) AS kinds FROM a GROUP BY key, number"""

@@ -68,3 +68,16 @@ def test_pieces_are_joined(spark):
     assert sorted((r.number, r.s, r.e) for r in pl.joined_pieces(lines, pieces, ["key"]).collect()) == [(1, 5, 9), (2, 101, 102)]
     d = spark.createDataFrame([("a b c",)], "t string")
     assert len(d.select(text.gram_hashes(text.tokens(F.col("t")), 2)).first()[0]) == 2 and d.select(text.gram_hashes(text.tokens(F.col("t")), 9)).first()[0] == []
+
+
+def test_lines_take_the_times_of_what_was_heard(spark):
+    # the line's words stand ten seconds late; two of three were heard in it
+    words = spark.createDataFrame([(1, 0, 0, "before", 0, S), (1, 1, 1, "one", 14 * S, 15 * S), (1, 1, 2, "two", 15 * S, 16 * S), (1, 1, 3, "three", 16 * S, 17 * S), (1, 2, 4, "after", 20 * S, 21 * S)], "key long, line long, id long, token string, s long, e long")
+    lines = spark.createDataFrame([(1, 0, 0, S), (1, 1, 4 * S, 8 * S), (1, 2, 20 * S, 21 * S)], "key long, line long, s long, e long")
+    heard = spark.createDataFrame([(1, 0, "one", 4 * S, 5 * S), (1, 1, "three", 7 * S, 8 * S)], "key long, id long, token string, s long, e long")
+    got = {r.token: (r.s, r.e, r.source) for r in pl.retimed(words, lines, heard, ["key"]).collect()}
+    assert got["one"] == (4 * S, 5 * S, "heard") and got["two"] == (5 * S, 7 * S, "unplaced") and got["three"] == (7 * S, 8 * S, "heard")
+    assert got["before"][2] == got["after"][2] == "aligned"
+    # one heard word of three is too few
+    few = {r.token: r.source for r in pl.retimed(words, lines, heard.limit(1), ["key"]).collect()}
+    assert set(few.values()) == {"aligned"}
