@@ -83,28 +83,3 @@ def build_cues(words: DataFrame, keys: Sequence[str], pause_us: int = 2_500_000,
     )
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("s", "block", "part"))
     return got.select(*keys, number.alias("number"), label, "text", F.floor(F.col("s") / 1000).alias("start_ms"), F.ceil(F.col("e") / 1000).alias("end_ms"))
-
-
-def fit_timing(cues: DataFrame, keys: Sequence[str], least_ms: int = 900, gap_ms: int = 83, most_ms: int = 6000, late_ms: int = 200, cps: float = 17.0) -> DataFrame:
-    """cues with start_ms and end_ms fitted: in order, a gap apart, long enough to read where there is room, never too long.
-
-    A cue starts behind the one before it, at most late_ms after its speech where that can be; the one before
-    is cut short for it if need be. Each decision looks at the one before: a fold over a clip's cues.
-    """
-    c = cues.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("number", F.col("start_ms").cast("bigint").alias("start_ms"), F.col("end_ms").cast("bigint").alias("end_ms"), F.length("text").alias("chars")))).alias("c"))
-    item = "struct<number:bigint,start_ms:bigint,end_ms:bigint>"
-    empty = F.array().cast(f"array<{item}>")
-    fields = lambda n, s, e: F.struct(n.cast("bigint").alias("number"), s.cast("bigint").alias("start_ms"), e.cast("bigint").alias("end_ms"))
-
-    def step(done, x):
-        last = F.element_at(done, -1)
-        floor_ = F.when(F.size(done) > 0, last["end_ms"] + gap_ms).otherwise(F.lit(0).cast("bigint"))
-        start = F.when(floor_ <= x["start_ms"] + late_ms, F.greatest(floor_, x["start_ms"])).otherwise(F.greatest(x["start_ms"] + late_ms, F.coalesce(last["start_ms"], F.lit(0)) + least_ms // 2 + gap_ms))
-        wanted = F.greatest(x["end_ms"], start + least_ms, start + F.ceil(x["chars"] * 1000 / cps).cast("bigint"))
-        end = F.greatest(F.least(wanted, start + most_ms), start + least_ms // 2)
-        earlier = F.when(F.size(done) > 0, F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(fields(last["number"], last["start_ms"], F.least(last["end_ms"], start - gap_ms))))).otherwise(done)
-        return F.concat(earlier, F.array(fields(x["number"], start, end)))
-
-    got = c.select(*keys, F.explode(F.aggregate("c", empty, step)).alias("x")).select(*keys, "x.*")
-    rest = [k for k in cues.columns if k not in ("start_ms", "end_ms")]
-    return cues.select(*rest).join(got, [*keys, "number"])

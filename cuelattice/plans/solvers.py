@@ -8,6 +8,7 @@ from ..functions import shapes, text
 from ..operators import alignment as al
 from ..operators import build as bu
 from ..operators import cues as cu
+from ..operators import fitting as fi
 from .adapters import CUES, HOUR, SPANS, cues, pairs, spans, table, voices
 from .dialogue import _tokens
 
@@ -69,7 +70,7 @@ def cue_build(spark, sf_dir):
 
 
 def cue_timing(spark, sf_dir):
-    return bu.fit_timing(cue_build(spark, sf_dir), K).select("key", "number", "start_ms", "end_ms")
+    return fi.fit_cues(cue_build(spark, sf_dir), K).select("key", "number", "start_ms", "end_ms", "parts", "joined")
 
 
 def replies_over(spark, sf_dir):

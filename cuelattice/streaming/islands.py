@@ -1,50 +1,20 @@
-"""Islands of intervals as they arrive: state is the open island of each key."""
+"""Islands of intervals as they arrive, in windows that Spark keeps and closes by the watermark."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-_OUT = "key long, s long, e long, n long"
-_STATE = "s long, e long, n long"
-
-
-def _close(join_us: int):
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            s, e, n = state.get
-            state.remove()
-            yield pd.DataFrame({"key": [key[0]], "s": [s], "e": [e], "n": [n]})
-            return
-        rows = pd.concat(list(batches)).sort_values(["s", "e"])
-        opened = list(state.get) if state.exists else None
-        done = []
-        for s, e in rows[["s", "e"]].itertuples(index=False, name=None):
-            if opened is not None and s - opened[1] <= join_us and opened[0] - e <= join_us:
-                opened = [min(opened[0], s), max(opened[1], e), opened[2] + 1]
-            else:
-                if opened is not None:
-                    done.append(opened)
-                opened = [s, e, 1]
-        state.update(tuple(opened))
-        # the open island closes once the watermark has passed its end by join
-        due = (opened[1] + join_us) // 1000 + 1
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame([(key[0], *d) for d in done], columns=["key", "s", "e", "n"])
-
-    return run
 
 
 def stream_islands(events: DataFrame, join_us: int, late: str = "1 hour") -> DataFrame:
     """key, s, e, n of islands, each when it has closed; events (key, ts, s, e) later than late are dropped.
 
-    Rows of a key must come in order of time up to the lateness for the islands to be those of the batch job.
+    ts is the start as a timestamp. An interval is a session that lasts until its end and the join; sessions that meet
+    are one, whatever the order they come in, as in the batch job.
     """
-    return events.withWatermark("ts", late).groupBy("key").applyInPandasWithState(_close(join_us), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    lasting = F.concat((F.greatest(F.col("e") - F.col("s"), F.lit(0)) + join_us + 1).cast("string"), F.lit(" microseconds"))
+    got = events.withWatermark("ts", late).groupBy("key", F.session_window("ts", lasting).alias("__session"))
+    return got.agg(F.min("s").alias("s"), F.max("e").alias("e"), F.count("*").alias("n")).select("key", "s", "e", "n")
 
 
 def speech_per_window(events: DataFrame, width: str, hop: str, late: str = "1 hour") -> DataFrame:
