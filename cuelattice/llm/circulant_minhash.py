@@ -12,8 +12,9 @@ How the work stays in proportion to the input:
 * a few rounds more compare the classes of other components with one class of the bucket chosen at random,
   another one in each bucket and round;
 * classes of one bucket that are then still in different components are compared with each other inside the
-  join, by the signature's bits and then by a larger sketch that only these classes have; each pair is met
-  in its first common bucket only, and only pairs that pass go on to the exact comparison.
+  join, by the signature's bits and then by a larger sketch that only these classes have; of buckets with the
+  same classes one is kept, each pair is met in its first common bucket only, and only pairs that pass go on to the
+  exact comparison.
 
 So no link between components is lost to the stars, and a group of thousands of copies costs thousands
 of comparisons.
@@ -248,13 +249,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         links = scratch.write(links.unionByName(found), "links")
         members = members.select("bucket", "cid")
 
-    # what the stars have missed: pairs of one bucket in different components
+    # what the stars have missed: pairs of one bucket in different components. Pages of one template fill many buckets
+    # with the same classes: one of such buckets is enough
+    who = F.xxhash64("cid")
+    alike = members.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.shiftright(who, 16)).alias("x"), F.bit_xor(who).alias("y"))
+    alike = scratch.write(alike.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "different")
+    members = scratch.write(members.join(alike, "bucket").select("bucket", "cid", "root"), "members")
+    own = members.groupBy("cid").agg(F.sort_array(F.collect_list("bucket")).alias("own"))
     texts = _texts(docs, named, members.select("cid"), scratch, "open")
     sketches = scratch.write(texts.mapInArrow(_sketches, "cid long, sketch array<long>"), "sketches")
-    more_traits = scratch.write(classes.select("cid", "n", "bands", "s0", "s1", "s2").join(sketches, "cid"), "traits")
-    open_ = scratch.write(members.select("bucket", "cid", "root").join(more_traits, "cid"), "traits")
+    more_traits = scratch.write(classes.select("cid", "n", "s0", "s1", "s2").join(sketches, "cid").join(own, "cid"), "traits")
+    open_ = scratch.write(members.join(more_traits, "cid"), "traits")
     a, b = open_.alias("a"), open_.alias("b")
-    first = F.element_at(F.array_intersect("a.bands", "b.bands"), 1) == F.col("a.bucket")
+    first = F.element_at(F.array_intersect("a.own", "b.own"), 1) == F.col("a.bucket")
     same = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.cid") < F.col("b.cid")) & (F.col("a.root") != F.col("b.root")) & _close("a", "b")
     pairs = a.join(b, same & first & _alike("a", "b"))
     pairs = scratch.write(pairs.select(F.col("b.cid").alias("src"), F.col("a.cid").alias("dst")), "rest")
