@@ -332,7 +332,7 @@ SQL = {
   f AS (SELECT hex, list_transform([2, 4, 6], lambda i: CAST(('0x' || hex[i:i+1]) AS INTEGER) / 255) AS p, third FROM (VALUES ('#f7f5f0', false), ('#ffe066', true), ('#8fe3f5', true)) v(hex, third)),
   fy AS (SELECT third, list_transform(p, lambda x: CASE WHEN x <= 0.04045 THEN x / 12.92 ELSE pow((x + 0.055) / 1.055, 2.4) END) AS q FROM f), fz AS (SELECT third, 0.2126 * q[1] + 0.7152 * q[2] + 0.0722 * q[3] AS z FROM fy),
   bad AS (SELECT DISTINCT y.k FROM y, fz WHERE (NOT third OR y.k % 3 = 0) AND (greatest(y, z) + 0.05) / (least(y, z) + 0.05) < 4.5),
-  w AS (SELECT k, chars, size, side, pad, CAST(round_even(1080 * 0.058 * size / 100.0, 0) AS INTEGER) AS font FROM s), v AS (SELECT k, chars, (1920 - 2 * CAST(round_even(1920 * side / 100.0, 0) AS INTEGER) - 2 * greatest(4, CAST(round_even(font * pad / 100.0, 0) AS INTEGER))) / (font * 0.55) AS widest FROM w),
+  w AS (SELECT k, chars, size, side, pad, CAST(round_even(1080 * 0.058 * size / 100.0, 0) AS INTEGER) AS font FROM s), v AS (SELECT k, chars, (1920 - 2 * CAST(round_even(1920 * side / 100.0, 0) AS INTEGER) - 2 * greatest(4, CAST(round_even(font * pad / 100.0, 0) AS INTEGER))) / (font * 0.55::DOUBLE) AS widest FROM w),
   a AS (SELECT 'readable' AS rule, k FROM s WHERE r < d - 1e-9 UNION ALL SELECT 'joins', k FROM s WHERE j >= p - 1e-9 UNION ALL SELECT 'gaps', k FROM s WHERE g > d / 4 + 1e-9 UNION ALL SELECT 'contrast', k FROM bad
     UNION ALL SELECT 'width', k FROM v WHERE chars > trunc(widest) UNION ALL SELECT 'one_line', k FROM s WHERE k % 2 = 0 AND k % 3 = 0)
   SELECT rule, count(*) AS n, min(k) AS first FROM a GROUP BY rule""",
@@ -344,7 +344,7 @@ SQL = {
     "picture_fit": """WITH s AS (SELECT p_partkey AS k, 240 + p_partkey % 50 * 40 AS w, CASE WHEN p_partkey % 3 = 0 THEN 1920 ELSE 1080 END AS h, 80 + p_partkey % 9 * 5 AS size, p_partkey % 21 AS side, p_partkey % 41 AS pad FROM part),
   f AS (SELECT *, CAST(round_even(least(w, h) * CASE WHEN h > w THEN 0.066 ELSE 0.058 END * size / 100, 0) AS INTEGER) AS font FROM s),
   m AS (SELECT *, CAST(round_even(w * side / 100.0, 0) AS INTEGER) AS sm, round_even(CAST(font * pad / 100.0 AS DOUBLE), 1) AS pd FROM f),
-  l AS (SELECT *, greatest(8, least(42, CAST(trunc((w - 2 * sm - 2 * pd) / (font * 0.55)) AS INTEGER))) AS line FROM m)
+  l AS (SELECT *, greatest(8, least(42, CAST(trunc((w - 2 * sm - 2 * pd) / (font * 0.55::DOUBLE)) AS INTEGER))) AS line FROM m)
   SELECT k AS p_partkey, font, sm AS side, pd AS padding, CASE WHEN k % 2 = 0 THEN round_even(CAST(font * 0.06 AS DOUBLE), 1) ELSE CAST(greatest(2, CAST(round_even(font * pad / 100.0, 0) AS INTEGER)) AS DOUBLE) END AS outline,
     greatest(0.3, round_even(CAST(pad / 100.0 + 0.08 AS DOUBLE), 4)) AS gap, CAST(line AS INTEGER) AS line_chars, CAST(CASE WHEN line < 42 THEN greatest(8, 84 * line // 42) ELSE 84 END AS INTEGER) AS source_chars FROM l""",
 }
