@@ -27,8 +27,8 @@ SHARD_DOCS = 12_000
 #: What is not safe to split before each space and around each line end: other characters than printable
 #: Latin ones, and white space next to white space. Such texts go to the tokenizer whole.
 _ODD = re.compile(r"[^\n\x20-\x7e\xa1-\xac\xae-\u017f]|[ \n]{2}")
-#: Words remembered by one worker.
-_KNOWN = 600_000
+#: Words remembered by one worker; characters of texts that are split at once.
+_KNOWN, _TOGETHER = 600_000, 4_000_000
 
 
 class Ids:
@@ -47,19 +47,28 @@ class Ids:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {"": b""}
 
+    def of_many(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; words not seen before go to the tokenizer together."""
+        known, at = self.known, 0
+        while at < len(texts):
+            # as many texts as have so many characters, one at least
+            upto, size = at, 0
+            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= _TOGETHER):
+                size += len(texts[upto])
+                upto += 1
+            split = [None if _ODD.search(t) or any(a in t for a in self.added) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts[at:upto]]
+            new = list({p for parts in split if parts is not None for p in parts}.difference(known))
+            if len(known) + len(new) > _KNOWN:
+                known.clear()
+                known[""] = b""
+                new = list({p for parts in split if parts is not None for p in parts if p})
+            known.update(zip(new, (array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)), strict=True))
+            for text, parts in zip(texts[at:upto], split, strict=True):
+                yield b"".join([known[p] for p in parts]) if parts is not None else array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+            at = upto
+
     def of(self, text: str) -> bytes:
-        if _ODD.search(text) or any(t in text for t in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        known, parts = self.known, text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            new = list({p for p in parts if p not in known})
-            own = {p: array("I", e.ids).tobytes() for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
-            if len(known) < _KNOWN:
-                known.update(own)
-                return b"".join([known[p] for p in parts])
-            return b"".join([own[p] if p in own else known[p] for p in parts])
+        return next(self.of_many([text]))
 
 
 #: One for each worker process, which keeps it from task to task.
@@ -117,8 +126,9 @@ def _pieces(path: str, end_id: int, most: int, with_ids: bool):
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 rows, held = [], []
-                for shard, doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                    raw = ids.of(text.as_py() or "") + end
+                texts = [t or "" for t in part.column(2).to_pylist()]
+                for shard, doc_id, own_ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), ids.of_many(texts), strict=True):
+                    raw = own_ids + end
                     for k, (start, length) in enumerate(cut(len(raw) // 4, most)):
                         own = raw[4 * start : 4 * (start + length)]
                         rows.append((shard, doc_id, k, start, length, zlib.crc32(own)))
