@@ -11,6 +11,7 @@ from .chat import CHAT_SQL, TRICKY, format_chats, read_back
 from .circulant_minhash import near_duplicates
 from .common import Scratch, table
 from .cover_tree import close_vectors
+from .filter_audit import AUDIT_SQL, audit
 from .html_paths import extract
 from .language import fit, identify
 from .licenses import scan_licenses
@@ -114,6 +115,12 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(spelled(base), 256).alias("base_sha256"), spelled(F.col("pii_spans")).alias("spans"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from every source in each of their orders."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return audit(docs.select("doc_id", "text", "source"), labels.select("doc_id", "quality", "toxic"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -127,8 +134,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_cover_tree": op8_cover_tree,
         "op9_circulant_minhash": op9_circulant_minhash,
         "op10_pii": op10_pii,
+        "op11_filter_audit": op11_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIX_SQL, "op3_chat": CHAT_SQL}
+    return {"op1_mixing": MIX_SQL, "op3_chat": CHAT_SQL, "op11_filter_audit": AUDIT_SQL}

@@ -29,7 +29,7 @@ def _texts(spark):
 @pytest.mark.parametrize("name", sorted(q.oracle_sql()))
 def test_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.sql(q.oracle_sql()[name])
     got = q.queries()[name](spark, SF)
