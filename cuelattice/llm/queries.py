@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .chat import CHAT_SQL, TRICKY, format_chats, read_back
 from .circulant_minhash import near_duplicates
 from .common import Scratch, table
+from .conversation_repair import damage, repair
 from .cover_tree import close_vectors
 from .filter_audit import AUDIT_SQL, audit
 from .html_paths import extract
@@ -121,6 +122,12 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(docs.select("doc_id", "text", "source"), labels.select("doc_id", "quality", "toxic"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, damaged by the key of each row, with the cheapest edits that repair them."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair(damage(turns), turns)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -135,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_circulant_minhash": op9_circulant_minhash,
         "op10_pii": op10_pii,
         "op11_filter_audit": op11_filter_audit,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
