@@ -20,6 +20,7 @@ from .media import illustrated, interleave, media_facts, resolve, store_texts
 from .mixing import MIX_SQL, mix
 from .packing import pack
 from .pii import KINDS, sanitise, spelled
+from .small_world import nearest
 
 
 def vocabulary(name: str) -> str:
@@ -122,6 +123,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(docs.select("doc_id", "text", "source"), labels.select("doc_id", "quality", "toxic"))
 
 
+def op12_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every twentieth one."""
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, damaged by the key of each row, with the cheapest edits that repair them."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -142,6 +148,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_circulant_minhash": op9_circulant_minhash,
         "op10_pii": op10_pii,
         "op11_filter_audit": op11_filter_audit,
+        "op12_small_world": op12_small_world,
         "op13_conversation_repair": op13_conversation_repair,
     }
 
