@@ -71,21 +71,48 @@ def widened(df: DataFrame, edge: int) -> DataFrame:
     return df.withColumns({"s": F.col("s") - edge, "e": F.col("e") + edge})
 
 
+#: Bucket widths grow by this factor from level to level; what is longer than the last one's has one bucket for its key.
+LEVELS, GROWTH = 4, 64
+
+
+def _buckets(width: int, first: bool) -> Column:
+    """Where a row (s, e) meets the other side: structs of way (level and which side is that long), bucket, and lo, the bucket of s.
+
+    A row's level is that of the first bucket width it is no longer than, so it touches two of its buckets at most. A pair
+    meets at the greater of its two levels: a row stands on its own level for rows of that level or below, and on every
+    level above for the rows of that level.
+    """
+    length, found = F.col("e") - F.col("s"), []
+    for level in range(LEVELS):
+        size = width * GROWTH**level
+        last = level == LEVELS - 1
+        lo, hi = (F.lit(0).cast("long") if last else F.floor(F.col(c) / size).cast("long") for c in ("s", "e"))
+        own = F.lit(True) if last else length <= size
+        if level:
+            own = own & (length > width * GROWTH ** (level - 1))
+        below = length <= (width * GROWTH ** (level - 1) if level else -1)
+        mine, theirs = (1, 2) if first else (2, 1)
+        ways = F.when(own, F.array(*[F.lit(3 * level + k) for k in ((0, mine) if level else (0,))])).when(below, F.array(F.lit(3 * level + theirs))).otherwise(F.array().cast("array<int>"))
+        at = F.sequence(lo, F.greatest(lo, hi))
+        found.append(F.flatten(F.transform(ways, lambda w: F.transform(at, lambda b: F.struct(w.alias("way"), b.alias("bucket"), lo.alias("lo"))))))
+    return F.explode(F.concat(*found))
+
+
 def overlap_join(a: DataFrame, b: DataFrame, keys: Sequence[str], width: int, closed: bool = False) -> DataFrame:
     """Pairs of rows of a and b (columns s, e and b's own ones with the prefix b_) whose intervals meet.
 
-    Both sides are dealt to the time buckets of the given width that they touch, so one key's rows spread over
-    many tasks; a pair counts in the later of the two buckets in which its intervals start, and once only.
-    closed also pairs intervals that only touch.
+    Both sides are dealt to time buckets, so one key's rows spread over many tasks. width is that of the smallest buckets,
+    about the usual length; longer rows go to wider buckets, so that no row becomes many. A pair counts in the later
+    of the two buckets in which its intervals start, and once only. closed also pairs intervals that only touch.
+    Rows without s or e meet nothing.
     """
-    lo, hi = F.floor(F.col("s") / width), F.floor(F.col("e") / width)
-    left = a.withColumns({"__lo": lo, "__bucket": F.explode(F.sequence(lo, hi))})
-    right = b.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys])
-    b_lo, b_hi = F.floor(F.col("b_s") / width), F.floor(F.col("b_e") / width)
-    right = right.withColumns({"__b_lo": b_lo, "__bucket": F.explode(F.sequence(b_lo, b_hi))})
+    left = a.where("s IS NOT NULL AND e IS NOT NULL").withColumn("__at", _buckets(width, True))
+    right = b.where("s IS NOT NULL AND e IS NOT NULL").withColumn("__b_at", _buckets(width, False))
+    left = left.select(*a.columns, F.col("__at.way").alias("__way"), F.col("__at.bucket").alias("__bucket"), F.col("__at.lo").alias("__lo"))
+    right = right.select(*keys, *[F.col(c).alias(f"b_{c}") for c in b.columns if c not in keys], F.col("__b_at.way").alias("__way"), F.col("__b_at.bucket").alias("__bucket"), F.col("__b_at.lo").alias("__b_lo"))
     meets = (F.col("s") <= F.col("b_e")) & (F.col("b_s") <= F.col("e")) if closed else (F.col("s") < F.col("b_e")) & (F.col("b_s") < F.col("e"))
-    both = left.join(right, [*keys, "__bucket"])
-    return both.where(meets & (F.col("__bucket") == F.greatest("__lo", "__b_lo"))).drop("__bucket", "__lo", "__b_lo")
+    both = left.join(right, [*keys, "__way", "__bucket"])
+    return both.where(meets & (F.col("__bucket") == F.greatest("__lo", "__b_lo"))).drop("__way", "__bucket", "__lo", "__b_lo")
 
 
 def overlap_us() -> Column:

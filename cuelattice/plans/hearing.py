@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import picture, spelling, text
@@ -11,7 +12,7 @@ from ..operators import repair as rp
 from ..operators import rules as ru
 from ..operators import truth as tu
 from .adapters import CUES, HOUR, LINES, SPANS, cues, lines, spans, table, voices
-from .dialogue import _tokens, event_passes
+from .dialogue import _NORM, _tokens, event_passes
 from .solvers import PIECE, _passes
 
 K = ["key"]
@@ -116,19 +117,22 @@ def lead_times(spark, sf_dir):
 
 
 def owned_lines(spark, sf_dir):
-    """Lines of documents heard from the middle of the line before on: its last words stand first."""
-    d = lines(spark, sf_dir).where("text <> ''").select("key", F.col("number").alias("line"), F.lit(500_000).cast("long").alias("lead"), (F.col("number") % 2 * 600_000).cast("long").alias("s"), F.lit(1_500_000).cast("long").alias("e"), "text")
-    before = d.select("key", "line", F.lit(0).cast("long").alias("s"), F.lit(700_000).cast("long").alias("e"), F.array_join(F.slice(text.words(F.col("text")), 1, 2), " ").alias("text"))
-    got = pl.owned_lines(d, before, ["key", "line"], 10 * S)
-    return got
+    """Each line of a document but the first is a piece heard from the last two words of the line before on; every other one begins behind the cut."""
+    d = lines(spark, sf_dir).where("text <> ''").withColumn("last", F.lag("text").over(Window.partitionBy("key").orderBy("number"))).where("last IS NOT NULL")
+    said = text.words(F.col("last"))
+    heard = F.array_join(F.concat(F.slice(said, F.greatest(F.lit(1), F.size(said) - 1), F.lit(2)), F.array("text")), " ")
+    piece = F.col("number").alias("piece")
+    mine = d.select("key", piece, F.lit(0).alias("line"), F.lit(2 * S).cast("long").alias("lead"), (F.col("number") % 2 * 3 * S).cast("long").alias("s"), F.lit(5 * S).cast("long").alias("e"), heard.alias("text"))
+    before = d.select("key", piece, F.lit(0).alias("other"), F.lit(2 * S + 1).cast("long").alias("e"), F.col("last").alias("text"))
+    return pl.owned_lines(mine, before, ["key", "piece"])
 
 
 def cut_places(spark, sf_dir):
-    """Days of a user cut between views and the rest: how a label leans is its length less three."""
+    """Two days around a purchase cut between views and the rest: how a label leans is its length less five."""
     d = spans(spark, sf_dir)
     w = d.select("key", "s", "e", (F.length("label") - 5).cast("double").alias("lean"))
     cuts = d.where("label = 'purchase'").select("key", "id", (F.col("s") - DAY).alias("s"), (F.col("e") + DAY).alias("e"))
-    return pl.cut_places(cuts, w, K, pause_us=HOUR // 2, run_us=HOUR // 60).groupBy("key").agg(F.count("at").alias("placed"), F.count("*").alias("cuts"))
+    return pl.cut_places(cuts, w, K, pause_us=HOUR // 2, run_us=HOUR // 60).select("key", "id", "at")
 
 
 def vote_extras(spark, sf_dir):
@@ -311,6 +315,19 @@ SQL = {
     "lead_times": f"""WITH {SPANS}, {_ISLANDS.format(n='i', src="SELECT key, s, e FROM spans WHERE label = 'view'")}, p AS (SELECT key, id AS piece, s, lag(s) OVER (PARTITION BY key ORDER BY id) AS last FROM spans WHERE label = 'purchase'),
   u AS (SELECT p.key, p.piece, p.s, p.last, sum(CASE WHEN i.s IS NULL THEN 0 ELSE least(p.s, i.e) - greatest(p.s - {2 * HOUR}, i.s) END) AS us FROM p LEFT JOIN i ON i.key = p.key AND i.s < p.s AND i.e > p.s - {2 * HOUR} GROUP BY ALL)
   SELECT key, piece, CASE WHEN last IS NULL THEN 0 ELSE least(CASE WHEN us < {HOUR // 6} THEN {6 * HOUR} ELSE {2 * HOUR} END, {5 * HOUR}, s - last) END AS lead FROM u""",
+    "owned_lines": f"""WITH {LINES}, l AS (SELECT key, number, text, lag(text) OVER (PARTITION BY key ORDER BY number) AS last FROM lines WHERE text <> ''),
+  h AS (SELECT key, number AS piece, regexp_extract_all(array_to_string(list_concat(regexp_extract_all(last, '\\S+')[-2:], [text]), ' '), '\\S+') AS w, regexp_extract_all(last, '\\S+') AS o, number % 2 * 3000000 AS s, array_to_string(list_concat(regexp_extract_all(last, '\\S+')[-2:], [text]), ' ') AS text FROM l WHERE last IS NOT NULL),
+  t AS (SELECT key, piece, list_transform(w, lambda x: CASE WHEN {_NORM.format(w='x')} = '' THEN x ELSE {_NORM.format(w='x')} END) AS a, list_transform(o, lambda x: CASE WHEN {_NORM.format(w='x')} = '' THEN x ELSE {_NORM.format(w='x')} END) AS b FROM h WHERE s = 0),
+  x AS (SELECT key, piece, len(a) AS n, len(b) AS m, unnest(a) AS token, generate_subscripts(a, 1) - 1 AS i FROM t), y AS (SELECT key, piece, unnest(b) AS token, generate_subscripts(b, 1) - 1 AS j FROM t),
+  g AS (SELECT x.key, x.piece, n, m, j - i + k AS off, max(i) + 1 AS held, count(DISTINCT i) AS same, max(j) AS last FROM x JOIN y USING (key, piece, token), (VALUES (-1), (0), (1)) v(k) GROUP BY ALL),
+  f AS (SELECT key, piece, max(held) AS held FROM g WHERE (held = n OR last + 1 >= m - 1) AND same >= 0.6 * held GROUP BY key, piece),
+  r AS (SELECT h.*, CASE WHEN s = 0 THEN coalesce(held, 0) ELSE 0 END AS n, CASE WHEN s = 0 THEN greatest((5000000 * coalesce(held, 0)) // greatest(len(w), 1), 2000000) - 2000000 ELSE 1000000 END AS begins FROM h LEFT JOIN f USING (key, piece))
+  SELECT key, piece, 0 AS line, CAST(begins AS BIGINT) AS s, CAST(greatest(begins, 3000000) AS BIGINT) AS e, CASE WHEN n > 0 THEN array_to_string(w[n + 1:], ' ') ELSE text END AS text FROM r WHERE s > 0 OR n < len(w)""",
+    "cut_places": f"""WITH {SPANS}, d AS (SELECT key, s, e, length(label) - 5 AS lean FROM spans),
+  r AS (SELECT key, e, sum(CASE WHEN e - s >= {HOUR // 60} THEN lean * (e - s) / 1e6 ELSE 0 END) OVER (o ROWS UNBOUNDED PRECEDING) AS upto, lead(s) OVER o AS nxt FROM d WINDOW o AS (PARTITION BY key ORDER BY s, e, lean)),
+  p AS (SELECT key, e AS s, nxt AS e, upto FROM r WHERE nxt - e >= {HOUR // 2}), c AS (SELECT key, id, s - {DAY} AS s, e + {DAY} AS e FROM spans WHERE label = 'purchase'),
+  j AS (SELECT c.key, c.id, (p.s + p.e) // 2 AS at, row_number() OVER (PARTITION BY c.key, c.id ORDER BY round(upto, 6) DESC, p.e - p.s DESC, p.s) AS k FROM c JOIN p ON p.key = c.key AND p.s < c.e AND c.s < p.e)
+  SELECT c.key, c.id, j.at FROM c LEFT JOIN j ON j.key = c.key AND j.id = c.id AND k = 1""",
     "truth_matches": f"WITH {SPANS} SELECT key, id, id + 1000000 AS heard_id FROM spans WHERE id % 8 <> 3",
     "silence_words": f"""WITH {SPANS}, w AS (SELECT key, id, (s + e) // 2 AS m FROM spans WHERE label = 'error')
   SELECT key, id FROM w WHERE NOT EXISTS (SELECT 1 FROM spans o WHERE o.key = w.key AND o.label <> 'error' AND ((o.s <= m AND o.e >= m - {HOUR // 4}) OR (o.s > m AND o.s <= m + {HOUR // 4})))""",

@@ -20,12 +20,26 @@ def test_numbers_as_they_are_spoken(spark):
 def test_words_held_by_the_piece_before(spark):
     lines = [(1, 0, 2 * S, S, 4 * S, "one two three four five six"), (1, 1, 2 * S, 5 * S, 6 * S, "after the cut"), (1, 2, 2 * S, S, 3 * S, "held whole"), (1, 3, 2 * S, 0, S, "before it")]
     d = spark.createDataFrame(lines, "key long, line long, lead long, s long, e long, text string")
-    before = spark.createDataFrame([(1, 0, 3 * S, "zero one two three"), (1, S, 3 * S, "held whole")], "key long, s long, e long, text string")
-    got = {r.line: (r.s, r.e, r.text) for r in pl.owned_lines(d, before, ["key"], 60 * S).collect()}
+    before = spark.createDataFrame([(1, 0, 3 * S, "zero one two three"), (1, 1, 3 * S, "held whole")], "key long, other long, e long, text string")
+    got = {r.line: (r.s, r.e, r.text) for r in pl.owned_lines(d, before, ["key"]).collect()}
     # three of six words are gone: the line starts in its middle, half a second behind the cut
     assert got == {0: (S // 2, 2 * S, "four five six"), 1: (3 * S, 4 * S, "after the cut")}
 
 
+def test_what_a_line_before_holds(spark):
+    def held(mine, other, end=9):
+        a = spark.createDataFrame([(1, 0, 5, mine.split())], "key long, line long, s long, t array<string>")
+        b = spark.createDataFrame([(1, 0, end, other.split())], "key long, other long, e long, t array<string>")
+        return [r.held for r in pl.held_words(a, b, ["key"]).collect()]
+
+    assert held("a b c d e", "x y a b c") == [3]
+    assert held("a b c d e", "x a c") == [3] and held("a c d e", "x a b c") == [2]  # a word is missing on one side
+    assert held("a b c d e", "a b c x y z") == []  # it goes on elsewhere
+    assert held("a b", "x a b y y y y") == [2]  # the whole line
+    assert held("a b c d e", "x y a b c q") == [3] and held("a b c", "x y", 9) == []
+    assert held("a b c", "a b c", 5) == []  # it ended before the line began
+
+
 def test_cuts_go_where_voices_part(spark):
     # three words of one voice, two of another; the widest pause is elsewhere
     rows = [(1, k * S, k * S + w, lean) for k, (w, lean) in enumerate([(600_000, 0.5), (400_000, 0.4), (600_000, 0.6), (700_000, -0.5), (700_000, -0.4)])]
