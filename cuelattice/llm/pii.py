@@ -38,6 +38,8 @@ SUPPORT, CHANCE = 2.0, 1e-4
 GENERALISE, REMOVE = 0.9, 0.99
 #: Revealing terms that go to every task: 16 MB of hashes and shares. More are joined.
 HELD = 1_000_000
+#: A text whose entities and terms make more pairs is dealt out in blocks of so many terms.
+PAIRS, TERMS = 1 << 20, 512
 #: Words of 64 bits, as a power of two, of the filter that thins out what is joined: 32 MB at most.
 FILTER = 22
 #: Different terms that a task counts before it passes them on.
@@ -204,11 +206,19 @@ def revealing_terms(docs: DataFrame, scratch: Scratch, support: float = SUPPORT,
     own = facts.where("k1 is not null").groupBy("k1", "k2").agg(F.count("*").alias("copies"), F.first("mark").alias("mark"), F.first("entities").alias("entities"), F.first("terms").alias("terms"))
     holders = scratch.write(own, "holders")
     met = holders.select("k1", "k2", "copies", F.explode("entities").alias("entity"))
-    entities = met.groupBy("entity").agg(F.sum("copies").alias("with_entity"), F.count("*").alias("texts"))
-    # an entity of a single text can't be told from any other by what stands with it
-    entities = scratch.write(entities.where("texts > 1").select("entity", "with_entity"), "entities")
-    again = scratch.write(met.join(small(entities.select("entity"), 16), "entity").groupBy("k1", "k2").agg(F.collect_list("entity").alias("known")), "again")
-    pairs = holders.select("k1", "k2", "copies", "mark", "terms").join(again, ["k1", "k2"])
+    first, second = F.xxhash64("k1", "k2"), F.xxhash64("k2", "k1")
+    entities = met.groupBy("entity").agg(F.sum("copies").alias("with_entity"), F.count("*").alias("texts"), F.bit_xor(first).alias("b1"), F.bit_xor(second).alias("b2"))
+    # an entity of a single text can't be told from any other by what stands with it; those that stand in the same texts count alike and go on as one
+    entities = scratch.write(entities.where("texts > 1").select(F.col("entity").alias("name"), F.xxhash64("b1", "b2", "texts").alias("entity"), "with_entity"), "entities")
+    named = met.withColumnRenamed("entity", "name").join(small(entities.select("name", "entity"), 24), "name")
+    again = scratch.write(named.groupBy("k1", "k2").agg(F.collect_set("entity").alias("known")), "again")
+    entities = entities.select("entity", "with_entity").distinct()
+    held = holders.select("k1", "k2", "copies", "mark", "terms").join(again, ["k1", "k2"])
+    # a text of many entities and terms is dealt out in blocks of terms before they are paired
+    large = F.size("known").cast("long") * F.size("terms") > PAIRS
+    starts = F.sequence(F.lit(1), F.greatest(F.size("terms"), F.lit(1)), F.lit(TERMS))
+    blocks = held.where(large).withColumn("at", F.explode(starts)).repartition("k1", "k2", "at").withColumn("terms", F.slice("terms", F.col("at"), F.lit(TERMS))).drop("at")
+    pairs = held.where(~large).unionByName(blocks)
     pairs = pairs.select("copies", "mark", F.explode("known").alias("entity"), "terms").select("copies", "mark", "entity", F.explode("terms").alias("term"))
     by_mark = pairs.groupBy("entity", "term", "mark").agg(F.sum("copies").alias("both"), F.count("*").cast("double").alias("n"))
     both = by_mark.groupBy("entity", "term").agg(F.sum("both").alias("both"), (F.sum("n") * F.sum("n") / F.sum(F.col("n") * F.col("n"))).alias("support"))

@@ -1,6 +1,7 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -115,6 +116,33 @@ def test_terms_equal_plain_counting(spark):
     assert all(abs(got[t] - want[t]) < 1e-9 for t in want)
 
 
+def test_texts_of_many_entities_and_terms(spark):
+    # two texts with one long list of addresses, and texts that name a few of them
+    def rows(entities, terms, own):
+        names, body = [f"n{i}@corp.example" for i in range(entities)], [f"t{i}x" for i in range(terms)]
+        out = [(i, " ".join([f"o{i}w{k}" for k in range(own)] + names + body), "en", "a", 0) for i in range(2)]
+        out += [(10 + 3 * i + c, f"{names[i]} {names[i + 1]} t{i}x Word{i} {prose(3 * i + c, 9)}", "en", "a", 0) for i in range(40) for c in range(3)]
+        return out + [(1000 + i, prose(i, 20), "en", "a", 0) for i in range(60)]
+
+    some = rows(45, 60, 60)
+    got = {x.term: x.share for x in revealing_terms(spark.createDataFrame(some, DOCS), Scratch(spark, "test")).collect()}
+    want = _shares([t for _, t, *_ in some])
+    assert want and want.keys() == got.keys() and all(abs(got[t] - want[t]) < 1e-9 for t in want)
+    began = time.time()
+    revealing_terms(spark.createDataFrame(rows(3000, 60_000, 9), DOCS), Scratch(spark, "test")).count()
+    assert time.time() - began < 60  # 180 million pairs if entities of the same texts were not one
+
+
+def test_blocks_of_terms_change_nothing(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(i, f"{prose(i, 40)} p{i % 5}@corp.example Name{i % 5} {prose(r.randrange(9), 9)}", "en", "a", 0) for i in range(80)]
+    d = spark.createDataFrame(rows, DOCS)
+    whole = {x.term: x.share for x in revealing_terms(d, Scratch(spark, "test")).collect()}
+    for name, value in (("PAIRS", 0), ("TERMS", 7)):
+        monkeypatch.setattr(f"cuelattice.llm.pii.{name}", value)
+    assert {x.term: x.share for x in revealing_terms(d, Scratch(spark, "test")).collect()} == whole != {}
+
+
 def test_places_of_long_texts():
     # blocks of hashes and code points meet in the middle of runs and of characters
     text = "é" * 300_000 + " a@b.co " + "x" * 700_000 + " 你好 tail"
