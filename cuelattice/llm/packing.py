@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
+from .common import bounded_batches, small
 
 #: Documents of a shard on average. Fewer lose more at the ends; more take longer in one task.
 SHARD_DOCS = 12_000
@@ -161,16 +161,21 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most: int = 1024
 
     A null text counts as empty and gives one piece, the end mark. Ids may repeat or be null: each row is
     packed. Rows are dealt to shards by a hash of id and text, so that reruns agree however files are split, and
-    the number of shards grows with the documents; a shard holds a few numbers a row. Only if equal rows would
-    fill more than a quarter of a shard they are salted by their place. Other columns are ignored.
+    the number of shards grows with the documents; a shard holds a few numbers a row. Equal rows are told apart by their
+    number among themselves, so that many of them are dealt to many shards. Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    own = F.xxhash64("doc_id", "text")
-    n, repeated = d.groupBy(own.alias("own")).count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("own", F.xxhash64("doc_id", "text"))
+    counts = d.groupBy("own").count()
+    n, repeated = counts.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count_if(F.col("count") > 1)).first()
     shards = max(1, -(-n // shard_docs))
-    if 4 * repeated > shard_docs:
-        own = F.xxhash64(own, F.monotonically_increasing_id())
+    d = d.withColumn("copy", F.lit(1).cast("long"))
+    if repeated:  # equal rows are counted and made anew, each with its number
+        again = small(counts.where("count > 1").select("own"), 8, repeated)
+        same = d.join(again, "own", "left_semi").groupBy("own", "doc_id", "text").count()
+        same = same.select("doc_id", "text", "own", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))).alias("copy"))
+        d = d.join(again, "own", "left_anti").select("doc_id", "text", "own", "copy").unionByName(same)
+    own = F.when(F.col("copy") == 1, F.col("own")).otherwise(F.xxhash64("own", "copy"))
     columns = _PIECES + (", ids array<int>" if with_ids else "")
     pieces = d.select(F.pmod(own, F.lit(shards)).cast("long").alias("shard"), "doc_id", "text").mapInArrow(_pieces(tokenizer_path, end_id, most, with_ids), columns)
     kept = columns.removeprefix("shard long, ")

@@ -93,6 +93,16 @@ def test_sequences_do_not_hang_on_the_split(spark):
     assert len(got) == 400 and len({r.sequence_id >> 40 for r in got}) == 4
 
 
+@pytest.mark.parametrize("same", [350, 40])
+def test_equal_rows_leave_the_others_where_they_are(spark, same):
+    rows = [(1, "the same row " * 20, "en", "a", 0)] * same + [(i, prose(i, 30 + i), "en", "a", 0) for i in range(2, 52)]
+    got = []
+    for n in (3, 7):
+        d = spark.createDataFrame(rows, DOCS).repartition(n)
+        got.append(sorted(tuple(r) for r in pack(d, PATH, shard_docs=100).collect()))
+    assert got[0] == got[1] and sum(r[0] == 1 for r in got[0]) == same
+
+
 def test_few_sequences(spark):
     rows = [(i, prose(i, 5 + i * 37 % 400), "en", "a", 0) for i in range(600)]
     got = pack(spark.createDataFrame(rows, DOCS), PATH)
