@@ -15,31 +15,39 @@ from .intervals import overlap_join
 def matched(a: Sequence[str], b: Sequence[str], at: np.ndarray, there: np.ndarray, cap: float = 60.0) -> list[tuple[int, int]]:
     """Places of equal words matched in order: as many as can be, and of such matchings the one closest in time.
 
-    All closeness together weighs less than one word. The table is made row by row; what is kept of it is one
-    byte a cell: whether the cell's value comes from a match, from above or from the left.
+    A chain of pairs is worth one whole number: a unit for each pair, less the microseconds (cap at most) that its words
+    are apart; a unit is more than all of that together. For each beginning of b the best chain into it is kept by its
+    last pair. Only pairs of equal words that make a chain better are stored, each with the pair before it.
     """
-    n, m = len(a), len(b)
-    if not n or not m:
-        return []
-    cost = 0.5 / (min(n, m) + 1) / cap
-    number = {t: k for k, t in enumerate({*a, *b} - {""}, 1)}
-    left, right = (np.array([number.get(t, 0) for t in x]) for x in (a, b))
-    above, came = np.zeros(m + 1), np.zeros((n, m), np.int8)
-    for i in range(n):
-        gain = np.where((right == left[i]) & (left[i] > 0), 1.0 - cost * np.minimum(np.abs(at[i] - there), cap), -np.inf)
-        hit = above[:-1] + gain
-        row = np.maximum.accumulate(np.concatenate(([0.0], np.maximum(above[1:], hit))))
-        came[i] = np.where(np.abs(row[1:] - hit) < 1e-9, 2, np.where(above[1:] >= row[:-1], 1, 0))
-        above = row
-    out, i, j = [], n - 1, m - 1
-    while i >= 0 and j >= 0:
-        if came[i, j] == 2:
-            out.append((i, j))
-            i, j = i - 1, j - 1
-        elif came[i, j] == 1:
-            i -= 1
-        else:
-            j -= 1
+    furthest = int(cap * 1e6)
+    unit = furthest * (min(len(a), len(b)) + 1)
+    places: dict[str, list[int]] = {}
+    for j, token in enumerate(b):
+        if token:
+            places.setdefault(token, []).append(j)
+    where = {token: np.array(js) for token, js in places.items()}
+    mine, theirs = (np.round(np.asarray(x, float) * 1e6).astype(np.int64) for x in (at, there))
+    worth, last = np.zeros(len(b) + 1, np.int64), np.full(len(b) + 1, -1)
+    pairs: list[tuple[int, int, int]] = []
+    order = np.arange(len(b) + 1)
+    for i, token in enumerate(a):
+        if (js := where.get(token)) is None:
+            continue
+        value = worth[js] + unit - np.minimum(np.abs(mine[i] - theirs[js]), furthest)
+        better = value > worth[js + 1]
+        if not better.any():
+            continue
+        js, value = js[better], value[better]
+        number = len(pairs) + np.arange(len(js))
+        pairs.extend(zip([i] * len(js), js.tolist(), last[js].tolist(), strict=True))
+        worth[js + 1], last[js + 1] = value, number
+        best = np.maximum.accumulate(worth)
+        last = last[np.maximum.accumulate(np.where(worth == best, order, 0))]
+        worth = best
+    out, k = [], int(last[-1])
+    while k >= 0:
+        i, j, k = pairs[k]
+        out.append((i, j))
     return out[::-1]
 
 
