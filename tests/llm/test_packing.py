@@ -5,7 +5,7 @@ from functools import cache
 import numpy as np
 import pytest
 
-from cuelattice.llm.packing import Ids, cut, pack, sum_of_squares
+from cuelattice.llm.packing import _ODD, Ids, cut, odd, pack, sum_of_squares
 from cuelattice.llm.queries import vocabulary
 
 from .common import DOCS, edges, empty, prose
@@ -93,6 +93,13 @@ def test_sequences_do_not_hang_on_the_split(spark):
     assert len(got) == 400 and len({r.sequence_id >> 40 for r in got}) == 4
 
 
+def test_odd_texts_are_those_of_the_pattern():
+    r = random.Random(1)
+    for _ in range(3000):
+        t = "".join(r.choice("ab \n\t\x00\x7f\x1f~!é\xa0\xad\u0180€") if r.random() < 0.3 else "x" for _ in range(r.randrange(12)))
+        assert odd(t) == bool(_ODD.search(t)), repr(t)
+
+
 @pytest.mark.parametrize("same", [350, 40])
 def test_equal_rows_leave_the_others_where_they_are(spark, same):
     rows = [(1, "the same row " * 20, "en", "a", 0)] * same + [(i, prose(i, 30 + i), "en", "a", 0) for i in range(2, 52)]
