@@ -23,8 +23,16 @@ from .markup import BLOCK, VOID, Stack, attributes, tokens
 OUT_TAGS = frozenset("nav footer aside form script style noscript template iframe object svg canvas button select option textarea dialog menu head title audio video map search".split())
 #: Roles that hold none.
 OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
-#: Parts of a class or id that stand for no main text wherever they are in the name.
+#: Parts of a class or id that stand for no main text as the whole name, behind other parts, or before parts of FRAME only.
 OUT_PARTS = frozenset("ad ads advert adverts advertisement advertisements advertising breadcrumb breadcrumbs comments disqus gdpr login masthead nav navbar navigation newsletter pager pagination popup sidebar signup skip sponsored tagcloud toolbar widget widgets".split())
+#: Parts that name a place or a frame and say nothing of what is in it.
+FRAME = frozenset("area bar block body bottom box button buttons center col column container content desktop footer form frame group head header holder inner item items label large left link links list main menu mobile module outer panel primary right row secondary section slot small space text title to top unit wide wrap wrapper zone".split())
+#: Parts before which a name goes on to speak of something: what stands behind them names no frame.
+_OF = frozenset("a about against and for from how in of on or the to versus vs with".split())
+#: Names of lists of readers' answers, on elements that hold others.
+REPLIES = frozenset("replies reply".split())
+#: Elements of running text: their names say what they tell unless the whole name is one of a frame.
+_TELLING = frozenset("p blockquote pre q cite em strong b i h1 h2 h3 h4 h5 h6 dd dt td".split())
 #: Names that do so as a whole.
 OUT_NAMES = frozenset("alert banner comment complementary consent contentinfo cookie cookies copyright footer hidden menu menus modal notice notices overlay promo promotion recommended related respond search share sharing social sponsor subscribe subscription topbar".split())
 #: Pairs of neighbouring parts that do so.
@@ -44,14 +52,23 @@ def host_of(url: str | None) -> str:
     return m[1].lower().removeprefix("www.") if m else ""
 
 
-def _verdict(names: list[str]) -> str:
+def _framed(parts: list[str], telling: bool) -> bool:
+    """Whether a name holds a part of OUT_PARTS as what it stands for: alone or before parts of FRAME, and not behind words that make it a subject."""
+    for k, part in enumerate(parts):
+        if part in OUT_PARTS and all(p in FRAME or p in OUT_PARTS for p in parts[k + 1 :]):
+            before = parts[:k]
+            return not before or not telling and not _OF & set(before)
+    return False
+
+
+def _verdict(names: list[str], tag: str = "div") -> str:
     """"out" where a class or id stands for no main text, "links" where it does if it holds mostly links, else nothing."""
-    found = ""
+    found, telling = "", tag in _TELLING
     for name in names:
         if re.match(r"(has|with|no|without|is)[-_]", name):
             continue
         parts = [w.lower() for w in _WORD.findall(name)]
-        if len(parts) == 1 and parts[0] in OUT_NAMES or OUT_PARTS & set(parts) or any(p in OUT_PAIRS for p in zip(parts, parts[1:], strict=False)):
+        if len(parts) == 1 and (parts[0] in OUT_NAMES or parts[0] in REPLIES and not telling) or _framed(parts, telling) or any(p in OUT_PAIRS for p in zip(parts, parts[1:], strict=False)):
             return "out"
         if LINK_PARTS & set(parts):
             found = "links"
@@ -82,10 +99,10 @@ class Doubtful:
 class _Open:
     """What holds inside an open element."""
 
-    __slots__ = ("container", "out", "soft", "link", "heading", "doubtful")
+    __slots__ = ("container", "out", "soft", "link", "heading", "doubtful", "title")
 
-    def __init__(self, container, out=False, soft=False, link=False, heading=False, doubtful=None):
-        self.container, self.out, self.soft, self.link, self.heading, self.doubtful = container, out, soft, link, heading, doubtful
+    def __init__(self, container, out=False, soft=False, link=False, heading=False, doubtful=None, title=False):
+        self.container, self.out, self.soft, self.link, self.heading, self.doubtful, self.title = container, out, soft, link, heading, doubtful, title
 
 
 def _inside(up: _Open, name: str, text: str) -> _Open:
@@ -96,7 +113,7 @@ def _inside(up: _Open, name: str, text: str) -> _Open:
     names = [*a.get("class", "").split(), *a.get("id", "").split()]
     words = {w.lower() for n in names for w in _WORD.findall(n)}
     if name not in ("html", "body"):
-        said = _verdict(names)
+        said = _verdict(names, name)
         out = out or said == "out" or a.get("role", "") in OUT_ROLES or "hidden" in a or a.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", a.get("style", "")))
         if said == "links":
             doubtful = Doubtful(doubtful)
@@ -112,29 +129,32 @@ def _inside(up: _Open, name: str, text: str) -> _Open:
         step = f"{name}.{classes}" if classes else name
         main = name in _MAIN or a.get("role") == "main" or a.get("itemprop") == "articleBody"
         container = Container(f"{container.path}/{step}" if container else step, container, main)
-    return _Open(container, out, soft, up.link or name == "a", up.heading or name in _HEADINGS, doubtful)
+    return _Open(container, out, soft, up.link or name == "a", up.heading or name in _HEADINGS, doubtful, up.title or name == "h1")
+
 
+Block = tuple[str, Container, int, bool]
 
-def blocks(html: str) -> list[tuple[str, Container, int]]:
-    """(text, innermost container, characters in links) of each block of text that may be part of the main text."""
+
+def blocks(html: str) -> list[Block]:
+    """(text, innermost container, characters in links, whether it is a heading of the first kind) of each block of text that may be part of the main text."""
     found = []
-    for line, container, linked, doubtful in _all_blocks(html):
-        found.append((line, container, linked, doubtful))
+    for line, container, linked, title, doubtful in _all_blocks(html):
+        found.append((line, container, linked, title, doubtful))
         while doubtful is not None:
             doubtful.chars, doubtful.linked, doubtful = doubtful.chars + len(line), doubtful.linked + linked, doubtful.parent
-    return [b[:3] for b in found if b[3] is None or not b[3].out()]
+    return [b[:4] for b in found if b[4] is None or not b[4].out()]
 
 
-def _all_blocks(html: str) -> Iterator[tuple[str, Container, int, Doubtful | None]]:
+def _all_blocks(html: str) -> Iterator[tuple[str, Container, int, bool, Doubtful | None]]:
     stack, root = Stack(), Container("", None, False)
     base = _Open(root)
     parts: list[str] = []
-    holder, linked, doubtful = root, 0, None
+    holder, linked, title, doubtful = root, 0, False, None
 
     def flush():
         nonlocal parts, linked
         line = " ".join(entities.unescape("".join(parts)).split()) if parts else ""
-        found = (line, holder, min(linked, len(line)), doubtful)
+        found = (line, holder, min(linked, len(line)), title, doubtful)
         parts, linked = [], 0
         return found
 
@@ -144,7 +164,7 @@ def _all_blocks(html: str) -> Iterator[tuple[str, Container, int, Doubtful | Non
             if now.out or now.soft and not now.heading:
                 continue
             if not parts:
-                holder, doubtful = now.container, now.doubtful
+                holder, doubtful, title = now.container, now.doubtful, now.title
             parts.append(text)
             if now.link:
                 linked += len(text)
@@ -175,13 +195,13 @@ def _of(container: Container, path: str) -> bool:
     return False
 
 
-def scores(found: list[tuple[str, Container, int]]) -> dict[str, float]:
+def scores(found: list[Block]) -> dict[str, float]:
     """The score of each path: text outside links, half of it for the next container outwards, and so on.
 
     What stands in an article or main element counts for the outermost such element.
     """
     total: dict[str, float] = {}
-    for line, container, linked in found:
+    for line, container, linked, _ in found:
         share = float(max(0, len(line) - 2 * linked))
         main, c = None, container
         while c is not None:
@@ -204,17 +224,17 @@ def _tells(line: str, linked: int) -> bool:
     return 3 * linked < len(line) and len(line) >= 40 and bool(_SENTENCE.search(line))
 
 
-def lifted(found: list[tuple[str, Container, int]], path: str) -> str:
+def lifted(found: list[Block], path: str) -> str:
     """The path, or one further out, as long as the step outwards gains more text in sentences than links and scraps.
 
     A block in sentences has 40 characters or more and ends like one.
     """
     while True:
-        up = {at.parent.path for _, c, _ in found if (at := _within(c, path)) is not None and at.parent is not None}
+        up = {at.parent.path for _, c, *_ in found if (at := _within(c, path)) is not None and at.parent is not None}
         if len(up) != 1 or not (outer := up.pop()):
             return path
         told = scraps = 0
-        for line, c, linked in found:
+        for line, c, linked, _ in found:
             if _of(c, outer) and not _of(c, path):
                 if _tells(line, linked):
                     told += len(line) - linked
@@ -231,12 +251,26 @@ def _within(container: Container, path: str) -> Container | None:
     return container
 
 
-def own_path(found: list[tuple[str, Container, int]]) -> str | None:
+def own_path(found: list[Block]) -> str | None:
     """The page's own best path."""
     path = best(scores(found))
     return lifted(found, path) if path is not None else None
 
 
+def _title(found: list[Block], path: str | None) -> list[str]:
+    """The page's one heading of the first kind, where it stands before the path's text in an element around it; none if that is marked as the article."""
+    titles = [k for k, b in enumerate(found) if b[3]]
+    first = next((k for k, b in enumerate(found) if path is not None and _of(b[1], path)), None)
+    if len(titles) != 1 or first is None or titles[0] >= first:
+        return []
+    line, container, linked, _ = found[titles[0]]
+    inner = found[first][1]
+    while inner is not None and not inner.main:
+        inner = inner.parent
+    around = path == container.path or path.startswith(f"{container.path}/")
+    return [line] if inner is None and around and not linked else []
+
+
 def main_text(html: str | None, path: str | None) -> tuple[str, str | None]:
     """The page's main text and the path that it was taken from.
 
@@ -250,7 +284,7 @@ def main_text(html: str | None, path: str | None) -> tuple[str, str | None]:
     told = lambda p: sum(len(b[0]) for b in found if p is not None and _of(b[1], p) and _tells(b[0], b[2]))
     if mine != path and (not given or 2 * told(path) < told(mine)):
         given, path = taken(mine), mine
-    return "\n".join(given), path if given else None
+    return "\n".join([*_title(found, path), *given]), path if given else None
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,27 @@ def test_only_what_the_contract_names_is_left_out():
         assert text(f"<article><p>Before it.</p>{inside} no </{end}><p>Behind it.</p></article>") == "Before it.\nBehind it.", inside
 
 
+def test_names_that_speak_of_something_stay():
+    for inside in ("p.comments-on-law", "div.widget-maker", "p.ad-hoc", "p.navigation-history", "div.login-story", "p.sponsored-bill", "p.skip-level", "p.about-advertising", "div.history-of-the-pager", "p.town-sidebar-story"):
+        tag, name = inside.split(".")
+        page = f"<article><p>Before it.</p><{tag} class={name}>What stands in here stays.</{tag}><p>Behind it.</p></article>"
+        assert text(page) == "Before it.\nWhat stands in here stays.\nBehind it.", inside
+    for inside in ("div.reply", "ul.replies", "div.left-sidebar", "div.ad-slot-top", "div.sidebar-inner", "div.newsletter-signup-box", "div.site-comments", "p.ad", "p.skip-link", "div.widget_text", "nav.x", "div.nav-links"):
+        tag, name = inside.split(".")
+        assert text(f"<article><p>Before it.</p><{tag} class={name}>no, not this</{tag}><p>Behind it.</p></article>") == "Before it.\nBehind it.", inside
+
+
+def test_a_heading_beside_the_text():
+    story = "A sentence that is long enough to count as one here. "
+    page = "<body><div class=top><a href=/>Home</a></div>{0}<div class=content><p>{1}</p></div></body>"
+    assert text(page.format("<h1>The heading</h1>", story * 3)) == f"The heading\n{(story * 3).strip()}"
+    assert text(page.format("<header><h1>The site</h1></header>", story * 3)) == (story * 3).strip()
+    assert text(page.format("<h1><a href=/>The site</a></h1>", story * 3)) == (story * 3).strip()
+    assert text(page.format("<h1>One</h1><h1>Two</h1>", story * 3)) == (story * 3).strip()
+    assert text(f"<body><h1>The site</h1><article><h1>Head</h1><p>{story}</p></article></body>") == f"Head\n{story.strip()}"
+    assert text(f"<body><h1>The site</h1><article><h2>Head</h2><p>{story}</p></article></body>") == f"Head\n{story.strip()}"
+
+
 def test_text_outside_the_best_container():
     story = "A sentence that is long enough to count as one here. "
     page = f"<body><div class=top><a href=/>Home</a> <a href=/n>News of today</a></div><div id=content><div class=intro>{story * 2}</div><div class=body>{story * 9}</div><div class=last>{story * 5}</div></div><div class=bottom>Terms and so on</div></body>"
