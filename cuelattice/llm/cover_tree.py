@@ -177,8 +177,19 @@ def _net(radius: float):
     return run
 
 
+#: Rows of a node that meet its centres in one task, where the centres of all nodes are too many to be sent around.
+PART = 16_384
+
+
+def _nearest(x: np.ndarray, centres: np.ndarray, node: str) -> tuple[list[str], np.ndarray]:
+    """The child of the node that each vector goes to, and its distance from that child's centre."""
+    dots = x @ centres.T
+    k = dots.argmax(1)
+    return [f"{node}/{i}" for i in k], _distance(dots[np.arange(len(x)), k])
+
+
 def _assign(sent):
-    """The nearest centre of each vector, and its distance. sent holds the centres of nodes, or None: they come with the rows."""
+    """The nearest centre of each vector, and its distance. sent holds the centres of nodes."""
 
     def run(batches):
         for batch in batches:
@@ -186,21 +197,20 @@ def _assign(sent):
             name, far = node.copy(), np.full(len(node), np.nan)
             for own in np.unique(node.astype(str)):
                 rows = np.flatnonzero(node == own)
-                if sent is None:
-                    given = batch.column(4)[int(rows[0])].as_py()
-                    centres = unit(np.array(given, np.float64)) if given else None
-                else:
-                    centres = sent.value.get(own)
-                if centres is not None:
-                    dots = _vectors(vec.take(pa.array(rows))) @ centres.T
-                    k = dots.argmax(1)
-                    name[rows] = [f"{own}/{i}" for i in k]
-                    far[rows] = _distance(dots[np.arange(len(rows)), k])
+                if (centres := sent.value.get(own)) is not None:
+                    name[rows], far[rows] = _nearest(_vectors(vec.take(pa.array(rows))), centres, own)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(name, pa.string()), vec, batch.column(3), pa.array(node, pa.string()), pa.array(far, pa.float64(), mask=np.isnan(far))], names=["cid", "node", "vec", "m", "parent", "far"])
 
     return run
 
 
+def _assign_part(rows: pa.Table, centres: pa.Table) -> pa.Table:
+    """As _assign, for some rows of one node and its centres, which are there once."""
+    own = rows["node"][0].as_py()
+    name, far = _nearest(_vectors(rows["vec"]), unit(np.array(centres["centres"][0].as_py(), np.float64)), own)
+    return pa.table([rows["cid"], pa.array(name, pa.string()), rows["vec"], rows["m"], rows["node"], pa.array(far, pa.float64())], names=["cid", "node", "vec", "m", "parent", "far"])
+
+
 def _upper(classes: DataFrame, scratch: Scratch, cosine: float, leaf: int) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): the leaf of each class, and the pairs of leaves that the traversal leaves."""
     members = classes
@@ -222,8 +232,12 @@ def _upper(classes: DataFrame, scratch: Scratch, cosine: float, leaf: int) -> tu
             of = {r["node"]: unit(np.array(r["centres"], np.float64)) for r in centres.collect()}
             moved = members.mapInArrow(_assign(members.sparkSession.sparkContext.broadcast(of)), ddl)
         else:
-            held = members.join(centres, "node", "left").select("cid", "node", "vec", "m", "centres")
-            moved = held.mapInArrow(_assign(None), ddl)
+            parts = large.select("node", F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+            held = members.join(parts, "node").withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int")).select("cid", "node", "vec", "m", "part")
+            given = centres.join(parts, "node").select("node", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "centres")
+            moved = held.groupBy("node", "part").cogroup(given.groupBy("node", "part")).applyInArrow(_assign_part, ddl)
+            whole = members.join(parts, "node", "left_anti")
+            moved = moved.unionByName(whole.select(*members.columns, F.col("node").alias("parent"), F.lit(None).cast("double").alias("far")))
         moved = scratch.write(moved, "members")
         # a node that was not split has neither centre nor radius; its pairs stay as they are
         nodes = moved.groupBy("node", "parent").agg(F.max("far").alias("radius"))

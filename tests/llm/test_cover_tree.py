@@ -45,6 +45,15 @@ def test_equals_brute_force(spark, leaf):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
+def test_centres_that_are_not_sent_around(spark, monkeypatch):
+    # parts of a node meet its centres once each; the links are the same
+    monkeypatch.setattr("cuelattice.llm.cover_tree.BROADCAST_BYTES", 0)
+    monkeypatch.setattr("cuelattice.llm.cover_tree.PART", 16)
+    rows = [(i, v.tolist(), int(i % 5 == 0)) for i, v in enumerate(_data(2, 260))]
+    got = close_vectors(spark.createDataFrame(rows, VECS), leaf=20).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == _brute(rows)
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     from pyspark.sql import functions as F
 
