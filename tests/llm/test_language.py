@@ -1,9 +1,11 @@
+import math
 import random
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from cuelattice.llm.language import UNKNOWN, fit, fused, identify
+from cuelattice.llm import language as lg
+from cuelattice.llm.language import UNKNOWN, fit, fused, identify, trigrams
 
 from .common import DOCS, edges, empty
 
@@ -59,6 +61,53 @@ def test_columns_of_any_name_stay(spark):
     assert all(r["__x"] == "my __x" and r.host_counts == "my host_counts" and r.language == r.lang for r in got.collect())
 
 
+def _softmax(log):
+    top = max(log)
+    each = [math.exp(x - top) for x in log]
+    return [x / sum(each) for x in each]
+
+
+def _plain(model, rows):
+    """(language, posterior) of each row (text, host, domain, declared, suffix), from the definition, row by row."""
+    names, k = list(model.languages), len(model.languages) + 1
+    flat = [(1 - lg.UNKNOWN_PRIOR) / (k - 1)] * (k - 1) + [lg.UNKNOWN_PRIOR]
+    logs, shares = [], []
+    for text, _, _, declared, suffix in rows:
+        log = [0.0] * k
+        for gram in trigrams(text or ""):
+            log = [a + lg.TEMPER * float(b) for a, b in zip(log, model.table[gram])]
+        for said, right in ((declared.split("-")[0].lower() if declared else None, lg.DECLARED), (lg.SUFFIXES.get(suffix), lg.SUFFIX)):
+            if said in names:
+                log = [a + math.log(right if c == names.index(said) else 1 / (k - 1) if c == k - 1 else (1 - right) / (k - 1)) for c, a in enumerate(log)]
+        logs.append(log)
+        shares.append([round(1000 * p) / 1000 for p in _softmax([a + math.log(f) for a, f in zip(log, flat)])])
+    letters = [len(trigrams(r[0] or "")) > 0 for r in rows]
+    out = []
+    for i, (_, host, domain, _, _) in enumerate(rows):
+        prior = flat
+        for of in (lambda r: True, lambda r: domain and r[2] == domain, lambda r: host and (r[2] or "", r[1]) == (domain or "", host)):
+            # the evidence of all other rows of the level; a row without letters has none
+            seen = [sum(shares[j][c] for j, r in enumerate(rows) if j != i and letters[j] and of(r)) for c in range(k)]
+            prior = [(s + lg.BORROW * p) / (sum(seen) + lg.BORROW) for s, p in zip(seen, prior)]
+        p = _softmax([a + math.log(b) for a, b in zip(logs[i], prior)])
+        best = max(range(k), key=lambda c: p[c])
+        out.append(([*names, UNKNOWN][best] if letters[i] else UNKNOWN, p[best]))
+    return out
+
+
+def test_posteriors_equal_the_definition_row_by_row(spark):
+    model, r = fit(_labelled(spark), tuple(WORDS)), random.Random(8)
+    rows = []
+    for i in range(160):
+        lang = r.choice(list(WORDS))
+        text = r.choice([_text(lang, i, r.randrange(1, 7)), "xq", "", None, "12 -- 3"])
+        rows.append((text, r.choice(["h1", "h2", "h3", ""]), r.choice(["d1", "d2", ""]), r.choice([lang, "en-GB", "zz", None]), r.choice(["de", "at", "fr", "uk", "com", None])))
+    d = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "i int, text string, h string, d string, said string, tld string").repartition(5)
+    got = identify(d, model, host=F.col("h"), domain=F.col("d"), declared=F.col("said"), suffix=F.col("tld")).orderBy("i").collect()
+    for x, (language, p) in zip(got, _plain(model, rows), strict=True):
+        assert abs(x.confidence - p) < 2e-4 and (x.language == language or abs(p - 0.5) < 1e-3), x
+
+
 def test_own_share_is_taken_out():
     own, mine = np.log(np.array([0.5, 0.3, 0.2])), np.array([0.9, 0.1, 0.0])
     alone = fused(own, mine, [mine], True)
