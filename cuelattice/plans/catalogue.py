@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import answers, dialogue, hearing, proofs, scores, solvers, timeline
+from . import answers, dialogue, hearing, proofs, scores, solvers, soundings, timeline
 
-_MODULES = (timeline, dialogue, scores, solvers, proofs, hearing, answers)
+_MODULES = (timeline, dialogue, scores, solvers, proofs, hearing, answers, soundings)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
