@@ -31,12 +31,20 @@ def qa_issues(cues: DataFrame, keys: Sequence[str], cps: float = 17.0, line: int
     return cues.withColumn("__kinds", found).select(*keys, "number", F.explode("__kinds").alias("kind"))
 
 
-def readable_ends(cues: DataFrame, keys: Sequence[str], cps: float, most_ms: int, gap_ms: int, more_ms: int = 2000) -> DataFrame:
-    """cues with new_end_ms: long enough to read, but not beyond the next cue, the longest time or more_ms more."""
+def readable_ends(cues: DataFrame, keys: Sequence[str], cps: float, most_ms: int, gap_ms: int, more_ms: int = 2000, cuts: DataFrame | None = None) -> DataFrame:
+    """cues with new_end_ms: long enough to read, but not beyond the next cue, the next cut of the picture (at_ms), the longest time or more_ms more."""
     wanted = F.col("start_ms") + F.ceil(F.length("text") * 1000 / cps).cast("long") + 1
     nxt = F.lead("start_ms").over(_order(keys)) - gap_ms
     end = F.least(wanted, F.col("end_ms") + more_ms, F.col("start_ms") + most_ms, nxt)
-    return cues.withColumn("new_end_ms", F.greatest(F.col("end_ms"), end))
+    if cuts is None:
+        return cues.withColumn("new_end_ms", F.greatest(F.col("end_ms"), end))
+    # cues by their end and cuts in one order: the first cut behind an end bounds it
+    own = cues.select(*keys, F.col("number").alias("__n"), F.col("end_ms").cast("long").alias("__t"), F.lit(1).alias("__cue"))
+    both = own.unionByName(cuts.select(*keys, F.lit(None).cast(dict(cues.dtypes)["number"]).alias("__n"), F.col("at_ms").cast("long").alias("__t"), F.lit(0).alias("__cue")))
+    later = Window.partitionBy(*keys).orderBy("__t", "__cue").rowsBetween(1, Window.unboundedFollowing)
+    both = both.withColumn("__cut", F.first(F.when(F.col("__cue") == 0, F.col("__t")), ignorenulls=True).over(later)).where("__cue = 1")
+    d = cues.join(both.select(*keys, F.col("__n").alias("number"), "__cut"), [*keys, "number"], "left")
+    return d.withColumn("new_end_ms", F.greatest(F.col("end_ms"), F.least(end, "__cut"))).select(*cues.columns, "new_end_ms")
 
 
 def stages(cues: DataFrame, apart: float = 0.4) -> DataFrame:

@@ -40,6 +40,19 @@ def witness_count(spark, sf_dir):
     return al.witnesses(_passes(spark, sf_dir), PIECE).groupBy("key", "backed").agg(F.count("*").alias("n"))
 
 
+def witness_bands(spark, sf_dir):
+    """Whole conversations, their words stretch by stretch against the two other passes."""
+    w = _passes(spark, sf_dir).drop("piece")
+    return al.banded_witnesses(w.where("pass = 0").drop("pass"), w.where("pass > 0"), K).groupBy("key", "backed").agg(F.count("*").alias("n"))
+
+
+def hearing_chosen(spark, sf_dir):
+    """Of every other conversation the local words are its first turn's; the others are judged by how much the vote kept."""
+    w = _passes(spark, sf_dir).withColumn("clip", F.concat_ws(":", "key", "piece")).drop("key", "piece")
+    local = w.where("pass = 1 AND line = 0 AND CAST(split(clip, ':')[0] AS BIGINT) % 2 = 0").groupBy("clip").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "token"))), lambda x: x["token"]).alias("said"))
+    return al.chosen_hearing(w, al.vote(w, ["clip"]), ["clip"], local).groupBy("by", "pass").agg(F.count("*").alias("n"))
+
+
 def edit_path(spark, sf_dir):
     """Each turn against the next one's words, by conversation."""
     d = pairs(spark, sf_dir).select("key", "number", text.tokens(F.col("source")).alias("said"), text.tokens(F.col("target")).alias("wrote"))
@@ -103,7 +116,7 @@ def minutes_read_back(spark, sf_dir):
     return d.select("event_id", shapes.read_back(F.col("t")).alias("seconds"))
 
 
-QUERIES = {f.__name__: f for f in (vote_full, pass_order, witness_count, edit_path, voice_groups, forced_alignment, cue_build, cue_timing, replies_over, piece_plan, speech_map, cut_spacing, minutes_read_back)}
+QUERIES = {f.__name__: f for f in (vote_full, pass_order, witness_count, witness_bands, hearing_chosen, edit_path, voice_groups, forced_alignment, cue_build, cue_timing, replies_over, piece_plan, speech_map, cut_spacing, minutes_read_back)}
 
 _W = "PARTITION BY key ORDER BY s, e, id"
 SQL = {

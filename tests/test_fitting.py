@@ -117,3 +117,12 @@ def test_stretches_give_what_the_whole_clip_gives(spark):
         assert got == sorted((g.numbers[0], g.start, g.end, len(g.numbers)) for g in whole)
         assert fi.stretches(d, ["key"], R).agg({"stretch": "max"}).first()[0] > 1
         assert all(len(x.parts) <= 2 and sum(len(p) for p in x.parts) == x.joined for x in rows)
+
+
+def test_ends_stop_at_cuts(spark):
+    from cuelattice.operators import cues as cu
+
+    d = spark.createDataFrame([(1, 0, "t" * 60, 0, 1000), (1, 1, "t" * 60, 9000, 9500)], "key long, number long, text string, start_ms long, end_ms long")
+    cuts = spark.createDataFrame([(1, 1000), (1, 1700), (2, 9600)], "key long, at_ms long")
+    ends = lambda c: [r.new_end_ms for r in cu.readable_ends(d, ["key"], 17.0, 6000, 83, cuts=c).orderBy("number").collect()]
+    assert ends(None) == [3000, 11500] and ends(cuts) == [1700, 11500]

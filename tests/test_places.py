@@ -95,3 +95,37 @@ def test_lines_take_the_times_of_what_was_heard(spark):
     # one heard word of three is too few
     few = {r.token: r.source for r in pl.retimed(words, lines, heard.limit(1), ["key"]).collect()}
     assert set(few.values()) == {"aligned"}
+
+
+def test_minutes_written_without_a_colon(spark):
+    def back(*passes, length=95):
+        rows = [(1, p, k, int(a * S), int(b * S), t, length * S) for p, run in enumerate(passes) for k, (a, b, t) in enumerate(run)]
+        d = spark.createDataFrame(rows, "key long, pass long, line long, s long, e long, text string, length long")
+        got = pl.read_back_passes(d, ["key"]).orderBy("pass", "line").collect()
+        return [(r.s / S, r.e / S) for r in got], {r["pass"]: r.back for r in got}
+
+    # 1:05 came as 105: past the end of the request, so all of the pass is read back
+    times, said = back([(10, 12, "early"), (58, 103, "over the minute"), (105, 120, "behind it")])
+    assert times == [(10, 12), (58, 63), (65, 80)] and said == {0: True}
+    # a time between 60 and 100 s can't be written so
+    assert back([(10, 12, "a"), (70, 75, "b"), (105, 110, "c")])[1] == {0: False}
+    # a long request: the line over the minute is as long as its letters take only when it is read back
+    assert back([(58, 104, "seven words that take a few seconds to say"), (110, 112, "b")], length=200)[1] == {0: True}
+    assert back([(58, 104, "x" * 640), (110, 112, "b")], length=200)[1] == {0: False}
+    # without such a line another pass decides, that heard speech where this one has none
+    assert back([(10, 12, "a"), (105, 110, "b")], [(10, 12, "a"), (65, 70, "b")], length=200)[1] == {0: True, 1: False}
+    assert back([(10, 12, "a"), (105, 110, "b")], length=200)[1] == {0: False}
+
+
+def test_lines_past_their_piece(spark):
+    rows = [
+        (1, 0, 10, 12, "the first line here", 90), (1, 1, 105, 107, "slipped by its colon", 90), (1, 2, 70, 103, "its end slipped", 90), (1, 3, 300, 301, "quite new words", 90), (1, 4, 400, 402, "the first line", 90),
+        (2, 0, 5, 80, "long", 60), (2, 1, -3, -2, "too early", 60), (3, 0, 50, 51, "a", 90), (3, 1, 105, 106, "lands on the next", 90), (3, 2, 60, 66, "b", 90), (3, 3, 110, 112, "in order one", 90), (3, 4, 108, 109, "out of order two", 90),
+    ]
+    d = spark.createDataFrame([(k, n, a * S, b * S, t, length * S) for k, n, a, b, t, length in rows], "key long, line long, s long, e long, text string, length long")
+    got = {(r.key, r.line): (r.verdict, *(x if x is None else x / S for x in (r.s, r.e))) for r in pl.placed_lines(d, ["key"]).collect()}
+    assert got[1, 0] == ("inside", 10, 12) and got[1, 1] == ("slipped", 65, 67) and got[1, 2] == ("inside", 70, 91)
+    assert got[1, 3] == ("edge", 90.7, 91) and got[1, 4] == ("invented", None, None)
+    assert got[2, 0] == ("inside", 5, 61) and got[2, 1] == ("inside", -1, -1)
+    assert got[3, 1][0] == "edge" and got[3, 3] == ("slipped", 70, 72) and got[3, 4][0] == "edge"
+    assert len(got) == len(rows) and pl.placed_lines(d.limit(0), ["key"]).count() == 0

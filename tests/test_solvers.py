@@ -219,3 +219,53 @@ def test_piece_plan_cuts_in_pauses(spark):
     pauses = spark.createDataFrame([(1, 70_000, 71_000), (1, 76_000, 79_000), (1, 140_000, 140_500)], "key long, s long, e long")
     got = sorted((r.key, r.piece, r.s, r.e) for r in cu.piece_plan(clips, pauses, ["key"], 75_000, most=15_000).collect())
     assert got == [(1, 0, 0, 77_500), (1, 1, 77_500, 140_250), (1, 2, 140_250, 200_000), (2, 0, 0, 10_000)]
+
+
+def test_witnesses_in_bands_equal_their_definition(spark):
+    from difflib import SequenceMatcher
+
+    r, near, stretch = random.Random(7), 4_000_000, 30
+    at, base, others = 0, [], []
+    for k in range(150):
+        at += r.randrange(100_000, 900_000)
+        token = r.choice("a b c d e f".split() + [""])
+        base.append((1, k, token, at, at + 300_000))
+        for p in (1, 2):
+            if r.random() > 0.3:
+                t = token if r.random() > 0.2 else r.choice("a b c".split())
+                shift = r.choice([0, 0, 200_000, 6_000_000])
+                others.append((1, p, 1000 * p + k, t, at + shift, at + shift + 300_000))
+    base.append((2, 0, "a", 0, 5))
+    want = {(2, 0): None}
+    for first in range(0, 150, stretch):
+        part = base[first : first + stretch]
+        low, high = part[0][3] - near, max(x[4] for x in part) + near
+        for x in part:
+            want[x[:2]] = 0 if x[2] else None
+        for p in (1, 2):
+            said = sorted((x for x in others if x[1] == p and x[5] >= low and x[4] <= high), key=lambda x: (x[4], x[2]))
+            for i, j, n in SequenceMatcher(None, [x[2] for x in part], [x[3] for x in said], autojunk=False).get_matching_blocks():
+                for k in range(n):
+                    word, by = part[i + k], said[j + k]
+                    if word[2] and by[4] - near <= word[3] <= by[5] + near:
+                        want[word[:2]] += 1
+    b = spark.createDataFrame(base, "key long, seq long, token string, s long, e long")
+    o = spark.createDataFrame(others, "key long, pass int, seq long, token string, s long, e long")
+    got = {(x.key, x.seq): x.backed for x in al.banded_witnesses(b, o, ["key"], near, stretch).collect()}
+    assert got == want
+
+
+def test_the_hearing_that_stands(spark):
+    def words(key, *passes):
+        return [(key, p, line, seq, t, 10 * line + seq, 10 * line + seq + 1) for p, lines in enumerate(passes) for seq, (line, t) in enumerate((line, t) for line, said in enumerate(lines) for t in said.split())]
+
+    rows = words(1, ["a b c d", "e f g h"], ["a b c d", "x y"], ["a b c d"])  # the local words back the second pass
+    rows += words(2, ["a b c d e f"], ["m n o p q"], ["x y z"])  # nothing in common: the middle pass stands
+    rows += words(3, ["a b c"], ["a b c"], ["a b"])  # the vote kept enough
+    d = spark.createDataFrame(rows, "key long, pass int, line long, seq long, token string, s long, e long")
+    local = spark.createDataFrame([(1, "a b c d x y".split())], "key long, said array<string>")
+    voted = al.vote(d, ["key"])
+    got = {r.key: (r["pass"], r.by) for r in al.chosen_hearing(d, voted, ["key"], local).collect()}
+    assert got == {1: (1, "support"), 2: (1, "middle"), 3: (None, "vote")}
+    tie = spark.createDataFrame([(3, ["a", "b", "c"])], "key long, said array<string>")
+    assert {r.key: r["pass"] for r in al.chosen_hearing(d, voted, ["key"], tie).collect()}[3] is None
