@@ -129,3 +129,10 @@ def test_lines_past_their_piece(spark):
     assert got[2, 0] == ("inside", 5, 61) and got[2, 1] == ("inside", -1, -1)
     assert got[3, 1][0] == "edge" and got[3, 3] == ("slipped", 70, 72) and got[3, 4][0] == "edge"
     assert len(got) == len(rows) and pl.placed_lines(d.limit(0), ["key"]).count() == 0
+
+
+def test_bands_at_one_place_need_no_grid(spark):
+    rows = [(1, t * S, top, top + 0.05) for t, top in enumerate([0.1029, 0.1031, 0.1069, 0.5, 0.5])] + [(1, 0, 0.8, 0.9), (1, 5 * S, 0.8, 0.97)]
+    d = spark.createDataFrame(rows, "key long, at long, top double, bottom double")
+    got = sorted((round(r.top, 4), round(r.bottom, 4), r["first"] // S, r["last"] // S) for r in pl.steady_bands(d, ["key"]).collect())
+    assert got == [(0.1029, 0.1569, 0, 2), (0.5, 0.55, 3, 4)]
