@@ -28,8 +28,8 @@ SHARD_DOCS = 12_000
 #: What is not safe to split before each space and around each line end: other characters than printable
 #: Latin ones, and white space next to white space. Such texts go to the tokenizer whole.
 _ODD = re.compile(r"[^\n\x20-\x7e\xa1-\xac\xae-\u017f]|[ \n]{2}")
-#: Words remembered by one worker, about 300 MB at most; characters of texts that are split at once.
-_KNOWN, _TOGETHER = 1_200_000, 4_000_000
+#: Words remembered by one worker, about 200 MB at most; characters of texts that are split at once.
+_KNOWN, _TOGETHER = 900_000, 4_000_000
 
 
 #: The same white space, one by one: looking for these is quicker than the pattern.
