@@ -7,6 +7,7 @@ steps, within blocks of pieces and over the blocks, so that a long clip is the w
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -64,13 +65,13 @@ def piece_names(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
     def within(part: pd.DataFrame) -> pd.DataFrame:
         part, at, out = part.sort_values("piece"), {}, []
         first = part["block"].iloc[0] * BLOCK
-        for piece, rows in part.groupby("piece", sort=True):
+        for piece, rows in groupby(part[["piece", "label", "before"]].itertuples(index=False, name=None), key=lambda r: r[0]):
             new = {}
-            for label, before in rows[["label", "before"]].itertuples(index=False, name=None):
+            for _, label, before in rows:
                 linked_to = before is not None and before == before
                 # what an earlier piece of the block says, else a door to the block before, else a beginning here
                 new[label] = at[before] if linked_to and before in at and piece > first else ("", before) if linked_to and piece == first else (f"{label}~{piece}" if piece else label, None)
-            out += [(piece, label, *new[label]) for label in rows["label"]]
+            out += [(piece, label, *x) for label, x in new.items()]
             at = new
         got = pd.DataFrame(out, columns=["piece", "label", "name", "door"])
         return copy(part.iloc[[0] * len(got)].reset_index(drop=True), {c: got[c] for c in got.columns}).assign(block=part["block"].iloc[0])
@@ -81,11 +82,12 @@ def piece_names(maps: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     def over(part: pd.DataFrame) -> pd.DataFrame:
         names, out, seen = {}, [], None
-        for (block, piece), rows in part.groupby(["block", "piece"], sort=True):
+        ordered = part.sort_values(["block", "piece"])[["block", "piece", "label", "name", "door"]]
+        for (block, piece), rows in groupby(ordered.itertuples(index=False, name=None), key=lambda r: r[:2]):
             # the block's doors lead to names in the last piece of the block before, if that is the piece just before
             known = names if seen == block * BLOCK - 1 else {}
             out += [(block, label, name) for label, name in known.items()]
-            names = {label: (known.get(door) or f"{door}~{block * BLOCK - 1}") if door is not None and door == door and not name else name for label, name, door in rows[["label", "name", "door"]].itertuples(index=False, name=None)}
+            names = {label: (known.get(door) or f"{door}~{block * BLOCK - 1}") if door is not None and door == door and not name else name for _, _, label, name, door in rows}
             seen = piece
         got = pd.DataFrame(out, columns=["block", "door", "known"])
         return copy(part.iloc[[0] * len(got)].reset_index(drop=True), {c: got[c] for c in got.columns})
