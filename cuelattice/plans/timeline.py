@@ -61,7 +61,7 @@ def interval_intersect(spark, sf_dir):
 
 def interval_except(spark, sf_dir):
     d = spans(spark, sf_dir)
-    got = iv.subtract(d, iv.widened(_purchases(d), HOUR // 2), K)
+    got = iv.subtract(d, iv.widened(_purchases(d), HOUR // 2), K).where("e > s")
     return got.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.col("e") - F.col("s")).alias("us"))
 
 
