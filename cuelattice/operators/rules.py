@@ -56,15 +56,17 @@ def fallen_back(values: DataFrame, defaults: dict[str, object], rules: Sequence[
 
 def nearest_holding(values: DataFrame, name: str, low: float, high: float, step: float, rules: Sequence[str]) -> DataFrame:
     """values with nearest: of the setting's steps that keep the rules, the one closest to its value, of equals the smaller; null if there is none."""
-    steps = F.transform(F.sequence(F.lit(0), F.lit(round((high - low) / step))), lambda i: F.round(low + i * step, 4))
-    d = values.select("*", F.explode(steps).alias("__try"))
-    trial = d.withColumn("__asked", F.col(name)).withColumn(name, F.col("__try").cast(dict(values.dtypes)[name]))
     holds = F.lit(True)
     for r in rules:
         holds = holds & F.coalesce(RULES[r][1](), F.lit(True))
-    others = [c for c in values.columns if c != name]
-    got = trial.withColumn("__holds", holds).groupBy(*others, F.col("__asked").alias(name)).agg(F.min(F.when(F.col("__holds"), F.struct(F.abs(F.col("__try") - F.col("__asked")).alias("d"), F.col("__try").alias("v"))))["v"].alias("nearest"))
-    return got.select(*values.columns, "nearest")
+    kind = dict(values.dtypes)[name]
+    # each step is tried in the row itself: no row becomes many
+    d, tried = values.withColumn("__asked", F.col(name)), []
+    for i in range(round((high - low) / step) + 1):
+        d = d.withColumn(name, F.round(F.lit(low + i * step), 4).cast(kind)).withColumn(f"__holds{i}", holds)
+        tried.append(F.when(F.col(f"__holds{i}"), F.struct(F.abs(F.round(F.lit(low + i * step), 4) - F.col("__asked")).alias("d"), F.round(F.lit(low + i * step), 4).alias("v"))))
+    own = [F.col("__asked").alias(c) if c == name else F.col(c) for c in values.columns]
+    return d.select(*own, F.array_min(F.array(*tried))["v"].alias("nearest"))
 
 
 def laid_over(stored: Column, preset: Column, defaults: Column, outside: Sequence[str] = ()) -> Column:
