@@ -28,8 +28,8 @@ SHARD_DOCS = 12_000
 #: What is not safe to split before each space and around each line end: other characters than printable
 #: Latin ones, and white space next to white space. Such texts go to the tokenizer whole.
 _ODD = re.compile(r"[^\n\x20-\x7e\xa1-\xac\xae-\u017f]|[ \n]{2}")
-#: Words remembered by one worker, about 200 MB at most; characters of texts that are split at once.
-_KNOWN, _TOGETHER = 900_000, 4_000_000
+#: Words remembered by one worker, about 300 MB at most; characters of texts that are split at once.
+_KNOWN, _TOGETHER = 1_400_000, 4_000_000
 
 
 #: The same white space, one by one: looking for these is quicker than the pattern.
@@ -50,7 +50,8 @@ class Ids:
     seen before are looked up. A text that spells one of the file's added tokens goes to the tokenizer whole.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_known: int = _KNOWN):
+        self.most_known = most_known
         # tasks are as many as cores already
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -70,7 +71,7 @@ class Ids:
                 upto += 1
             split = [None if odd(t) or any(a in t for a in self.added) else t.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0") for t in texts[at:upto]]
             new = list(set(chain.from_iterable(filter(None, split))).difference(known))
-            if len(known) + len(new) > _KNOWN:
+            if len(known) + len(new) > self.most_known:
                 known.clear()
                 known[""] = b""
                 new = list(set(chain.from_iterable(filter(None, split))) - {""})
@@ -85,8 +86,8 @@ class Ids:
 
 #: One for each worker process, which keeps it from task to task.
 @cache
-def ids_of(path: str) -> Ids:
-    return Ids(path)
+def ids_of(path: str, most_known: int = _KNOWN) -> Ids:
+    return Ids(path, most_known)
 
 
 def cut(total: int, most: int) -> list[tuple[int, int]]:
@@ -129,14 +130,16 @@ def sum_of_squares(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarr
 _PIECES = "shard long, doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def _pieces(path: str, end_id: int, most: int, with_ids: bool):
+def _pieces(path: str, end_id: int, most: int, with_ids: bool, known: int):
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ids_of(path)
+        ids = ids_of(path, known)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            # ids are held until their rows are written: fewer documents at a time
+            size = 250 if with_ids else 1000
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
                 rows, held = [], []
                 texts = [t or "" for t in part.column(2).to_pylist()]
                 for shard, doc_id, own_ids in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), ids.of_many(texts), strict=True):
@@ -168,13 +171,13 @@ def _place(most: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most: int = 1024, shard_docs: int = SHARD_DOCS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most: int = 1024, shard_docs: int = SHARD_DOCS, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", known: int = _KNOWN) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids), sequence_id, offset for each piece of each document.
 
     A null text counts as empty and gives one piece, the end mark. Ids may repeat or be null: each row is
     packed. Rows are dealt to shards by a hash of id and text, so that reruns agree however files are split, and
     the number of shards grows with the documents; a shard holds a few numbers a row. Equal rows are told apart by their
-    number among themselves, so that many of them are dealt to many shards. Other columns are ignored.
+    number among themselves, so that many of them are dealt to many shards. Other columns are ignored. A worker remembers the ids of so many known words.
     """
     bounded_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("own", F.xxhash64("doc_id", "text"))
@@ -189,6 +192,6 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, most: int = 1024
         d = d.join(again, "own", "left_anti").select("doc_id", "text", "own", "copy").unionByName(same)
     own = F.when(F.col("copy") == 1, F.col("own")).otherwise(F.xxhash64("own", "copy"))
     columns = _PIECES + (", ids array<int>" if with_ids else "")
-    pieces = d.select(F.pmod(own, F.lit(shards)).cast("long").alias("shard"), "doc_id", "text").mapInArrow(_pieces(tokenizer_path, end_id, most, with_ids), columns)
+    pieces = d.select(F.pmod(own, F.lit(shards)).cast("long").alias("shard"), "doc_id", "text").mapInArrow(_pieces(tokenizer_path, end_id, most, with_ids, known), columns)
     kept = columns.removeprefix("shard long, ")
     return pieces.groupBy("shard").applyInArrow(_place(most), f"{kept}, sequence_id long, offset long")

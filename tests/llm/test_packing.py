@@ -115,3 +115,10 @@ def test_few_sequences(spark):
     got = pack(spark.createDataFrame(rows, DOCS), PATH)
     n, tokens = got.select("sequence_id").distinct().count(), got.selectExpr("sum(length)").first()[0]
     assert n <= 1.03 * tokens / 1024 + 2
+
+
+def test_few_known_words_give_the_same_ids():
+    texts = ["a plain text of words", "a text again\nand words", "other plain words"] * 3
+    few = Ids(PATH, 4)
+    assert list(few.of_many(texts)) == list(Ids(PATH).of_many(texts))
+    assert [few.of(t) for t in texts] == list(Ids(PATH).of_many(texts))
