@@ -31,20 +31,26 @@ def words(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Normalised words, empty ones left out."""
-    return F.filter(F.transform(words(text), norm), lambda w: w != "")
+    # the text at once, white space kept, so that no word is a call of its own
+    return words(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_'\s]+", ""))
 
 
 def split_words(text: Column) -> Column:
     """Words; those of unspaced scripts are split into characters, each with the marks that follow it."""
     one = rf"[{UNSPACED}][\p{{M}}\x{{0E31}}\x{{0E34}}-\x{{0E3A}}\x{{0E47}}-\x{{0E4E}}]*"
-    return F.regexp_extract_all(text, F.lit(rf"({one}|[^\s{UNSPACED}]+)"))
+    # most texts are of other scripts, which a plain pattern says sooner
+    return F.when(text.rlike(r"[\x{0E00}-\x{17FF}\x{3040}-\x{FAFF}]"), F.regexp_extract_all(text, F.lit(rf"({one}|[^\s{UNSPACED}]+)"))).otherwise(words(text))
 
 
 def joined_words(parts: Column) -> Column:
     """The inverse: a space between two parts unless both are of unspaced scripts."""
     tight = lambda x: x.rlike(rf"^[{UNSPACED}]")
     ended = lambda x: x.rlike(rf"[{UNSPACED}][\p{{M}}]*$")
-    return F.aggregate(parts, F.lit(""), lambda s, x: F.when(s == "", x).otherwise(F.concat(s, F.when(ended(s) & tight(x), "").otherwise(" "), x)))
+    one = F.aggregate(parts, F.lit(""), lambda s, x: F.when(s == "", x).otherwise(F.concat(s, F.when(ended(s) & tight(x), "").otherwise(" "), x)))
+    # most texts have spaces only, and need not be built word by word
+    plain = F.array_join(parts, " ")
+    odd = F.exists(parts, lambda x: x.isNull() | (x == "")) | plain.rlike(f"[{UNSPACED}]")
+    return F.when(odd, one).otherwise(plain)
 
 
 def grams(toks: Column, size: int) -> Column:

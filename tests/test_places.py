@@ -1,3 +1,6 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from cuelattice.functions import spelling, text
@@ -40,6 +43,27 @@ def test_what_a_line_before_holds(spark):
     assert held("a b c", "a b c", 5) == []  # it ended before the line began
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_first_words_held_are_those_of_all_offsets(seed):
+    r = random.Random(seed)
+    a, b = (["abcd"[r.randrange(4)] for _ in range(r.randrange(9))] for _ in range(2))
+    same, last = {}, {}
+    for i, j in ((i, j) for i in range(len(a)) for j in range(len(b)) if a[i] == b[j]):
+        for k in (j - i - 1, j - i, j - i + 1):
+            same.setdefault(k, set()).add(i)
+            last[k] = max(last.get(k, 0), j)
+    good = [max(x) + 1 for k, x in same.items() if (max(x) + 1 == len(a) or last[k] + 2 >= len(b)) and len(x) >= 0.6 * (max(x) + 1)]
+    assert pl.first_held(a, b, 0.6, 1) == max(good, default=0)
+
+
+def test_lines_meet_as_rows_of_their_own(spark, capsys):
+    """No row for each word, which a large table shuffles by the hundred millions."""
+    a = spark.createDataFrame([(1, 0, 5, ["a"])], "key long, line long, s long, t array<string>")
+    b = spark.createDataFrame([(1, 0, 9, ["a"])], "key long, other long, e long, t array<string>")
+    pl.held_words(a, b, ["key"]).explain()
+    assert "Generate" not in capsys.readouterr().out
+
+
 def test_cuts_go_where_voices_part(spark):
     # three words of one voice, two of another; the widest pause is elsewhere
     rows = [(1, k * S, k * S + w, lean) for k, (w, lean) in enumerate([(600_000, 0.5), (400_000, 0.4), (600_000, 0.6), (700_000, -0.5), (700_000, -0.4)])]
