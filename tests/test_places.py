@@ -64,6 +64,34 @@ def test_lines_meet_as_rows_of_their_own(spark, capsys):
     assert "Generate" not in capsys.readouterr().out
 
 
+def test_copies_are_those_of_all_pairs(spark, capsys):
+    r = random.Random(4)
+    pieces = [(k % 2, k, "ab"[k % 3 % 2], s, s + r.randrange(1, 40) * S, " ".join(r.choice("vwxyz") for _ in range(r.randrange(6)))) for k, s in enumerate(r.randrange(200) * S for _ in range(40))]
+    words = [(k % 2, 900 - k, "ab"[k % 5 % 2], r.randrange(220) * S, r.choice("vwxyz")) for k in range(120)]
+    d = spark.createDataFrame(pieces, "key long, id long, label string, s long, e long, text string")
+    w = spark.createDataFrame(words, "key long, id long, label string, s long, token string")
+    got = pl.copies(d, w, ["key"], 8 * S)
+    # words stand in one stretch of time each, and are not copied to buckets
+    got.explain()
+    dealt = [x for x in capsys.readouterr().out.splitlines() if "AS __bucket" in x]
+    assert len(dealt) == 2 and not any("token" in x for x in dealt)
+
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = [0, *(was := row)[1:]]
+            for j, y in enumerate(b):
+                row[j + 1] = max(was[j] + (x == y), was[j + 1], row[j])
+        return row[-1]
+
+    want = set()
+    for key, i, label, s, e, t in pieces:
+        said = [x[4] for x in sorted(words, key=lambda x: (x[3], x[1])) if (x[0], x[2]) == (key, label) and s - 8 * S <= x[3] <= e + 8 * S]
+        if t.split() and common(t.split(), said) >= 0.6 * len(t.split()):
+            want.add(i)
+    assert {x.id for x in got.collect()} == want and 5 < len(want) < 35
+
+
 def test_cuts_go_where_voices_part(spark):
     # three words of one voice, two of another; the widest pause is elsewhere
     rows = [(1, k * S, k * S + w, lean) for k, (w, lean) in enumerate([(600_000, 0.5), (400_000, 0.4), (600_000, 0.6), (700_000, -0.5), (700_000, -0.4)])]
