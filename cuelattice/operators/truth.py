@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .alignment import each_clip
 from .intervals import overlap_join
 
 
@@ -54,19 +54,18 @@ def matched(a: Sequence[str], b: Sequence[str], at: np.ndarray, there: np.ndarra
 def truth_pairs(truth: DataFrame, heard: DataFrame, keys: Sequence[str]) -> DataFrame:
     """keys, id, heard_id: the words of the truth and of the hearing (id, token, s each) that are the same words.
 
-    The best order of matches depends on all words of a clip: a grouped map over both sides of one clip.
+    The best order of matches depends on all words of a clip: a task reads both sides of its clips, one clip after the other.
     """
-    kinds = dict(truth.dtypes)
-    a, b = (d.select(*keys, "id", "token", "s") for d in (truth, heard))
+    a, b = (d.select(*keys, F.lit(side).alias("__side"), "s", "id", "token") for side, d in enumerate((truth, heard)))
 
-    def run(one: pd.DataFrame, other: pd.DataFrame) -> pd.DataFrame:
-        one, other = one.sort_values(["s", "id"]), other.sort_values(["s", "id"])
-        found = matched(list(one["token"]), list(other["token"]), one["s"].to_numpy() / 1e6, other["s"].to_numpy() / 1e6)
-        left, right = ([p[k] for p in found] for k in (0, 1))
-        return pd.DataFrame({**{k: one[k].iloc[left].to_numpy() for k in keys}, "id": one["id"].iloc[left].to_numpy(), "heard_id": other["id"].iloc[right].to_numpy()})
+    def run(rows: list[tuple]) -> Iterator[tuple]:
+        n = sum(side == 0 for side, *_ in rows)
+        one, other = rows[:n], rows[n:]
+        said, at = ([[r[k] for r in part] for part in (one, other)] for k in (3, 1))
+        for i, j in matched(*said, *(np.array(x, float) / 1e6 for x in at)):
+            yield one[i][2], other[j][2]
 
-    ddl = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "id long, heard_id long"])
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(run, ddl)
+    return each_clip(a.unionByName(b), keys, ["__side", F.col("s").asc_nulls_last(), "id"], run, "id long, heard_id long")
 
 
 def on_silence(words: DataFrame, speech: DataFrame, keys: Sequence[str], silent_us: int = 300_000) -> DataFrame:

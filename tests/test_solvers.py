@@ -280,3 +280,12 @@ def test_clips_are_read_one_after_the_other(spark):
     w = spark.createDataFrame([(1, p, 0, k, "ab"[k], k, k + 1) for p in (0, 1) for k in (0, 1)], "key long, pass int, line long, seq long, token string, s long, e long")
     for q in (al.vote(w, ["key"]), al.witnesses(w, ["key"]), al.extra_lines(w, ["key"])):
         assert "InPandas" not in q._jdf.queryExecution().executedPlan().toString()
+
+
+def test_matched_words_of_short_clips_cost_no_frames(spark, capsys):
+    a = spark.createDataFrame([(1, 1, "a", 5), (1, 2, "b", 6), (2, 3, "a", None), (3, 4, "a", 1)], "key long, id long, token string, s long")
+    b = spark.createDataFrame([(1, 11, "b", 6), (1, 12, "a", 9), (1, 13, "a", 4), (2, 14, "x", 1)], "key long, id long, token string, s long")
+    got = tu.truth_pairs(a, b, ["key"])
+    got.explain()
+    assert "InPandas" not in capsys.readouterr().out
+    assert sorted(tuple(x) for x in got.collect()) == [(1, 1, 13), (1, 2, 11)]
