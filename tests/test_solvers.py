@@ -289,3 +289,19 @@ def test_matched_words_of_short_clips_cost_no_frames(spark, capsys):
     got.explain()
     assert "InPandas" not in capsys.readouterr().out
     assert sorted(tuple(x) for x in got.collect()) == [(1, 1, 13), (1, 2, 11)]
+
+
+def test_cues_are_the_same_over_any_batches_and_sort_their_words_once(spark, capsys):
+    r = random.Random(9)
+    rows = [(k % 3 if k % 7 else None, k, r.choice("AB") if k % 40 > 20 else "A", s, s + 300_000, r.choice(["so", "well,", "long word", "end."])) for k, s in enumerate(range(0, 90_000_000, 450_000))]
+    d = spark.createDataFrame(rows, "key long, id long, label string, s long, e long, text string")
+    got = bu.build_cues(d, ["key"])
+    got.explain()
+    plan = capsys.readouterr().out
+    assert "FlatMapGroups" not in plan and plan.count("Sort [") == 2  # words for their blocks, cues for their numbers
+    want = sorted(map(str, got.collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        assert sorted(map(str, bu.build_cues(d, ["key"]).collect())) == want and len(want) > 10
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
