@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Scripts written without spaces between words (Thai, Lao, Burmese, Khmer, kana, Han), as ranges.
 UNSPACED = r"\x{0E00}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}\x{3040}-\x{30FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
+#: Fixed value: what holds all of them, in few ranges: a text without any of it is one of words between white space.
+MAY_BE_UNSPACED = r"[\x{0E00}-\x{17FF}\x{3040}-\x{FAFF}]"
 #: Eastern digits and their western ones.
 EASTERN, WESTERN = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹", "01234567890123456789"
 #: Letter shapes that are folded into one, and marks that are dropped.
@@ -39,7 +41,7 @@ def split_words(text: Column) -> Column:
     """Words; those of unspaced scripts are split into characters, each with the marks that follow it."""
     one = rf"[{UNSPACED}][\p{{M}}\x{{0E31}}\x{{0E34}}-\x{{0E3A}}\x{{0E47}}-\x{{0E4E}}]*"
     # most texts are of other scripts, which a plain pattern says sooner
-    return F.when(text.rlike(r"[\x{0E00}-\x{17FF}\x{3040}-\x{FAFF}]"), F.regexp_extract_all(text, F.lit(rf"({one}|[^\s{UNSPACED}]+)"))).otherwise(words(text))
+    return F.when(text.rlike(MAY_BE_UNSPACED), F.regexp_extract_all(text, F.lit(rf"({one}|[^\s{UNSPACED}]+)"))).otherwise(words(text))
 
 
 def joined_words(parts: Column) -> Column:
@@ -80,7 +82,7 @@ def counted(text: Column) -> Column:
     """Words, those of unspaced scripts a quarter each."""
     single = F.regexp_count(text, F.lit(rf"[{UNSPACED}]"))
     rest = F.regexp_count(text, F.lit(rf"[^\s{UNSPACED}]+"))
-    return rest + single * 0.25
+    return F.when(text.rlike(MAY_BE_UNSPACED), rest + single * 0.25).otherwise(F.regexp_count(text, F.lit(r"\S+")).cast("double"))
 
 
 def reading_seconds(text: Column, rate: float = 5.0) -> Column:

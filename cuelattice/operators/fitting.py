@@ -15,11 +15,11 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from math import inf
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .alignment import each_clip
 from .intervals import overlap_join
 
 
@@ -247,17 +247,14 @@ def fit_cues(cues: DataFrame, keys: Sequence[str], cuts: DataFrame | None = None
         reach = r.longest + r.shortest
         near = overlap_join(d.select(*keys, "number", (F.col("start_ms") - reach).alias("s"), (F.col("end_ms") + reach).alias("e")), cuts.select(*keys, F.col("at_ms").cast("long").alias("s"), F.col("at_ms").cast("long").alias("e")), keys, 4 * reach, closed=True)
         d = d.join(near.groupBy(*keys, "number").agg(F.collect_set("b_s").alias("cuts")), [*keys, "number"], "left")
-    kinds = dict(cues.dtypes)
-
-    def rows(part: pd.DataFrame) -> pd.DataFrame:
-        own = [Cue(int(n), label, said, int(s), int(e), int(read)) for n, label, said, s, e, read in part[["number", "label", "text", "start_ms", "end_ms", "read"]].itertuples(index=False, name=None)]
-        at = {int(x) for c in part["cuts"] if c is not None for x in c}
-        got = laid_out(own, sorted(at), r)
-        told = [[[(c.number, c.label, c.text, c.start, c.end) for c in p] for p in g.parts] for g in got]
-        out = pd.DataFrame({"number": [g.numbers[0] for g in got], "start_ms": [g.start for g in got], "end_ms": [g.end for g in got], "text": ["\n".join(g.texts) for g in got], "parts": told, "joined": [len(g.numbers) for g in got]})
-        for k in reversed(keys):
-            out.insert(0, k, part[k].iloc[0])
-        return out
-
-    ddl = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"number long, start_ms long, end_ms long, text string, parts {_PARTS}, joined int"])
-    return d.groupBy(*keys, "stretch").applyInPandas(rows, ddl)
+    def rows(part: list[tuple]) -> Iterator[tuple]:
+        own = [Cue(n, label, said, s, e, read) for n, label, said, s, e, read, _ in part]
+        at = {x for *_, c in part for x in c or ()}
+        for g in laid_out(own, sorted(at), r):
+            told = [[(c.number, c.label, c.text, c.start, c.end) for c in p] for p in g.parts]
+            yield g.numbers[0], g.start, g.end, "\n".join(g.texts), told, len(g.numbers)
+
+    # read one after the other: most stretches are too short for a frame of their own
+    d = d.select(*keys, "stretch", "number", "label", "text", "start_ms", "end_ms", "read", "cuts")
+    got = each_clip(d, [*keys, "stretch"], ["start_ms", "number"], rows, f"number long, start_ms long, end_ms long, text string, parts {_PARTS}, joined int")
+    return got.drop("stretch")

@@ -305,3 +305,11 @@ def test_cues_are_the_same_over_any_batches_and_sort_their_words_once(spark, cap
         assert sorted(map(str, bu.build_cues(d, ["key"]).collect())) == want and len(want) > 10
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_short_stretches_cost_no_frames(spark, capsys):
+    d = spark.createDataFrame([(1, 1, "A", "one two", 0, 800), (1, 2, None, "three", 90_000, 91_000), (2, 1, "A", "four", 0, 900)], "key long, number long, label string, text string, start_ms long, end_ms long")
+    got = fi.fit_cues(d, ["key"])
+    got.explain()
+    assert "InPandas" not in capsys.readouterr().out
+    assert sorted((x.key, x.number, x.text, x.joined) for x in got.collect()) == [(1, 1, "one two", 1), (1, 2, "three", 1), (2, 1, "four", 1)]
