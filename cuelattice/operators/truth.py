@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import functools
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .alignment import each_clip
-from .intervals import overlap_join
 
 
 def matched(a: Sequence[str], b: Sequence[str], at: np.ndarray, there: np.ndarray, cap: float = 60.0) -> list[tuple[int, int]]:
@@ -90,24 +91,69 @@ def flips(words: DataFrame, keys: Sequence[str], turn: str, label: str) -> DataF
     return words.withColumn("__was", was).groupBy(*keys).agg(F.count_if(F.coalesce(F.col("__was") != F.col(label), F.lit(False))).alias("flips"))
 
 
+def said_again(said: list[tuple], cues: Iterable[list[tuple]], used: set, near_us: int) -> Iterator[list]:
+    """For each cue (id, token, s, e of each word) that has any, the words not used that were said (s, id, token) close by with a neighbour."""
+    times: dict[object, list[int]] = {}
+    before = None
+    for s, _, token in sorted(said, key=lambda w: (w[0] is not None, w[0], w[1] is not None, w[1])):
+        if s is not None and token is not None:
+            times.setdefault(token, []).append(s)
+            if before is not None:
+                times.setdefault((before, token), []).append(s)
+        before = token
+    for cue in cues:
+        cue.sort(key=lambda w: (w[0] is not None, w[0]))
+        tokens = [None, *(w[1] for w in cue), None]
+        found = []
+        for (key, token, s, e), before, after in zip(cue, tokens, tokens[2:], strict=False):
+            if key in used or key is None or token is None or s is None or e is None:
+                continue
+            ways = [way for way, other in (((before, token), before), ((token, after), after)) if other is not None]
+            for at in filter(None, map(times.get, ways or [token])):
+                first = bisect_left(at, s - near_us)
+                if first < len(at) and at[first] <= e + near_us:
+                    found.append(key)
+                    break
+        if found:
+            yield found
+
+
+def duplicated_in(lines: DataFrame, cues: DataFrame, used: DataFrame, keys: Sequence[str], near_us: int = 3_000_000) -> DataFrame:
+    """keys, id: shown words that the match left over and that were said close by with a neighbour of theirs.
+
+    Words come in lists, so that a line of them is one row wherever rows are shuffled or sorted: lines has ids, tokens and times, cues
+    cue, s, e, ids and tokens, used the ids of shown words that are matched. The words of a cue may stand in more than one row.
+    Neighbours are those of the cue by id, and of all that was said by time and id. A task reads its clips one after the other.
+    """
+    kinds = (lines.withColumn("__kind", F.lit(0)), cues.withColumn("__kind", F.lit(1)), used.withColumn("__kind", F.lit(2)))
+    rows = functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), kinds).select(*keys, "__kind", "ids", "tokens", "times", "cue", "s", "e")
+    rows = rows.where(functools.reduce(Column.__and__, [F.col(k).isNotNull() for k in keys]))
+
+    def run(clip: list[tuple]) -> Iterator[tuple]:
+        said, shown, matches = [], {}, set()
+        for kind, ids, tokens, times, cue, s, e in clip:
+            if kind == 0:
+                said += zip(times or (), ids or (), tokens or (), strict=True)
+            elif kind == 1:
+                shown.setdefault(cue, []).extend((key, token, s, e) for key, token in zip(ids or (), tokens or (), strict=True))
+            else:
+                matches.update(ids or ())
+        return ((found,) for found in said_again(said, shown.values(), matches, near_us))
+
+    ids = dict(cues.dtypes)["ids"]
+    return each_clip(rows, keys, [], run, f"ids {ids}").select(*keys, F.explode("ids").alias("id"))
+
+
 def duplicated(words: DataFrame, shown: DataFrame, used: DataFrame, keys: Sequence[str], near_us: int = 3_000_000) -> DataFrame:
     """Shown words (cue, id, token, s, e of their cue) that the match left over and that were said close by with a neighbour of theirs.
 
     words has id, token, s; used has the ids of shown words that are matched. A cue of one word counts if that word was
-    said close by.
+    said close by. Where the words of a line are at hand as lists, duplicated_in() shuffles fewer rows.
     """
-    w = Window.partitionBy(*keys).orderBy("s", "id")
-    said = words.select(*keys, "s", F.col("s").alias("e"), "token", F.lag("token").over(w).alias("before"))
-    c = Window.partitionBy(*keys, "cue").orderBy("id")
-    d = shown.withColumns({"__b": F.lag("token").over(c), "__a": F.lead("token").over(c)})
-    left = d.join(used.select(*keys, "id"), [*keys, "id"], "left_anti")
-    pairs = F.array_compact(F.array(F.when(F.col("__b").isNotNull(), F.struct(F.col("__b").alias("x"), F.col("token").alias("y"))), F.when(F.col("__a").isNotNull(), F.struct(F.col("token").alias("x"), F.col("__a").alias("y")))))
-    wide = left.select(*keys, "id", (F.col("s") - near_us).alias("s"), (F.col("e") + near_us).alias("e"), "token", pairs.alias("pairs"))
-    two = wide.where(F.size("pairs") > 0).select(*keys, "id", "s", "e", F.explode("pairs").alias("p")).select(*keys, "id", "s", "e", F.col("p.x").alias("before"), F.col("p.y").alias("token"))
-    met = overlap_join(two, said.where("before is not null"), [*keys, "token", "before"], 16 * near_us, closed=True)
-    alone = overlap_join(wide.where(F.size("pairs") == 0).drop("pairs"), said.drop("before"), [*keys, "token"], 16 * near_us, closed=True)
-    hit = met.select(*keys, "id").unionByName(alone.select(*keys, "id")).distinct()
-    return shown.join(hit, [*keys, "id"], "left_semi")
+    listed = lambda d, *cs, **lists: d.select(*keys, *cs, *[F.array(c).alias(name) for name, c in lists.items()])
+    hit = duplicated_in(listed(words, ids="id", tokens="token", times="s"), listed(shown, "cue", "s", "e", ids="id", tokens="token"), listed(used, ids="id"), keys, near_us)
+    # the planner does not see how many words a list holds
+    return shown.join(hit.hint("merge"), [*keys, "id"], "left_semi")
 
 
 def sentence_edges(sentences: DataFrame, words: DataFrame, keys: Sequence[str], out_us: int = 500_000) -> DataFrame:

@@ -167,13 +167,17 @@ def turn_flips(spark, sf_dir):
 
 
 def duplicated_words(spark, sf_dir):
-    """Turns shown again right behind themselves: the second showing is left over by the match."""
-    w = _words(spark, sf_dir)
-    once = _shown(spark, sf_dir)
-    shown = w.join(once.select("key", "number", F.col("s").alias("cs"), F.col("e").alias("ce")), ["key", "number"])
-    again = F.explode(F.array(F.lit(0), F.lit(1)))
-    shown = shown.withColumn("again", again).select("key", (F.col("number") * 2 + F.col("again")).alias("cue"), (F.col("id") * 2 + F.col("again")).alias("id"), "token", F.col("cs").alias("s"), F.col("ce").alias("e"), "again")
-    got = tu.duplicated(w, shown.drop("again"), shown.where("again = 0").select("key", "id"), K)
+    """Turns shown again right behind themselves: the second showing is left over by the match.
+
+    A turn is known by its start, and a word by that and its place, as a number may be missing or stand twice.
+    """
+    c = cues(spark, sf_dir).withColumn("tokens", text.tokens(F.col("text"))).withColumn("n", F.size("tokens"))
+    at = lambda k: (F.col("start_ms") * 1000 + F.floor((F.col("end_ms") - F.col("start_ms")) * 1000 * k / F.col("n"))).cast("long")
+    said = c.select("key", F.transform("tokens", lambda t, k: F.col("start_ms") + k).alias("ids"), "tokens", F.transform("tokens", lambda t, k: at(k)).alias("times"))
+    again = c.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1))))
+    ids = F.transform("tokens", lambda t, k: (F.col("start_ms") + k) * 2 + F.col("again")).alias("ids")
+    shown = again.select("key", (F.col("start_ms") * 2 + F.col("again")).alias("cue"), (F.col("start_ms") * 1000).alias("s"), (F.col("end_ms") * 1000).alias("e"), ids, "tokens", "again")
+    got = tu.duplicated_in(said, shown.drop("again"), shown.where("again = 0").select("key", "ids"), K)
     return got.groupBy("key").agg(F.count("*").alias("twice"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from cuelattice.functions import spelling, text
 from cuelattice.operators import places as pl
 from cuelattice.operators import truth as tu
+from cuelattice.plans.hearing import QUERIES
 
 S = 1_000_000
 
@@ -122,6 +123,58 @@ def test_repeated_words_of_a_cue(spark):
     assert sorted(r.id for r in tu.duplicated(words, shown, used, ["key"]).collect()) == [10, 11, 12]
 
 
+def _shown_again(words, shown, used, near):
+    """The rule as it is told, pair by pair."""
+    found = set()
+    for key, cue, at, token, s, e in shown:
+        tokens = [w[2] for w in sorted((w for w in words if w[0] == key), key=lambda w: (w[3], w[1]))]
+        times = sorted(w[3] for w in words if w[0] == key)
+        near_by = [i for i, t in enumerate(times) if s - near <= t <= e + near]
+        mine = [w[3] for w in sorted((w for w in shown if w[:2] == (key, cue)), key=lambda w: w[2])]
+        j = sorted(w[2] for w in shown if w[:2] == (key, cue)).index(at)
+        pairs = set(zip(mine[max(j - 1, 0) : j + 1], mine[max(j - 1, 0) + 1 : j + 1], strict=False)) | set(zip(mine[j : j + 1], mine[j + 1 : j + 2], strict=False))
+        said = {(tokens[i - 1], tokens[i]) for i in near_by if i} if pairs else {tokens[i] for i in near_by}
+        if (key, at) not in used and (pairs or {token}) & said:
+            found.add((key, at))
+    return found
+
+
+def test_words_shown_twice_as_lists_and_one_by_one(spark):
+    rnd = random.Random(3)
+    words = [(rnd.randint(1, 3), i, rnd.choice("abc"), rnd.randrange(3000)) for i in range(90)]
+    shown = []
+    for cue in range(40):
+        key, s = rnd.randint(1, 3), rnd.randrange(3000)
+        shown += [(key, cue, 10 * cue + i, rnd.choice("abc"), s, s + 40) for i in range(rnd.randint(1, 4))]
+    used = {(w[0], w[2]) for w in shown if rnd.random() < 0.3}
+    want = _shown_again(words, shown, used, 30)
+    assert 0 < len(want) < len(shown) - len(used)
+    w = spark.createDataFrame(words, "key long, id long, token string, s long")
+    c = spark.createDataFrame(shown, "key long, cue long, id long, token string, s long, e long")
+    u = spark.createDataFrame(sorted(used), "key long, id long")
+    assert {(r.key, r.id) for r in tu.duplicated(w, c, u, ["key"], 30).collect()} == want
+    # lists of any length, in which a cue stands in two rows, and some without words
+    ordered = lambda *cs: F.sort_array(F.collect_list(F.struct(*cs)))
+    at = lambda name: F.transform("l", lambda x: x[name])
+    lines = w.groupBy("key", F.col("id") % 7).agg(ordered("s", "id", "token").alias("l")).select("key", at("id").alias("ids"), at("token").alias("tokens"), at("s").alias("times"))
+    lines = lines.unionByName(spark.createDataFrame([(1, None, None, None), (2, [], [], [])], "key long, ids array<long>, tokens array<string>, times array<long>"))
+    cues = c.groupBy("key", "cue", "s", "e", F.col("id") % 2).agg(ordered("id", "token").alias("l")).select("key", "cue", "s", "e", at("id").alias("ids"), at("token").alias("tokens"))
+    got = tu.duplicated_in(lines, cues, u.groupBy("key").agg(F.collect_list("id").alias("ids")), ["key"], 30)
+    assert {(r.key, r.id) for r in got.collect()} == want
+
+
+def test_words_shown_twice_are_not_shuffled_one_by_one(spark):
+    plan = QUERIES["duplicated_words"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # a line of words is a row: none stands in buckets, and none is joined
+    assert "__bucket" not in plan and "Join" not in plan and plan.count("Exchange hashpartitioning") <= 5
+
+
+def test_turns_of_one_number_or_none_are_shown_each_by_itself(spark, tmp_path):
+    said = [(1, 0, "one two three"), (1, 1, "four five"), (1, 1, "four five"), (1, 2, "Six!"), (2, 0, "a b"), (2, 1, None), (2, 2, "..."), (3, None, "c d e")]
+    spark.createDataFrame([(k, n, "user", x) for k, n, x in said], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert {r.key: r.twice for r in QUERIES["duplicated_words"](spark, str(tmp_path)).collect()} == {1: 8, 2: 2, 3: 3}
+
+
 def test_fills_said_already(spark):
     fills = spark.createDataFrame([(1, 0, 0, S, "said it here"), (1, 1, 0, S, "quite new words")], "key long, line long, s long, e long, text string")
     lines = spark.createDataFrame([(1, 0, S, 2 * S, "he said it here now")], "key long, line long, s long, e long, text string")

@@ -272,6 +272,13 @@ def test_the_hearing_that_stands(spark):
     assert {r.key: r["pass"] for r in al.chosen_hearing(d, voted, ["key"], tie).collect()}[3] is None
 
 
+def test_lists_are_converted_as_one_and_element_by_element(spark):
+    for kind, rows in (("long", [[1, 2**60 + 1], None, [], [3]]), ("long", [[1, None], [2**60 + 1], None]), ("string", [["a"], [None, "b"], []]), ("double", [[0.5], None]), ("boolean", [[True]])):
+        d = spark.createDataFrame([(1, i, x) for i, x in enumerate([[], *rows])], f"key long, id long, x array<{kind}>")
+        got = al.each_clip(d, ["key"], ["id"], lambda clip: clip, f"id long, x array<{kind}>").collect()
+        assert [r.x for r in sorted(got, key=lambda r: r.id)] == [[], *rows]
+
+
 def test_clips_are_read_one_after_the_other(spark):
     # clips larger than a batch, small ones beside them; no frame for each
     d = spark.range(25_000).select(F.when(F.col("id") < 24_000, 0).otherwise(F.col("id")).alias("key"), "id")
